@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 #: Runs of characters other than ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Lower-cases A-Z and leaves every other character alone.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+def ascii_lower(text: str) -> str:
+    """Lower-cases A-Z and leaves every other character alone."""
+    return text.encode().lower().decode()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prefix_encoder, quality_rules
+from . import decontaminate, prefix_encoder, quality_rules, simhash
 from .common import table
 
 
@@ -24,11 +24,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.decontaminate(docs, items).drop("spans", "item_ids")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op6_simhash": op6_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
