@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, prefix_encoder, quality_rules, simhash, token_counts, token_files
+from . import chat, compact_windows, decontaminate, prefix_encoder, quality_rules, simhash, token_counts, token_files
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chosen, "conv_id")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passage_links(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op4_chat": op4_chat,
+    "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op9_token_counts": op9_token_counts,
