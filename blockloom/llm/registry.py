@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compact_windows, decontaminate, prefix_encoder, quality_rules, simhash, token_counts, token_files
+from . import chat, compact_windows, decontaminate, prefix_encoder, quality_rules, simhash, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_index(token_files.write_token_files(docs, tokenizer_file("byte_bpe_50k.json")), spark)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -67,5 +72,6 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_chat": chat.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
