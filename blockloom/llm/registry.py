@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compact_windows, decontaminate, prefix_encoder, quality_rules, simhash, suffix_dedup, token_counts, token_files
+from . import chat, compact_windows, cotraining, decontaminate, prefix_encoder, quality_rules, simhash, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    return cotraining.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(asks)
@@ -60,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op3_cotraining": op3_cotraining,
     "op4_chat": op4_chat,
     "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
