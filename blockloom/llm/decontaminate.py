@@ -4,7 +4,8 @@ Every run of eight words of a benchmark item is a window (an item of fewer words
 A document contains a window only if it contains the window's rarest word, the one prefix token
 that full containment needs; rarity is counted over all documents.  Windows meet documents on
 that word alone, are dropped where the word stands too near an end of the document for the
-window to fit around it (the length and position bounds), and the rest are verified word by word.
+window to fit around it or the next rarest word isn't in its place (the length and position
+bounds), and the rest are verified word by word.
 
 The windows are broadcast in slices of a checked size, by hash of their prefix word: a benchmark
 that outgrows the bound costs further passes over the documents, not memory.  Documents are
@@ -21,7 +22,8 @@ from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words before and after A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The ASCII characters one by one: Java looks these up in a table, and ranges one after another.
+RAW_WORD = f"[0123456789{UPPER}{LOWER}" + r"\x{80}-\x{10FFFF}]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,16 +46,17 @@ def windows(items: DataFrame, size: int, item_text: str = "text") -> DataFrame:
 
 
 def with_prefix(docs: DataFrame, wins: DataFrame, text: str) -> DataFrame:
-    """wins with their rarest word (key, in lower case of any script), its place and the window as one string."""
+    """wins with their two rarest words (key and key2, in lower case of any script), these words' places and the window as one string."""
     each = wins.select("words", F.explode("words").alias("word")).select(F.lower("word").alias("key")).distinct()
     found = docs.select(F.explode(_words(F.col(text))).alias("word")).select(F.lower("word").alias("key")).join(_sliced(each), "key", "left_semi")
     counts = found.groupBy("key").agg(F.count("*").alias("n"))
     placed = wins.select("item_id", "words", F.posexplode("words").alias("place", "word")).withColumn("key", F.lower("word"))
     rated = placed.join(counts, "key")
-    whole = rated.groupBy("item_id", "words").agg(F.min(F.struct("n", "key", "place")).alias("first"), F.count("*").alias("known"))
-    joined = F.concat_ws(" ", "words")
+    whole = rated.groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("n", "key", "place"))).alias("order"))
     # A word that no document has rules its windows out.
-    return whole.where(F.col("known") == F.size("words")).select("item_id", F.col("first.key").alias("key"), F.col("first.place").alias("place"), F.size("words").alias("size"), joined.alias("window"))
+    known = whole.where(F.size("order") == F.size("words"))
+    first, second = F.get("order", F.lit(0)), F.get("order", F.least(F.lit(1), F.size("order") - 1))
+    return known.select("item_id", first["key"].alias("key"), first["place"].alias("place"), second["key"].alias("key2"), second["place"].alias("place2"), F.size("words").alias("size"), F.concat_ws(" ", "words").alias("window"))
 
 
 def _sliced(df: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -82,7 +85,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", size: i
         each = words.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
         met = each.join(part, "key").where((F.col("pos") >= F.col("place")) & (F.col("pos") - F.col("place") + F.col("size") <= F.size("w")))
         start = F.col("pos") - F.col("place")
-        same = met.where(_lower(F.concat_ws(" ", F.slice("w", start + 1, F.col("size")))) == F.col("window"))
+        next_rarest = F.lower(F.get("w", start + F.col("place2"))) == F.col("key2")
+        same = met.where(next_rarest & (_lower(F.concat_ws(" ", F.slice("w", start + 1, F.col("size")))) == F.col("window")))
         new = same.select("doc_id", "text_hash", start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
         hits = new if hits is None else hits.union(new)
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"), F.collect_set("item_id").alias("item_ids"))
