@@ -67,7 +67,8 @@ def best_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
     path = written(ranked.where(F.col("rank") <= n_best).select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("away")), "branches")
     for k in reversed(range(len(jumps))):
         further = path.join(jumps[k].select("tree", "node", "above"), ["tree", "node"])
-        path = path.union(further.select("tree", "leaf", F.col("above").alias("node"), (F.col("away") + (1 << k)).alias("away")))
+        # Written, since each round's plan holds the last one's twice.
+        path = written(path.union(further.select("tree", "leaf", F.col("above").alias("node"), (F.col("away") + (1 << k)).alias("away"))), "branches")
     return path.withColumn("step", F.max("away").over(Window.partitionBy("tree", "leaf")) - F.col("away")).select("tree", "leaf", "node", "step")
 
 
