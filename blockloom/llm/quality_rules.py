@@ -29,8 +29,8 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = (
     ("symbol_rate", "1000 * n_symbols // word_chars", 25, "upper"),
     ("word_size", "100 * word_chars // n_words", 60, "both"),
-    ("dup_line_rate", "1000 * n_dup_lines // n_word_lines", 50, "upper"),
-    ("repeat_rate", "1000 * n_repeat_words // n_words", 80, "upper"),
+    ("dup_line_rate", "1000 * n_dup_lines // n_word_lines", 200, "upper"),
+    ("repeat_rate", "1000 * n_repeat_words // n_words", 150, "upper"),
 )
 
 
