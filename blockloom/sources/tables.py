@@ -87,7 +87,8 @@ class BlockTable:
     def renamed(self, names: Mapping[str, str]) -> BlockTable:
         """Renames columns and keeps blocks and target in step."""
         blocks = {b: tuple(names.get(c, c) for c in cols) for b, cols in self.blocks.items()}
-        return replace(self, df=self.df.withColumnsRenamed(dict(names)), blocks=blocks, target=names.get(self.target, self.target))
+        df = self.df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in self.df.columns])
+        return replace(self, df=df, blocks=blocks, target=names.get(self.target, self.target))
 
     def resolved(self) -> BlockTable:
         """Only numeric columns whose variance is finite and over 1e-12; blocks left empty go.  One aggregate."""
