@@ -101,7 +101,7 @@ def fit_text(x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> t
     ratio = np.log(pos / (weight * y).sum().clip(1)) - np.log(neg / (weight * (1 - y)).sum().clip(1))
     ratio[seen < 3] = 0
     w, b, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
-    scale = weight / weight.sum()
+    scale = weight / max(weight.sum(), 1e-9)
     for t in range(1, steps + 1):
         r = (_sigmoid(x.dot(w * ratio) + b) - y) * scale
         g, gb = x.back(r, size) * ratio + 1e-5 * w, r.sum()

@@ -77,7 +77,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _ratio(rule: str) -> Column:
-    return F.expr(rule.replace("//", "div"))
+    """Null where there is nothing to divide by."""
+    top, under = rule.split(" // ")
+    return F.expr(f"({top}) div nullif({under}, 0)")
 
 
 def bin_of(value: Column) -> Column:
