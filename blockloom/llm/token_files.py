@@ -19,6 +19,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ MAGIC, VERSION = b"TOKZ", 1
 #: Characters on which this module's pre-token pattern and the library's agree for certain.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
+SPACED = re.compile(f" [{LETTERS}]+")
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^ \\t\\n\\r{LETTERS}{DIGITS}]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 
 
@@ -54,30 +56,59 @@ class ByteBpe:
         pre = made.get("pre_tokenizer") or {}
         self.split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not made.get("normalizer") and not made.get("post_processor")
         self.added = [x["content"] for x in made.get("added_tokens") or ()]
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
-        self.size, self.cache, self.old = cache_size, {}, {}
+        self.dtype, self.code = ("<u2", "H") if self.tok.get_vocab_size() <= 65536 else ("<u4", "I")
+        pieces = self.tok.get_vocab()
+        self.spaced = np.zeros(max(pieces.values(), default=0) + 1, bool)
+        self.spaced[[i for x, i in pieces.items() if x.startswith("\u0120")]] = True  # how byte-level pieces write a space
+        self.size, self.cache, self.old, self.chars = cache_size, {}, {}, 0
 
     def _bytes(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text in the width of dtype."""
+        return array(self.code, ids).tobytes()
+
+    def _learn(self, pretokens: set[str]) -> None:
+        """Puts the pre-tokens into the cache; what isn't asked for any more goes in the end."""
+        new = pretokens.difference(self.cache)
+        if len(self.cache) + len(new) > self.size or self.chars > 20 * self.size:
+            self.old, self.cache, self.chars, new = self.cache, {}, 0, pretokens
+        self.chars += sum(map(len, new))
+        kept = [x for x in new if x in self.old] if self.old else []
+        self.cache.update((x, self.old[x]) for x in kept)
+        new = new.difference(kept)
+        words = list(filter(SPACED.fullmatch, new))
+        for at in range(0, len(words), 4096):
+            self._learn_words(words[at : at + 4096])
+        new = list(new.difference(words))
+        self.cache.update((x, self._bytes(e.ids)) for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words that each begin with a space, in one text: the library splits them there, and the tokens that begin with a space tell where."""
+        ids = self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids
+        raw, first = self._bytes(ids), np.flatnonzero(self.spaced[ids])
+        if len(first) != len(words):
+            raise ValueError("the tokenizer doesn't split words at spaces")
+        at, width = 0, np.dtype(self.dtype).itemsize
+        for x, end in zip(words, np.append(first[1:], len(ids)).tolist(), strict=True):
+            self.cache[x] = raw[at : end * width]
+            at = end * width
+
+    def encode_batch(self, texts: list[str], at_once: int = 1 << 22) -> list[bytes]:
+        """The ids of each text in the width of dtype; at most about ``at_once`` characters are in work."""
+        out, held, size = [], [], 0
+        for i, t in enumerate(texts):
+            held.append(t)
+            size += len(t)
+            if size >= at_once or i == len(texts) - 1:
+                out += self._encode(held)
+                held, size = [], 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         apart = [self.split and PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
         whole = iter(self.tok.encode_batch([t for t, ok in zip(texts, apart, strict=True) if not ok], add_special_tokens=False))
         parts = [PRETOKEN.findall(t) if ok else None for t, ok in zip(texts, apart, strict=True)]
-        cache = self.cache
-        new = {x for p in parts if p for x in set(p) if x not in cache}
-        if len(cache) + len(new) > self.size:
-            self.old, self.cache = cache, {}
-            cache = self.cache
-            new = {x for p in parts if p for x in p}
-        if self.old:
-            kept = [x for x in new if x in self.old]
-            cache.update((x, self.old[x]) for x in kept)
-            new.difference_update(kept)
-        new = list(new)
-        cache.update((x, self._bytes(e.ids)) for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        return [b"".join(map(cache.__getitem__, p)) if p is not None else self._bytes(next(whole).ids) for p in parts]
+        self._learn(set().union(*[p for p in parts if p]))
+        ids = self.cache.__getitem__
+        return [b"".join(map(ids, p)) if p is not None else self._bytes(next(whole).ids) for p in parts]
 
 
 _BPE: dict[str, ByteBpe] = {}
@@ -141,7 +172,8 @@ def train_dictionary(docs: DataFrame, file: str, sample: int = 1000, most_ids: i
     """
     import zstandard
 
-    few = docs.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 8 * most_ids).alias("text")).limit(sample)
+    first = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = docs.join(F.broadcast(first.distinct()), "doc_id", "left_semi").select(F.substring("text", 1, 8 * most_ids).alias("text")).limit(2 * sample)
     bpe = bpe_for(file)
     samples = [x[: most_ids * np.dtype(bpe.dtype).itemsize] for x in bpe.encode_batch([r["text"] for r in few.collect()])]
     try:
@@ -150,7 +182,7 @@ def train_dictionary(docs: DataFrame, file: str, sample: int = 1000, most_ids: i
         return b""
 
 
-def write_token_files(docs: DataFrame, file: str, path: str | None = None, end_id: int | None = 0, text: str = "text", docs_a_part: int = 4000, shard_bytes: int = 4 << 20, level: int = 3) -> TokenFiles:
+def write_token_files(docs: DataFrame, file: str, path: str | None = None, end_id: int | None = 0, text: str = "text", docs_a_part: int = 4000, shard_bytes: int = 4 << 20, level: int = 1) -> TokenFiles:
     """Encodes docs (doc_id, text) and writes them as a data set in ascending doc_id order.
 
     A null text counts as empty.  Rows without doc_id can't be addressed and are left out.
