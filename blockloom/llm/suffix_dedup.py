@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_rows, released, written
 
 GRAM = 16
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,10 +53,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row, in place; the tail means nothing."""
     have = 1
     while have < width:
         step = min(have, width - have)
-        v = np.concatenate([np.minimum(v[:-step], v[step:]), v[-step:]])
+        v[:-step] = np.minimum(v[:-step], v[step:])
         have += step
     return v
 
@@ -67,12 +68,18 @@ def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(sizes)
     x = np.frombuffer(b"".join(texts) + bytes(GRAM), np.uint8)
     sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[x] * _powers(BASE, len(x)), out=sums[1:])
+    sums[1:] = BYTE_VALUES[x]
+    sums[1:] *= _powers(BASE, len(x))
+    np.cumsum(sums, out=sums)
     back = _powers(BASE_INVERSE, len(x) + 1)
-    grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * back[:-GRAM])
+    grams = sums[GRAM:] - sums[:-GRAM]
+    grams *= back[:-GRAM]
+    grams = _mixed(grams)
     bits = np.uint64(max(1, int(len(grams)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    least = _sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), size - GRAM + 1)
+    least = grams & ~low
+    least |= np.arange(len(grams), dtype=np.uint64)
+    least = _sliding_min(least, size - GRAM + 1)
     counts = np.maximum(sizes - size + 1, 0)
     text = np.repeat(np.arange(len(texts)), counts)
     starts = np.arange(len(text)) + np.repeat(ends - sizes - np.cumsum(counts) + counts, counts)
@@ -89,7 +96,7 @@ def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers as one blob: byte planes, compressed; see _unpacked."""
+    """Arrays of integers as one blob: byte planes, compressed; _Blob reads it."""
     import zstandard
 
     parts = [np.array([len(arrays)], "<u4").tobytes()]
@@ -100,18 +107,24 @@ def _packed(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpacked(blob: bytes) -> list[np.ndarray]:
-    import zstandard
+class _Blob:
+    """Reads the arrays of _packed one at a time."""
+
+    def __init__(self, blob: bytes):
+        import zstandard
+
+        self.raw = zstandard.ZstdDecompressor().decompress(blob)
+        self.at, at = [], 4
+        for _ in range(int(np.frombuffer(self.raw, "<u4", 1)[0])):
+            n, width = (int(v) for v in np.frombuffer(self.raw, "<u4", 2, at))
+            self.at.append((at + 8, n, width))
+            at += 8 + n * width
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 4
-    for _ in range(int(np.frombuffer(raw, "<u4", 1)[0])):
-        n, width = (int(v) for v in np.frombuffer(raw, "<u4", 2, at))
+    def __getitem__(self, i: int) -> np.ndarray:
+        at, n, width = self.at[i]
         planes = np.zeros((n, 8), np.uint8)
-        planes[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 8).reshape(width, n).T
-        out.append(planes.view("<u8").reshape(-1))
-        at += 8 + n * width
-    return out
+        planes[:, :width] = np.frombuffer(self.raw, np.uint8, n * width, at).reshape(width, n).T
+        return planes.view("<u8").reshape(-1)
 
 
 def _group_heads(*keys: np.ndarray) -> np.ndarray:
@@ -161,16 +174,24 @@ RUN_COLUMNS = ["row", "at", "before", "more"]
 
 def _judged(blobs: list[bytes]) -> pa.RecordBatch:
     """A bucket's runs: those that repeat for certain (before is -1, at the first start) and those to look at (at is the anchor)."""
-    parts = []
-    for blob in blobs:
-        ids, rows, steps, run, number, start, more, before = _unpacked(blob)
-        number = number.astype(np.int64)
-        parts.append((np.cumsum(steps), run, ids.view(np.int64)[number], rows.view(np.int64)[number], start.view(np.int64), more.view(np.int64), before.view(np.int64)))
-    cols = [np.concatenate(v) for v in zip(*parts, strict=True)]
-    order = np.argsort(cols[0], kind="stable")
-    same = cols[0][order[1:]] == cols[0][order[:-1]]
-    order = order[np.append(same, False) | np.append(False, same)] if len(order) > 1 else order[:0]
-    key, run, doc, row, start, more, before = (v[order] for v in cols)
+    read = [_Blob(b) for b in blobs]
+    keys = [np.cumsum(b[2]) for b in read]
+    sizes = np.cumsum([0, *map(len, keys)])
+    key = np.concatenate(keys)
+    del keys
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    often = np.zeros(len(key), bool)
+    often[order[1:][same]] = often[order[:-1][same]] = True
+    del order, same
+    parts = []  # only of keys that come more than once
+    for i, b in enumerate(read):
+        mine = often[sizes[i] : sizes[i + 1]]
+        number = b[4][mine].astype(np.int64)
+        parts.append((b[3][mine], b[0].view(np.int64)[number], b[1].view(np.int64)[number], *[b[j][mine].view(np.int64) for j in (5, 6, 7)]))
+    key = key[often]
+    run, doc, row, start, more, before = (np.concatenate(v) for v in zip(*parts, strict=True))
+    del parts, read
     order = np.lexsort((doc, run, key))
     key, run, doc, row, start, more, before = (v[order] for v in (key, run, doc, row, start, more, before))
     if not len(key):
@@ -187,6 +208,10 @@ def _judged(blobs: list[bytes]) -> pa.RecordBatch:
     return _run_batch(row[some], at[some], np.where(look, before, -1)[some], np.where(look, more, more + 1)[some])
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def _run_batch(row, at, before, more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in (row, at, before, more)], RUN_COLUMNS)
 
@@ -216,24 +241,28 @@ def _settled(docs: DataFrame, size: int, bucket_bytes: int, batch_bytes: int) ->
                 if n >= batch_bytes:
                     yield out(held)
                     held, n = [], 0
+                    released()
         if held:
             yield out(held)
+        released()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket < 0:
-                    row, start, more = _unpacked(blob.as_py())
-                    yield _run_batch(row.view(np.int64), start.view(np.int64), np.full(len(row), -1), more.view(np.int64))
+                    row, start, more = (_Blob(blob.as_py())[i].view(np.int64) for i in range(3))
+                    yield _run_batch(row, start, np.full(len(row), -1), more)
                     continue
                 if bucket != now and blobs:
-                    yield _judged(blobs)
+                    yield from _parts(_judged(blobs))
                     blobs = []
+                    released()
                 now = bucket
                 blobs.append(blob.as_py())
         if blobs:
-            yield _judged(blobs)
+            yield from _parts(_judged(blobs))
+        released()
 
     sent = docs.select("doc_id", "row", F.col("text").cast("binary")).mapInArrow(send, "bucket bigint, blob binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "row bigint, at bigint, before bigint, more bigint")
@@ -327,7 +356,8 @@ def _edges(docs_z: DataFrame, look: DataFrame, size: int, part_rows: int) -> Dat
             if strings:
                 yield out()
 
-    strings = written(docs_z.join(asked, "row").select("row", "doc_id", "z", "runs").mapInArrow(cut, "row bigint, doc_id bigint, at bigint, before bigint, more bigint, string binary"), "suffixes")
+    with arrow_rows(look.sparkSession, 250):
+        strings = written(docs_z.join(asked, "row").select("row", "doc_id", "z", "runs").mapInArrow(cut, "row bigint, doc_id bigint, at bigint, before bigint, more bigint, string binary"), "suffixes")
     parts = int(max(1, -(-strings.count() // part_rows)))
     lead = F.call_function("substring", F.col("string"), (F.col("before") + 1).cast("int"), F.lit(GRAM))
 
@@ -343,18 +373,21 @@ def _edges(docs_z: DataFrame, look: DataFrame, size: int, part_rows: int) -> Dat
         i, s = np.nonzero(edge == 1)
         _, e = np.nonzero(edge == -1)
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (row[i], at[i] - e + 1, (e - s).astype(np.int64))], ["row", "start", "count"])
+        del held, table, found
+        released()
 
     return strings.repartitionByRange(parts, lead).mapInArrow(find, "row bigint, start bigint, count bigint")
 
 
-def substring_spans(docs: DataFrame, size: int = 50, bucket_bytes: int = 24 << 20, batch_bytes: int = 4 << 20, part_rows: int = 150_000) -> DataFrame:
+def substring_spans(docs: DataFrame, size: int = 50, bucket_bytes: int = 8 << 20, batch_bytes: int = 1 << 20, part_rows: int = 40_000) -> DataFrame:
     """row, spans (array of start << 12 | count): the strings of ``size`` bytes that also start in a document of a lesser doc_id.
 
     docs has doc_id (not null), row and text (not null).
     """
     if size < 2 * GRAM:
         raise ValueError(f"size must be at least {2 * GRAM}")
-    runs = written(_settled(docs, size, bucket_bytes, batch_bytes), "suffix-runs")
+    with arrow_rows(docs.sparkSession, 250):
+        runs = written(_settled(docs, size, bucket_bytes, batch_bytes), "suffix-runs")
     edges = _edges(_keyed(docs), runs.where("before >= 0"), size, part_rows)
     sure = runs.where("before < 0").select("row", F.col("at").alias("start"), F.col("more").alias("count"))
     packed = (F.call_function("shiftleft", F.col("start"), F.lit(12)) + F.col("count")).alias("span")
