@@ -368,3 +368,22 @@ def test_pipeline_stages(spark, docs, rows, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, str(tmp_path))
     assert now.count() == 0
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_near_passages(spark):
+    r = random.Random(8)
+    gen = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(200):
+        p = gen(50)
+        q = [*p[: 10 + i % 30], "changed", *p[11 + i % 30 :]]
+        assert _jaccard(p, q) >= 0.8
+        rows += [(2 * i, " ".join(gen(40) + p + gen(40))), (2 * i + 1, " ".join(gen(30) + q + gen(50)))]
+    got = {(x["leader"], x["doc_id"]) for x in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(200)}
+    assert len(got) >= 190
