@@ -50,8 +50,7 @@ def page_numbers(text: str, n_chars: int | None) -> list[float]:
     used = [x for x in lines if x.strip()]
     words = text.count(" ") + len(lines)
     marks = sum(map(text.count, "#*$%&|<>!"))
-    head = text.swapcase()
-    upper = sum(1 for a, b in zip(text[:4000], head[:4000], strict=False) if a != b and a.isupper())
+    upper = sum(text.count(c) for c in set(text) if c.isupper() and c != c.swapcase())
     return [
         np.log1p(n),
         np.log1p(n_chars if n_chars is not None else n),
@@ -60,7 +59,7 @@ def page_numbers(text: str, n_chars: int | None) -> list[float]:
         1 - len(set(used)) / max(len(used), 1),
         min(n / words, 50) / 10,
         marks / n * 10,
-        upper / min(n, 4000),
+        upper / n,
         sum(map(text.count, "0123456789")) / n * 10,
         (text.count(".") + text.count(",")) / words,
     ]

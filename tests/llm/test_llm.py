@@ -387,3 +387,9 @@ def test_recall_of_near_passages(spark):
     got = {(x["leader"], x["doc_id"]) for x in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(200)}
     assert len(got) >= 190
+
+
+def test_page_view_counts_capitals_of_the_whole_text():
+    text = "a calm opening. " * 300 + "SHOUTING É " * 400
+    assert cotraining.page_numbers(text, None)[7] == pytest.approx(9 * 400 / len(text))
+    assert cotraining.page_numbers("Ab ß", None)[7] == 0.25 and cotraining.page_numbers("", None)[7] == 0
