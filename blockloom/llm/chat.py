@@ -38,12 +38,19 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\\[\]<])", r"\\$1")
 
 
+def _of_tree(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left and right joined on key and, null-safe, on tree; both columns come from left."""
+    own = right.withColumnsRenamed({"tree": "_tree", key: f"_{key}"})
+    return left.join(own, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(key) == F.col(f"_{key}")), how).drop("_tree", f"_{key}")
+
+
 def best_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
     """(tree, leaf, node, step): the messages of the n_best branches of each tree, step 0 at the root.
 
     messages has tree, node, parent (null at a root) and score.  A branch's score is the sum over
     its messages, null counting as 0; equal branches go by the lesser leaf.  Messages whose
     ancestors don't lead to a root of their tree (a missing parent, a cycle) belong to no branch.
+    Messages without a tree (null) form one tree of their own.
     """
     nodes = written(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropDuplicates(["tree", "node"]), "messages")
     count = nodes.count()
@@ -55,18 +62,18 @@ def best_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
             break
         jumps.append(up)
         far = up.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("sum").alias("more"))
-        up = up.join(far, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("sum") + F.col("more")).alias("sum"))
+        up = _of_tree(up, far, "above").select("tree", "node", F.col("next").alias("above"), (F.col("sum") + F.col("more")).alias("sum"))
     parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node"))
-    leaves = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0.0).alias("total"))
+    leaves = _of_tree(nodes, parents, "node", "left_anti").select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0.0).alias("total"))
     for jump in reversed(jumps):
         step = jump.select("tree", F.col("node").alias("at"), "above", "sum")
-        leaves = leaves.join(step, ["tree", "at"], "left").select("tree", "leaf", F.coalesce("above", "at").alias("at"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
+        leaves = _of_tree(leaves, step, "at", "left").select("tree", "leaf", F.coalesce("above", "at").alias("at"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
     roots = nodes.where("parent is null").select("tree", F.col("node").alias("at"), "score")
-    scored = leaves.join(roots, ["tree", "at"]).select("tree", "leaf", (F.col("total") + F.col("score")).alias("total"))
+    scored = _of_tree(leaves, roots, "at").select("tree", "leaf", (F.col("total") + F.col("score")).alias("total"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
     path = written(ranked.where(F.col("rank") <= n_best).select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("away")), "branches")
     for k in reversed(range(len(jumps))):
-        further = path.join(jumps[k].select("tree", "node", "above"), ["tree", "node"])
+        further = _of_tree(path, jumps[k].select("tree", "node", "above"), "node")
         # Written, since each round's plan holds the last one's twice.
         path = written(path.union(further.select("tree", "leaf", F.col("above").alias("node"), (F.col("away") + (1 << k)).alias("away"))), "branches")
     return path.withColumn("step", F.max("away").over(Window.partitionBy("tree", "leaf")) - F.col("away")).select("tree", "leaf", "node", "step")
@@ -109,7 +116,7 @@ def format_trees(messages: DataFrame, n_best: int = 1) -> DataFrame:
     """
     messages = messages.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.parent", "m.role", "m.text", "m.score")
     path = best_paths(messages, n_best)
-    return formatted(path.join(messages.select("tree", "node", "role", "text"), ["tree", "node"]), "tree", "leaf")
+    return formatted(_of_tree(path, messages.select("tree", "node", "role", "text"), "node"), "tree", "leaf")
 
 
 def read_back(text: str) -> list[tuple[str, str]]:

@@ -393,3 +393,9 @@ def test_page_view_counts_capitals_of_the_whole_text():
     text = "a calm opening. " * 300 + "SHOUTING É " * 400
     assert cotraining.page_numbers(text, None)[7] == pytest.approx(9 * 400 / len(text))
     assert cotraining.page_numbers("Ab ß", None)[7] == 0.25 and cotraining.page_numbers("", None)[7] == 0
+
+
+def test_turns_without_conversation_are_one(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    got = {r["tree"]: (chat.read_back(r["formatted"]), r["n_turns"]) for r in chat.format_trees(chat.as_tree(turns)).collect()}
+    assert got == {None: ([("user", "a"), ("assistant", "b")], 2), 7: ([("user", "c")], 1)}
