@@ -45,7 +45,7 @@ class ByteBpe:
     added tokens' strings, and texts with characters on which patterns might disagree.
     """
 
-    def __init__(self, file: str, cache_size: int = 400_000):
+    def __init__(self, file: str, cache_size: int = 800_000):
         import json
 
         from tokenizers import Tokenizer
@@ -91,7 +91,7 @@ class ByteBpe:
             self.cache[x] = raw[at : end * width]
             at = end * width
 
-    def encode_batch(self, texts: list[str], at_once: int = 1 << 22) -> list[bytes]:
+    def encode_batch(self, texts: list[str], at_once: int = 1 << 19) -> list[bytes]:
         """The ids of each text in the width of dtype; at most about ``at_once`` characters are in work."""
         out, held, size = [], [], 0
         for i, t in enumerate(texts):
