@@ -182,14 +182,37 @@ def train_dictionary(docs: DataFrame, file: str, sample: int = 1000, most_ids: i
         return b""
 
 
-def write_token_files(docs: DataFrame, file: str, path: str | None = None, end_id: int | None = 0, text: str = "text", docs_a_part: int = 4000, shard_bytes: int = 4 << 20, level: int = 1) -> TokenFiles:
+def part_bounds(docs: DataFrame, parts: int, coarse: int = 2000) -> list[float]:
+    """Ascending doc_ids that divide docs into about ``parts`` ranges of like size; what they are equal to lies above.
+
+    Up to ``coarse`` bounds come from one quantile summary. Beyond that, each of its ranges has a
+    summary of its own, made by a distributed aggregate, so no summary grows with the table.
+    """
+    n = min(parts, coarse)
+    first = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    if parts <= coarse:
+        return first
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array(first, np.float64)
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column(0).to_numpy().astype(np.float64), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0)], ["range", "doc_id"])
+
+    each = -(-parts // (len(first) + 1))
+    inner = F.percentile_approx("doc_id", [i / each for i in range(1, each)] or [0.5], 4 * each)
+    found = docs.select("doc_id").mapInArrow(placed, "range int, doc_id bigint").groupBy("range").agg(inner.alias("bounds")).toArrow()  # a number for each part
+    return sorted({*first, *map(float, found.column("bounds").combine_chunks().values.to_pylist())})
+
+
+def write_token_files(docs: DataFrame, file: str, path: str | None = None, end_id: int | None = 0, text: str = "text", docs_a_part: int = 4000, coarse: int = 2000, shard_bytes: int = 4 << 20, level: int = 1) -> TokenFiles:
     """Encodes docs (doc_id, text) and writes them as a data set in ascending doc_id order.
 
     A null text counts as empty.  Rows without doc_id can't be addressed and are left out.
     Repeated doc_ids are documents of their own, next to each other, in the order of their ids'
     bytes.  An empty table gives a data set without shards.  Other columns are not read.  Only
-    compressed frames are shuffled, once; the parts' bounds come from a quantile summary of the
-    doc_id column, so no key's rows grow with the table.
+    compressed frames are shuffled, once; the parts' bounds come from quantile summaries of the
+    doc_id column, and their number grows with the table, so a part doesn't.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
@@ -197,8 +220,7 @@ def write_token_files(docs: DataFrame, file: str, path: str | None = None, end_i
     dictionary = train_dictionary(docs, file)
     sha = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(sha.hex(), bytearray(dictionary))], "sha256 string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    parts = min(10_000, max(1, -(-docs.count() // docs_a_part)))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    bounds = part_bounds(docs, max(1, -(-docs.count() // docs_a_part)), coarse)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -244,10 +266,10 @@ def read_index(files: TokenFiles, spark: SparkSession) -> DataFrame:
     dictionary = files.dictionary(spark)
     shards = files.shards(spark)
     by_part = shards.groupBy("part").agg(F.sum("n_ids").alias("all_ids"))
-    # One row for each of at most 10,000 parts.
+    # One row of two numbers for each part, that is, for each few thousand documents.
     before_part = by_part.select("part", (F.sum("all_ids").over(Window.orderBy("part")) - F.col("all_ids")).alias("before_part"))
     sizes = shards.select("part", "shard", "n_ids")
-    before = sizes.join(F.broadcast(before_part), "part").select("part", "shard", (F.col("before_part") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("before"))
+    before = sizes.join(before_part, "part").select("part", "shard", (F.col("before_part") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

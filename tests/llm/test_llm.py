@@ -256,8 +256,9 @@ def test_token_files(spark, docs, rows, empty):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         want[i] = (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
-    files = token_files.write_token_files(docs, file, docs_a_part=7, shard_bytes=300)
-    assert by_id(token_files.read_index(files, spark), "start", "n_tokens", "ids_crc32") == want
+    for coarse in (2000, 3):
+        files = token_files.write_token_files(docs, file, docs_a_part=7, coarse=coarse, shard_bytes=300)
+        assert by_id(token_files.read_index(files, spark), "start", "n_tokens", "ids_crc32") == want
     assert files.shards(spark).count() > 5
     assert token_files.read_index(token_files.write_token_files(empty, file), spark).count() == 0
     with pytest.raises(ValueError, match="dictionary"):
