@@ -3,13 +3,16 @@
 Every document gets a few integer measures.  A sketch of a measure is a histogram over
 log-linear bins (a value keeps its leading six bits), so it is a table of counts: sketches merge
 by adding counts, give the same quantiles in whatever order rows come, and a quantile is off by
-at most a 32nd of its value.  Sketches are kept per (lang, source); those of small groups give
-way to the merged sketch of the language, and that to the merged sketch of everything.
-
-A document is rejected if a measure lies outside the fences of its group: the quartiles,
-widened by ``reach`` times the distance between them.  The distance counts as no less than the
-measure's smallest meaningful spread, so that a group in which all documents agree doesn't
-reject on a trifle.
+at most a 32nd of its value.  Sketches are kept per (lang, source) and merged to those of the
+language and of everything.  A group's quantiles are drawn towards its language's, and these
+towards everything's, as if each had ``prior`` more documents like the wider group's; so there is
+no size at which a group's thresholds change at once.
+
+A rate may reach the ninth decile, widened by ``reach`` times its distance from the median.  The
+mean size of words may lie outside the quartiles by ``reach`` times the distance between them.  No
+distance has a least value.  Instead, what chance may add in a text of its size doesn't count: the
+square root of the events allowed times ``reach`` and as many events as ``reach`` says, or ``reach``
+standard errors of a mean of word sizes that spread by one character.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 SYMBOLS = "#*$%&|<>"
-#: Measure, what it is in whole numbers (SQL that Spark and DuckDB share), smallest spread, and
-#: which fences count.
-MEASURES = (
-    ("symbol_rate", "1000 * n_symbols // word_chars", 25, "upper"),
-    ("word_size", "100 * word_chars // n_words", 60, "both"),
-    ("dup_line_rate", "1000 * n_dup_lines // n_word_lines", 200, "upper"),
-    ("repeat_rate", "1000 * n_repeat_words // n_words", 150, "upper"),
+#: Measure, what is counted, of how many, and the factor that makes it a whole number.
+RATES = (
+    ("symbol_rate", "n_symbols", "word_chars", 1000),
+    ("dup_line_rate", "n_dup_lines", "n_word_lines", 1000),
+    ("repeat_rate", "n_repeat_words", "n_words", 1000),
 )
+MEAN = ("word_size", "word_chars", "n_words", 100)
+#: Name, numerator and denominator of the quantiles that sketches give.
+QUANTILES = (("q25", 1, 4), ("q50", 1, 2), ("q75", 3, 4), ("q90", 9, 10))
 
 
 def text_measures(text: str) -> tuple[int, int, int, int, int, int]:
@@ -76,10 +80,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*own, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _ratio(rule: str) -> Column:
+def _ratio(top: str, under: str, factor: int) -> Column:
     """Null where there is nothing to divide by."""
-    top, under = rule.split(" // ")
-    return F.expr(f"({top}) div nullif({under}, 0)")
+    return F.expr(f"({factor} * {top}) div nullif({under}, 0)")
 
 
 def bin_of(value: Column) -> Column:
@@ -90,78 +93,96 @@ def bin_of(value: Column) -> Column:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """Mergeable sketches: counts per (lang, source, measure, bin); partial sums come before the shuffle."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _ratio(rule).alias("value")) for k, rule, _, _ in MEASURES]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _ratio(*rule).alias("value")) for k, *rule in (*RATES, MEAN)]))
     rows = stats.where("n_words > 0").select("lang", "source", pairs.alias("m")).select("lang", "source", "m.measure", bin_of(F.col("m.value")).alias("bin"))
     return rows.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """The quartiles' bins of the sketches merged up to keys, with the number of documents."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """The quantiles' bins of the sketches merged up to keys, with the number of documents."""
     from pyspark.sql import Window
 
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     run = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
-    return run.groupBy(*keys, "measure").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
-        F.max("total").alias("total"),
+    found = [F.min(F.when(d * F.col("upto") >= n * F.col("total"), F.col("bin"))).alias(q) for q, n, d in QUANTILES]
+    return run.groupBy(*keys, "measure").agg(*found, F.max("total").alias("total"))
+
+
+def thresholds(sketch: DataFrame, prior: int, reach: int) -> DataFrame:
+    """One row per (lang, source): hi_ of each rate, and lo_ and hi_ of the mean, by its group's quantiles drawn towards the wider groups'."""
+    keys, names = ("lang", "source"), [q for q, *_ in QUANTILES]
+    wide = lambda by, df: df.select(*by, "measure", *[F.col(c).alias(f"wide_{c}") for c in names])
+
+    def drawn(own: DataFrame, wider: DataFrame, *by: str) -> DataFrame:
+        a, b = own.alias("a"), wider.alias("b")
+        same = F.col("a.measure") == F.col("b.measure")
+        for k in by:
+            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        towards = [F.expr(f"(total * {q} + {prior} * wide_{q}) div (total + {prior})").alias(q) for q in names]
+        return a.join(b, same).select(*[f"a.{k}" for k in keys if k in own.columns], "a.measure", "total", *towards)
+
+    by_lang = drawn(quantiles(sketch, "lang"), wide((), quantiles(sketch)))
+    group = drawn(quantiles(sketch, *keys), wide(("lang",), by_lang), "lang")
+    of = lambda k, value, name: F.max(F.when(F.col("measure") == k, value)).alias(name)
+    rate = F.col("q90") + reach * (F.col("q90") - F.col("q50"))
+    spread = reach * (F.col("q75") - F.col("q25"))
+    return group.groupBy(*keys).agg(
+        *[of(k, rate, f"hi_{k}") for k, *_ in RATES],
+        of(MEAN[0], F.col("q25") - spread, f"lo_{MEAN[0]}"),
+        of(MEAN[0], F.col("q75") + spread, f"hi_{MEAN[0]}"),
     )
 
 
-def fences(sketch: DataFrame, least: int, reach: int) -> DataFrame:
-    """One row per (lang, source): lo_ and hi_ of each measure, by its group's own sketch or, for fewer than ``least`` documents, by the next wider one."""
-    keys = ("lang", "source")
-    own = quartiles(sketch, *keys)
-    by_lang = quartiles(sketch, "lang").select("lang", "measure", *[F.col(c).alias(f"lang_{c}") for c in ("q1", "q3", "total")])
-    by_all = quartiles(sketch).select("measure", *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
-    joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["lang"]) & (own["measure"] == by_lang["measure"])).drop(by_lang["lang"]).drop(by_lang["measure"]).join(by_all, "measure")
-    pick = lambda q: F.when(F.col("total") >= least, F.col(q)).when(F.col("lang_total") >= least, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    floor = F.create_map(*[F.lit(x) for k, _, spread, _ in MEASURES for x in (k, spread)])[F.col("measure")]
-    wide = joined.select(*keys, "measure", pick("q1").alias("q1"), pick("q3").alias("q3")).withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), floor))
-    return wide.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == k, F.col("q1") - reach * F.col("spread"))).alias(f"lo_{k}") for k, _, _, how in MEASURES if how == "both"],
-        *[F.max(F.when(F.col("measure") == k, F.col("q3") + reach * F.col("spread"))).alias(f"hi_{k}") for k, *_ in MEASURES],
-    )
+def _outside(reach: int) -> list[str]:
+    """SQL, which Spark and DuckDB share, for each rule that rejects a document; squares are taken of floating-point numbers."""
+    out = []
+    for k, top, under, factor in RATES:
+        over = f"({factor} * {top} - {under} * hi_{k} - {factor * reach})"
+        out.append(f"({over} > 0 AND CAST({over} AS DOUBLE) * {over} > CAST({factor * reach * reach} AS DOUBLE) * {under} * hi_{k})")
+    k, top, under, factor = MEAN
+    for over in (f"(({factor} * {top}) {{div}} {under} - hi_{k})", f"(lo_{k} - ({factor} * {top}) {{div}} {under})"):
+        out.append(f"({over} > 0 AND CAST({over} AS DOUBLE) * {over} * {under} > {(factor * reach) ** 2})")
+    return out
 
 
-def quality_rules(docs: DataFrame, text: str = "text", least: int = 200, reach: int = 3) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", prior: int = 100, reach: int = 3) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     docs needs doc_id, text, lang and source; other columns are not read.  A null or empty text
-    has no words and fails.  Null languages and sources form groups of their own.  Repeated rows
-    count, and come out, as often as they stand there; ties lie in one bin and so on one side of
-    a fence.  An empty table gives an empty result.
+    has no words and fails.  Null languages and sources form groups of their own, null doc_ids are
+    judged like others.  Repeated rows count, and come out, as often as they stand there; ties lie
+    in one bin and so on one side of a threshold.  An empty table gives an empty result.
     """
     stats = written(measured(docs, text), "quality-measures")
-    limits = fences(sketches(stats), least, reach)
+    limits = thresholds(sketches(stats), prior, reach)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.lit(True)
-    for k, rule, _, how in MEASURES:
-        inside = inside & (_ratio(rule) <= F.col(f"hi_{k}"))
-        if how == "both":
-            inside = inside & (_ratio(rule) >= F.col(f"lo_{k}"))
     a, b = stats.alias("a"), limits.alias("b")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return joined.select("doc_id", *out, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"))
+    outside = F.expr(" OR ".join(_outside(reach)).format(div="div"))
+    # Without words a text has failed, and nothing is divided by zero.
+    kept = F.when(failed, F.lit(False)).otherwise(~F.coalesce(outside, F.lit(True)))
+    return joined.select("doc_id", *out, failed.alias("base_failed"), kept.alias("kept"))
 
 
 def _oracle() -> str:
     """The same in DuckDB's SQL."""
-    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {rule} END AS {k}" for k, rule, _, _ in MEASURES)
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, ({k} >> greatest(length(ltrim(bin({k}), '0')) - 6, 0)) << greatest(length(ltrim(bin({k}), '0')) - 6, 0) AS bin FROM rates WHERE n_words > 0" for k, *_ in MEASURES)
+    rules = (*RATES, MEAN)
+    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {factor} * {top} // nullif({under}, 0) END AS {k}" for k, top, under, factor in rules)
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, ({k} >> greatest(length(ltrim(bin({k}), '0')) - 6, 0)) << greatest(length(ltrim(bin({k}), '0')) - 6, 0) AS bin FROM rates WHERE n_words > 0" for k, *_ in rules)
 
-    def quart(name: str, keys: str) -> str:
+    def quant(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
-        return f"""{name} AS (SELECT {by}measure, min(bin) FILTER (WHERE 4 * upto >= total) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3, max(total) AS total
+        found = ", ".join(f"min(bin) FILTER (WHERE {d} * upto >= {n} * total) AS {q}" for q, n, d in QUANTILES)
+        return f"""{name} AS (SELECT {by}measure, {found}, max(total) AS total
  FROM (SELECT {by}measure, bin, sum(count(*)) OVER (PARTITION BY {by}measure ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto, sum(count(*)) OVER (PARTITION BY {by}measure) AS total FROM bins GROUP BY {by}measure, bin) GROUP BY {by}measure)"""
 
-    spread = " ".join(f"WHEN '{k}' THEN {s}" for k, _, s, _ in MEASURES)
-    inside = " AND ".join(f"{k} <= (SELECT q3 + 3 * spread FROM fences f WHERE f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source AND f.measure = '{k}')" for k, *_ in MEASURES)
-    inside += " AND " + " AND ".join(f"{k} >= (SELECT q1 - 3 * spread FROM fences f WHERE f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source AND f.measure = '{k}')" for k, _, _, how in MEASURES if how == "both")
+    drawn = ", ".join(f"((o.total * o.{q} + 100 * w.{q}) // (o.total + 100))::BIGINT AS {q}" for q, *_ in QUANTILES)
+    highs = ", ".join(f"max(q90 + 3 * (q90 - q50)) FILTER (WHERE measure = '{k}') AS hi_{k}" for k, *_ in RATES)
+    mean = f"max(q25 - 3 * (q75 - q25)) FILTER (WHERE measure = '{MEAN[0]}') AS lo_{MEAN[0]}, max(q75 + 3 * (q75 - q25)) FILTER (WHERE measure = '{MEAN[0]}') AS hi_{MEAN[0]}"
     return rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM t),
 win AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 3),
 wk AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS k FROM win),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM wk WHERE k > 1) GROUP BY rid),
@@ -170,16 +191,15 @@ stats AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coales
  FROM w LEFT JOIN rep ON rep.rid = w.rid),
 rates AS (SELECT *, {rates} FROM stats),
 bins AS ({bins}),
-{quart("own", "lang, source")},
-{quart("bylang", "lang")},
-{quart("byall", "")},
-picked AS (SELECT own.lang, own.source, own.measure,
- CASE WHEN own.total >= 200 THEN own.q1 WHEN bylang.total >= 200 THEN bylang.q1 ELSE byall.q1 END AS q1,
- CASE WHEN own.total >= 200 THEN own.q3 WHEN bylang.total >= 200 THEN bylang.q3 ELSE byall.q3 END AS q3
- FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.measure = bylang.measure JOIN byall ON own.measure = byall.measure),
-fences AS (SELECT *, greatest(q3 - q1, CASE measure {spread} END) AS spread FROM picked),
-judged AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, ({inside}) AS inside FROM rates r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(inside, false)) AS kept FROM judged"""
+{quant("own", "lang, source")},
+{quant("bylang", "lang")},
+{quant("byall", "")},
+lang2 AS (SELECT o.lang, o.measure, {drawn} FROM bylang o JOIN byall w ON o.measure = w.measure),
+group2 AS (SELECT o.lang, o.source, o.measure, {drawn} FROM own o JOIN lang2 w ON o.measure = w.measure AND o.lang IS NOT DISTINCT FROM w.lang),
+limits AS (SELECT lang, source, {highs}, {mean} FROM group2 GROUP BY lang, source),
+judged AS (SELECT r.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CASE WHEN n_words > 0 THEN ({" OR ".join(_outside(3)).format(div="//")}) END AS outside
+ FROM stats r LEFT JOIN limits l ON l.lang IS NOT DISTINCT FROM r.lang AND l.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(outside, true)) AS kept FROM judged"""
 
 
 ORACLE = _oracle()
