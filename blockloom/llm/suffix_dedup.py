@@ -16,7 +16,7 @@ eighteen bytes, each standing for the run of strings whose anchor it is:
    splits the groups of equal suffixes by the bytes before it.  Every string of a group repeats
    in all documents but the least.
 
-Equality in step 1 is that of two hashes (88 bits); step 2 compares bytes.
+Equality in step 1 is that of two hashes (104 bits); step 2 compares bytes.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, released, written
+from .packed import Blob, packed
 
 GRAM = 16
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-KEY_BITS, RUN_BITS = 40, 48
+KEY_BITS = 40
+#: Bytes whose hashes are computed at a time.
+SEGMENT = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,36 +98,29 @@ def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     return which, begin - (ends - sizes)[which], more, at - (ends - sizes)[which], grams[at], run
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers as one blob: byte planes, compressed; _Blob reads it."""
-    import zstandard
+def _segments(texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text number, place, part) of all texts, some SEGMENT bytes at a time; a text's parts share size - 1 bytes, so each string starts in one."""
+    held, n = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - size + 1), SEGMENT):
+            part = t[at : at + SEGMENT + size - 1] if len(t) > SEGMENT else t
+            held.append((i, at, part))
+            n += len(part)
+            if n >= SEGMENT:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
-    parts = [np.array([len(arrays)], "<u4").tobytes()]
-    for a in arrays:
-        a = np.ascontiguousarray(a, "<u8")
-        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-        parts += [np.array([len(a), width], "<u4").tobytes(), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-
-class _Blob:
-    """Reads the arrays of _packed one at a time."""
-
-    def __init__(self, blob: bytes):
-        import zstandard
-
-        self.raw = zstandard.ZstdDecompressor().decompress(blob)
-        self.at, at = [], 4
-        for _ in range(int(np.frombuffer(self.raw, "<u4", 1)[0])):
-            n, width = (int(v) for v in np.frombuffer(self.raw, "<u4", 2, at))
-            self.at.append((at + 8, n, width))
-            at += 8 + n * width
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        at, n, width = self.at[i]
-        planes = np.zeros((n, 8), np.uint8)
-        planes[:, :width] = np.frombuffer(self.raw, np.uint8, n * width, at).reshape(width, n).T
-        return planes.view("<u8").reshape(-1)
+def all_anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
+    """What anchors gives, for texts of any length in bounded memory."""
+    found = []
+    for parts in _segments(texts, size):
+        which, start, more, at, gram, run = anchors([x for *_, x in parts], size)
+        number, place = (np.array([x[i] for x in parts], np.int64)[which] for i in range(2))
+        found.append((number, start + place, more, at + place, gram, run))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _group_heads(*keys: np.ndarray) -> np.ndarray:
@@ -136,15 +132,16 @@ def _group_heads(*keys: np.ndarray) -> np.ndarray:
 
 def _sent(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], size: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) rows of a batch of documents; a negative bucket's blob has runs that repeat for certain."""
-    which, start, more, at, gram, run = anchors(texts, size)
-    doc, key, run = ids[which], gram >> np.uint64(64 - KEY_BITS), run >> np.uint64(64 - RUN_BITS)
+    which, start, more, at, gram, run = all_anchors(texts, size)
+    # Mixed again, since the least hash of some is a small one, and keys are to be spread evenly.
+    doc, key = ids[which], _mixed(gram * MIX) >> np.uint64(64 - KEY_BITS)
     order = np.lexsort((doc, run, key))
     doc, key, run, which, start, more, at = (v[order] for v in (doc, key, run, which, start, more, at))
     head = _group_heads(key, run)
     lead = np.repeat(doc[head], np.diff(np.append(head, len(doc))))
     again = doc > lead
     if again.any():
-        yield -1 - int(abs(int(rows[0])) % buckets), _packed(rows[which[again]].view(np.uint64), start[again], more[again] + 1)
+        yield -1 - int(abs(int(rows[0])) % buckets), packed(rows[which[again]].view(np.uint64), start[again], more[again] + 1)
     keep = ~again
     doc, key, run, which, start, more, at = (v[keep] for v in (doc, key, run, which, start, more, at))
     bucket = (key * np.uint64(buckets)) >> np.uint64(KEY_BITS) if buckets < 1 << (64 - KEY_BITS) else key % np.uint64(buckets)
@@ -153,7 +150,7 @@ def _sent(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], size: int, buck
         s = slice(edges[int(b)], edges[int(b) + 1])
         used, number = np.unique(which[s], return_inverse=True)
         keys = key[s]
-        yield int(b), _packed(ids[used].view(np.uint64), rows[used].view(np.uint64), np.diff(keys, prepend=np.uint64(0)), run[s], number, start[s], more[s], at[s] - start[s])
+        yield int(b), packed(ids[used].view(np.uint64), rows[used].view(np.uint64), np.diff(keys, prepend=np.uint64(0)), run[s], number, start[s], more[s], at[s] - start[s])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -174,7 +171,7 @@ RUN_COLUMNS = ["row", "at", "before", "more"]
 
 def _judged(blobs: list[bytes]) -> pa.RecordBatch:
     """A bucket's runs: those that repeat for certain (before is -1, at the first start) and those to look at (at is the anchor)."""
-    read = [_Blob(b) for b in blobs]
+    read = [Blob(b) for b in blobs]
     keys = [np.cumsum(b[2]) for b in read]
     sizes = np.cumsum([0, *map(len, keys)])
     key = np.concatenate(keys)
@@ -251,7 +248,7 @@ def _settled(docs: DataFrame, size: int, bucket_bytes: int, batch_bytes: int) ->
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket < 0:
-                    row, start, more = (_Blob(blob.as_py())[i].view(np.int64) for i in range(3))
+                    row, start, more = (Blob(blob.as_py())[i].view(np.int64) for i in range(3))
                     yield _run_batch(row, start, np.full(len(row), -1), more)
                     continue
                 if bucket != now and blobs:
