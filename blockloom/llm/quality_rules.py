@@ -33,6 +33,8 @@ RATES = (
     ("dup_line_rate", "n_dup_lines", "n_word_lines", 1000),
     ("repeat_rate", "n_repeat_words", "n_words", 1000),
 )
+#: What one event adds to the count: a window of three words that is found twice, six words.
+EVENT = {"n_symbols": 1, "n_dup_lines": 1, "n_repeat_words": 6}
 MEAN = ("word_size", "word_chars", "n_words", 100)
 #: Name, numerator and denominator of the quantiles that sketches give.
 QUANTILES = (("q25", 1, 4), ("q50", 1, 2), ("q75", 3, 4), ("q90", 9, 10))
@@ -138,8 +140,8 @@ def _outside(reach: int) -> list[str]:
     """SQL, which Spark and DuckDB share, for each rule that rejects a document; squares are taken of floating-point numbers."""
     out = []
     for k, top, under, factor in RATES:
-        over = f"({factor} * {top} - {under} * hi_{k} - {factor * reach})"
-        out.append(f"({over} > 0 AND CAST({over} AS DOUBLE) * {over} > CAST({factor * reach * reach} AS DOUBLE) * {under} * hi_{k})")
+        over = f"({factor} * {top} - {under} * hi_{k} - {factor * reach * EVENT[top]})"
+        out.append(f"({over} > 0 AND CAST({over} AS DOUBLE) * {over} > CAST({factor * reach * reach * EVENT[top]} AS DOUBLE) * {under} * hi_{k})")
     k, top, under, factor = MEAN
     for over in (f"(({factor} * {top}) {{div}} {under} - hi_{k})", f"(lo_{k} - ({factor} * {top}) {{div}} {under})"):
         out.append(f"({over} > 0 AND CAST({over} AS DOUBLE) * {over} * {under} > {(factor * reach) ** 2})")
@@ -182,7 +184,9 @@ def _oracle() -> str:
     highs = ", ".join(f"max(q90 + 3 * (q90 - q50)) FILTER (WHERE measure = '{k}') AS hi_{k}" for k, *_ in RATES)
     mean = f"max(q25 - 3 * (q75 - q25)) FILTER (WHERE measure = '{MEAN[0]}') AS lo_{MEAN[0]}, max(q75 + 3 * (q75 - q25)) FILTER (WHERE measure = '{MEAN[0]}') AS hi_{MEAN[0]}"
     return rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM t),
 win AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 3),
 wk AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS k FROM win),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM wk WHERE k > 1) GROUP BY rid),
