@@ -65,7 +65,7 @@ def _sliced(df: DataFrame, most: int = 2_000_000) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", size: int = 8, least_items: int = 2, slice_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and item_ids.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, item_ids and text_hash (xxhash64 of the text, null as empty).
 
     docs needs doc_id and text, items needs item_id and text; other columns are not read.  spans
     holds the hit words' merged ranges (start, end) by word number from 0.  A null or empty text
@@ -113,6 +113,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", size: i
         (F.size(ids) >= least_items).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         ids.alias("item_ids"),
+        "a.text_hash",
     )
 
 

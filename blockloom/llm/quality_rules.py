@@ -66,20 +66,21 @@ def text_measures(text: str) -> tuple[int, int, int, int, int, int]:
     return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated, lines
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row a document: doc_id, lang, source and the counts of text_measures."""
+def measured(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """One row a document: doc_id, lang, source, row_key (a long column named by key, or null) and the counts of text_measures."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_measures(x.as_py() or "") for x in batch.column(3)]
-            cols = {k: batch.column(i) for i, k in enumerate(("doc_id", "lang", "source"))}
+            found = [text_measures(x.as_py() or "") for x in batch.column(4)]
+            cols = {k: batch.column(i) for i, k in enumerate(("doc_id", "lang", "source", "row_key"))}
             cols |= {k: pa.array([f[i] for f in found], pa.int64()) for i, k in enumerate(names)}
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "doc_id bigint, lang string, source string, " + ", ".join(f"{k} bigint" for k in names)
+    schema = "doc_id bigint, lang string, source string, row_key bigint, " + ", ".join(f"{k} bigint" for k in names)
     own = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("lang", "string"), ("source", "string"))]
-    return docs.select(*own, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    carried = (F.lit(None) if key is None else F.col(f"`{key}`")).cast("bigint").alias("row_key")
+    return docs.select(*own, carried, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _ratio(top: str, under: str, factor: int) -> Column:
@@ -148,15 +149,15 @@ def _outside(reach: int) -> list[str]:
     return out
 
 
-def quality_rules(docs: DataFrame, text: str = "text", prior: int = 100, reach: int = 3) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+def quality_rules(docs: DataFrame, text: str = "text", prior: int = 100, reach: int = 3, key: str | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and, if key names a long column, row_key.
 
     docs needs doc_id, text, lang and source; other columns are not read.  A null or empty text
     has no words and fails.  Null languages and sources form groups of their own, null doc_ids are
     judged like others.  Repeated rows count, and come out, as often as they stand there; ties lie
     in one bin and so on one side of a threshold.  An empty table gives an empty result.
     """
-    stats = written(measured(docs, text), "quality-measures")
+    stats = written(measured(docs, text, key), "quality-measures")
     limits = thresholds(sketches(stats), prior, reach)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     a, b = stats.alias("a"), limits.alias("b")
@@ -165,7 +166,7 @@ def quality_rules(docs: DataFrame, text: str = "text", prior: int = 100, reach:
     outside = F.expr(" OR ".join(_outside(reach)).format(div="div"))
     # Without words a text has failed, and nothing is divided by zero.
     kept = F.when(failed, F.lit(False)).otherwise(~F.coalesce(outside, F.lit(True)))
-    return joined.select("doc_id", *out, failed.alias("base_failed"), kept.alias("kept"))
+    return joined.select("doc_id", *out, failed.alias("base_failed"), kept.alias("kept"), *(["row_key"] if key else []))
 
 
 def _oracle() -> str:

@@ -59,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
-    return decontaminate.decontaminate(docs, items).drop("spans", "item_ids")
+    return decontaminate.decontaminate(docs, items).drop("spans", "item_ids", "text_hash")
 
 
 QUERIES = {

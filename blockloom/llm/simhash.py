@@ -54,15 +54,16 @@ def fingerprint(text: str, size: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, key: str | None = None) -> DataFrame:
+    """(doc_id, fp, row_key): fp is the fingerprint as a signed long, row_key a long column named by key, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py() or "", size) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(2)], ["doc_id", "fp", "row_key"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    carried = (F.lit(None) if key is None else F.col(f"`{key}`")).cast("bigint").alias("row_key")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text"), carried).mapInArrow(run, "doc_id bigint, fp bigint, row_key bigint")
 
 
 def _forest(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +133,19 @@ def links(distinct: DataFrame, radius: int = 2, crowd: int = 4096) -> DataFrame:
     return few.union(many)
 
 
-def simhash_components(docs: DataFrame, text: str = "text", size: int = 3, radius: int = 2, crowd: int = 4096) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links).
+def simhash_components(docs: DataFrame, text: str = "text", size: int = 3, radius: int = 2, crowd: int = 4096, key: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links) and, if key names a long column, row_key.
 
     A null text counts as empty; all documents without words have fingerprint zero and are linked
     as any others.  Repeated rows come out as often as they stand there.  Null doc_ids keep their
     rows and never name a component.  An empty table gives an empty result.  Other columns of
     docs are not read.
     """
-    own = written(fingerprints(docs, text, size), "fingerprints")
+    own = written(fingerprints(docs, text, size, key), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct, radius, crowd))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     final = placed.join(named, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return own.join(final, "fp").select("doc_id", hexed, "component_id")
+    return own.join(final, "fp").select("doc_id", hexed, "component_id", *(["row_key"] if key else []))
