@@ -1,14 +1,18 @@
 """Quality and toxicity classifiers by co-training of two views, applied to all documents.
 
-The text view sees which words and marks a document has, the page view its metadata and layout:
-language, source, size, lines, and shares of kinds of characters, but no word.  For each target
-both views are fitted to the labelled sample.  Then, for some rounds, each view labels the
-unlabelled documents of which it is most confident, and the other view is fitted anew with these
-pseudo-labels at less weight.  Each view's scores are calibrated on labelled documents held out
-of the fits, and the calibrated log-odds of both are combined with weights fitted there too.
-
-The fits see a bounded sample (``labelled`` and ``pool`` documents, those least by hash); scoring
-reads every document's whole text, and shuffles nothing.
+The text view sees which words and marks a document has; the page view its metadata and layout: language,
+source, size, lines, and shares of kinds of characters, but no word.  For each target both views
+are fitted to a labelled sample and calibrated on labelled documents held out of the fits.  Then,
+for some rounds, each view labels all other documents, and those of which it is confident teach
+the other view.  At last the calibrated log-odds of both views are combined with weights fitted
+on the held-out documents, too.
+
+Only the labelled sample is bounded (``labelled`` documents, those least by hash).  Features of all
+documents are written once; each round is one pass over them, which adds up what the fits need of
+the confident documents, whatever their number: for the text view, documents by feature and class;
+for the page view, gradient and curvature of the loss at its present weights.  These sums have a
+fixed size, and weigh ``pseudo`` times as much as the labelled sample, so that fits behave alike
+however many documents there are.
 """
 
 from __future__ import annotations
@@ -19,9 +23,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .packed import Blob, packed
+
 BITS = 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 N_NUMBERS = 10
@@ -81,10 +89,6 @@ class Sparse:
     cols: np.ndarray
     n: int
 
-    @classmethod
-    def of(cls, lists: list[np.ndarray]) -> Sparse:
-        return cls(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists) if lists else np.empty(0, np.int64), len(lists))
-
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, w[self.cols], self.n)
 
@@ -92,12 +96,17 @@ class Sparse:
         return np.bincount(self.cols, r[self.rows], size)
 
 
-def fit_text(x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and intercept: logistic regression over log-count ratios of the features."""
+def fit_text(x: Sparse, y: np.ndarray, weight: np.ndarray, more: np.ndarray | None = None, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept: logistic regression over log-count ratios of the features.
+
+    more adds to the counts, not to the regression: documents by class (negative first) and
+    feature, with the number of documents of the class in the last column.
+    """
     size = 1 << BITS
-    seen = x.back((weight > 0).astype(float), size)
-    pos, neg = x.back(weight * y, size) + 0.5, x.back(weight * (1 - y), size) + 0.5
-    ratio = np.log(pos / (weight * y).sum().clip(1)) - np.log(neg / (weight * (1 - y)).sum().clip(1))
+    more = np.zeros((2, size + 1)) if more is None else more
+    seen = x.back((weight > 0).astype(float), size) + more[:, :-1].sum(axis=0)
+    pos, neg = x.back(weight * y, size) + more[1, :-1] + 0.5, x.back(weight * (1 - y), size) + more[0, :-1] + 0.5
+    ratio = np.log(pos / ((weight * y).sum() + more[1, -1]).clip(1)) - np.log(neg / ((weight * (1 - y)).sum() + more[0, -1]).clip(1))
     ratio[seen < 3] = 0
     w, b, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
     scale = weight / max(weight.sum(), 1e-9)
@@ -110,16 +119,21 @@ def fit_text(x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> t
     return w * ratio, b
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the last coefficient is the intercept, without penalty."""
+def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, more: tuple | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; the last coefficient is the intercept, without penalty.
+
+    more is (weights, gradient, curvature) of a further loss, which counts by its second-order
+    approximation at these weights.
+    """
     x = np.c_[x, np.ones(len(x))]
     w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-6]
+    at, slope, bend = more if more is not None else (w, w, np.zeros((len(w), len(w))))
     for _ in range(25):
         p = _sigmoid(x @ w)
-        g = x.T @ ((p - y) * weight) + ridge * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        g = x.T @ ((p - y) * weight) + ridge * w + slope + bend @ (w - at)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9) + bend
         step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -134,6 +148,7 @@ class CoModel:
     text: dict = field(default_factory=dict)
     page: dict = field(default_factory=dict)
     calibration: dict = field(default_factory=dict)
+    rate: dict = field(default_factory=dict)
 
     def page_matrix(self, marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         z = np.clip((numbers - self.mean) / self.sd, -5, 5)
@@ -143,6 +158,14 @@ class CoModel:
         x[:, 1 << PAGE_BITS :] = np.c_[z, z * z]
         return x
 
+    def confident(self, target: str, p: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which probabilities tell the class, negative and positive: the odds must be so many times the class's own, so that a rare class isn't denied for its rarity."""
+        odds, own, least = p / (1 - p), self.rate[target] / (1 - self.rate[target]), sure / (1 - sure)
+        return odds * least <= own, odds >= own * least
+
+    def text_weights(self) -> np.ndarray:
+        return np.stack([self.text[t][0] for t in TARGETS], axis=1).astype(np.float32).astype(np.float64)
+
     def combined(self, target: str, text: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, the page view and both."""
         a, b, c = self.calibration[target]
@@ -150,63 +173,143 @@ class CoModel:
         return _sigmoid(s), _sigmoid(p), _sigmoid(c[0] * s + c[1] * p + c[2])
 
 
-def cotrain(texts: Sparse, marks: np.ndarray, numbers: np.ndarray, labels: dict[str, np.ndarray], held: np.ndarray, rounds: int = 3, share: float = 0.1, pseudo: float = 0.3) -> CoModel:
-    """labels: 0, 1 or -1 (unlabelled) for each row; held: labelled rows kept for calibration.
+#: What every document's features are in a table: packed little-endian arrays.
+FEATURES = "doc_id bigint, tokens binary, marks binary, numbers binary"
+KINDS = {"tokens": "<i4", "marks": "<i4", "numbers": "<f8"}
 
-    Each round a view hands over the ``share`` of unlabelled rows that it is surest of, in the
-    proportion of the labels, if it is at least 90 % sure of them.
-    """
-    model = CoModel(numbers.mean(axis=0) if len(numbers) else np.zeros(N_NUMBERS), (numbers.std(axis=0) if len(numbers) else np.ones(N_NUMBERS)) + 1e-6)
-    x = model.page_matrix(marks, numbers)
-    for target in TARGETS:
-        y = labels[target]
-        fit, pool = (y >= 0) & ~held, y < 0
-        rate = y[fit].mean() if fit.any() else 0.5
-        own = {v: (np.where(fit, y, 0).astype(float), fit.astype(float)) for v in ("text", "page")}
-        for k in range(rounds + 1):
-            w, b = fit_text(texts, *own["text"])
-            used = own["page"][1] > 0
-            q = fit_dense(x[used], own["page"][0][used], own["page"][1][used])
-            scores = {"text": texts.dot(w) + b, "page": x @ q[:-1] + q[-1]}
-            if k == rounds or not pool.any():
-                break
-            for giver, taker in (("text", "page"), ("page", "text")):
-                p = _sigmoid(scores[giver])
-                known, weight = own[taker][0].copy(), fit.astype(float)
-                n = int(share * (k + 1) * pool.sum())
-                for sure, value, part in ((p, 1.0, rate), (1 - p, 0.0, 1 - rate)):
-                    best = np.flatnonzero(pool)[np.argsort(-sure[pool], kind="stable")[: int(round(n * part))]]
-                    best = best[sure[best] >= 0.9]
-                    known[best], weight[best] = value, pseudo
-                own[taker] = (known, weight)
-        at = (y >= 0) & held
-        if at.sum() < 20:
-            at = y >= 0
-        yy, one = y[at].astype(float), np.ones(int(at.sum()))
-        if at.any():
-            a, c = (fit_dense(scores[v][at][:, None], yy, one, 1e-2) for v in ("text", "page"))
-            both = fit_dense(np.c_[a[0] * scores["text"][at] + a[1], c[0] * scores["page"][at] + c[1]], yy, one, 1e-2)
-        else:
-            a = c = np.array([1.0, 0.0])
-            both = np.array([0.5, 0.5, 0.0])
-        model.text[target], model.page[target], model.calibration[target] = (w, b), q, (a, c, both)
-    return model
 
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and, as bytes, the distinct hashed words, the marks and the numbers of every document's whole text."""
 
-def _features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in batches:
-            ids, tokens, marks, numbers = [], [], [], []
-            for doc_id, text, lang, source, n_chars in zip(*batch.columns, strict=True):
-                text = text.as_py() or ""
-                ids.append(doc_id.as_py())
-                tokens.append(sorted({cache[t] for t in set(TOKEN.findall(text.lower()))}))
-                marks.append(page_marks(lang.as_py(), source.as_py()))
-                numbers.append(page_numbers(text, n_chars.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.float64()))], ["doc_id", "tokens", "marks", "numbers"])
+            for at in range(0, batch.num_rows, 1000):
+                part, cols = batch.slice(at, 1000), ([], [], [])
+                for x, lang, source, n_chars in zip(*[part.column(j) for j in range(1, 5)], strict=True):
+                    x = x.as_py() or ""
+                    cols[0].append(np.unique(np.fromiter(map(cache.__getitem__, set(TOKEN.findall(x.lower()))), "<i4")).tobytes())
+                    cols[1].append(np.array(page_marks(lang.as_py(), source.as_py()), "<i4").tobytes())
+                    cols[2].append(np.array(page_numbers(x, n_chars.as_py()), "<f8").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in cols]], ["doc_id", *KINDS])
+
+    return _five(docs, text).mapInArrow(run, FEATURES)
+
+
+def _read(batch: pa.RecordBatch) -> tuple[Sparse, np.ndarray, np.ndarray]:
+    """Features of a batch of feature rows."""
+    flat, sizes = {}, None
+    for i, (name, kind) in enumerate(KINDS.items(), 1):
+        col = batch.column(i)
+        flat[name] = np.frombuffer(b"".join(col.to_pylist()), kind)
+        if name == "tokens":
+            sizes = pc.binary_length(col).to_numpy() // 4
+    n = batch.num_rows
+    return Sparse(np.repeat(np.arange(n), sizes), flat["tokens"].astype(np.int64), n), flat["marks"].reshape(n, 2), flat["numbers"].reshape(n, N_NUMBERS)
+
+
+def _exchanged(table: DataFrame, model: CoModel, known: set, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over all documents but the known: (counts, slopes, bends, numbers).
 
-    return docs.mapInArrow(run, "doc_id bigint, tokens array<int>, marks array<int>, numbers array<double>")
+    For each target and class: documents by feature of which the page view is confident, with
+    their number last.  For each target: gradient and curvature of the page view's loss on the
+    documents of which the text view is confident, and their number.  Each task sums first, then
+    some tasks sum these, so what comes to the driver has a fixed size.
+    """
+    size, width = 1 << BITS, (1 << PAGE_BITS) + 2 * N_NUMBERS + 1
+    shapes = ((len(TARGETS), 2, size + 1), (len(TARGETS), width), (len(TARGETS), width, width), (len(TARGETS),))
+
+    def blobs(sums: list[np.ndarray]) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        floats = np.concatenate([x.ravel() for x in sums[1:]])
+        part = TaskContext.get().partitionId() % 32
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(sums[0].ravel().astype(np.uint64))], pa.binary()), pa.array([floats.tobytes()], pa.binary())], ["part", "counts", "floats"])
+
+    def add(sums: list[np.ndarray], counts: bytes, floats: bytes) -> None:
+        sums[0] += Blob(counts)[0].reshape(shapes[0])
+        rest, at = np.frombuffer(floats), 0
+        for x in sums[1:]:
+            x += rest[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sums = model.text_weights(), [np.zeros(s) for s in shapes]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                part = part.filter(pa.array([x not in known for x in part.column(0).to_pylist()], pa.bool_()))
+                if not part.num_rows:
+                    continue
+                words, marks, numbers = _read(part)
+                x = model.page_matrix(marks, numbers)
+                full = np.c_[x, np.ones(len(x))]
+                for k, t in enumerate(TARGETS):
+                    text, page, _ = model.combined(t, words.dot(weights[:, k]) + model.text[t][1], full @ model.page[t])
+                    for value, mask in enumerate(model.confident(t, page, sure)):
+                        sums[0][k, value, :-1] += words.back(mask.astype(float), size)
+                        sums[0][k, value, -1] += mask.sum()
+                    no, yes = model.confident(t, text, sure)
+                    told = no | yes
+                    z, p = full[told], _sigmoid(full[told] @ model.page[t])
+                    sums[1][k] += z.T @ (p - yes[told])
+                    sums[2][k] += (z * (p * (1 - p))[:, None]).T @ z
+                    sums[3][k] += told.sum()
+        yield blobs(sums)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_ = [np.zeros(s) for s in shapes], False
+        for batch in batches:
+            for _, counts, floats in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                add(sums, counts, floats)
+                any_ = True
+        if any_:
+            yield blobs(sums)
+
+    schema = "part int, counts binary, floats binary"
+    found = table.mapInArrow(look, schema).repartition("part").mapInArrow(total, schema).collect()  # at most 32 rows
+    sums = [np.zeros(s) for s in shapes]
+    for r in found:
+        add(sums, r["counts"], r["floats"])
+    return tuple(sums)
+
+
+def cotrain(table: DataFrame, texts: Sparse, marks: np.ndarray, numbers: np.ndarray, labels: dict[str, np.ndarray], ids: list, rounds: int = 3, pseudo: float = 0.3, sure: float = 0.95) -> CoModel:
+    """labels: 0 or 1 for each row of the sample, whose documents are ids; table has features of all documents.
+
+    A quarter of the sample, by hash, is held out for calibration (unless it has no document of
+    either class, when all of the sample calibrates).  In each round a view hands over what it is
+    ``sure`` of beyond the class's share of the sample; over the rounds its weight grows to ``pseudo`` times the sample's.
+    """
+    model = CoModel(numbers.mean(axis=0) if len(numbers) else np.zeros(N_NUMBERS), (numbers.std(axis=0) if len(numbers) else np.ones(N_NUMBERS)) + 1e-6)
+    x = model.page_matrix(marks, numbers)
+    held = np.array([_hashed(f"held {i}", 16) % 4 == 0 for i in ids], bool)
+    taught: dict[str, tuple] = {t: (None, None) for t in TARGETS}
+    for k in range(rounds + 1):
+        for t in TARGETS:
+            y, one = labels[t].astype(float), (~held).astype(float)
+            model.rate[t] = (y.sum() + 1) / (len(y) + 2)
+            more_text, more_page = taught[t]
+            w, b = fit_text(texts, y, one, more_text)
+            q = fit_dense(x[~held], y[~held], one[~held], more=more_page)
+            scores = {"text": texts.dot(w) + b, "page": x @ q[:-1] + q[-1]}
+            at = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
+            if at.any():
+                each = np.ones(int(at.sum()))
+                a, c = (fit_dense(scores[v][at][:, None], y[at], each, 1e-2) for v in ("text", "page"))
+                both = fit_dense(np.c_[a[0] * scores["text"][at] + a[1], c[0] * scores["page"][at] + c[1]], y[at], each, 1e-2)
+            else:
+                a = c = np.array([1.0, 0.0])
+                both = np.array([0.5, 0.5, 0.0])
+            model.text[t], model.page[t], model.calibration[t] = (w, b), q, (a, c, both)
+        if k == rounds or not len(ids):
+            break
+        counts, slopes, bends, told = _exchanged(table, model, set(ids), sure)
+        weight = pseudo * (k + 1) / rounds * float((~held).sum())
+        for j, t in enumerate(TARGETS):
+            by_text = weight / max(told[j], 1.0)
+            taught[t] = (counts[j] * (weight / max(counts[j, :, -1].sum(), 1.0)), (model.page[t], slopes[j] * by_text, bends[j] * by_text))
+    return model
 
 
 def _five(docs: DataFrame, text: str) -> DataFrame:
@@ -215,64 +318,58 @@ def _five(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(own["doc_id"], F.col(text).cast("string").alias("text"), own["lang"], own["source"], own["n_chars"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", labelled: int = 8000, pool: int = 4000, rounds: int = 3) -> CoModel:
-    """Fits the views to at most ``labelled`` labelled and ``pool`` unlabelled documents, those least by hash of doc_id.
+def fit(table: DataFrame, labels: DataFrame, labelled: int = 8000, rounds: int = 3) -> CoModel:
+    """Fits the views to features of all documents and at most ``labelled`` labelled documents, those least by hash of doc_id.
 
-    Labels of one document that disagree count as the lesser quality and the greater toxicity.
+    Labels of one document that disagree count as the lesser quality and the greater toxicity; a
+    row without doc_id or with a null label is no label.  Of a doc_id that stands for several
+    documents, the least by its features is the labelled one, and none of them is exchanged.
+    Labelled documents beyond the sample are exchanged as if they had no label.
     """
-    docs = _five(docs, text)
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    some = first(ids.join(known, "doc_id"), labelled).unionByName(first(ids.join(known, "doc_id", "left_anti"), pool), allowMissingColumns=True)
-    chosen = {r["doc_id"]: r for r in some.collect()}  # at most labelled + pool ids
-    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id bigint")
-    found = _features(docs.join(F.broadcast(keys), "doc_id", "left_semi")).toArrow().sort_by("doc_id").to_pylist()
-    texts = Sparse.of([np.array(r["tokens"], np.int64) for r in found])
-    marks = np.array([r["marks"] for r in found], np.int64).reshape(len(found), 2)
-    numbers = np.array([r["numbers"] for r in found], float).reshape(len(found), N_NUMBERS)
-    y = {t: np.array([-1 if chosen[r["doc_id"]][t] is None else chosen[r["doc_id"]][t] for r in found], np.int64) for t in TARGETS}
-    held = np.array([_hashed(f"held {r['doc_id']}", 16) % 4 == 0 for r in found], bool)
-    return cotrain(texts, marks, numbers, y, held, rounds)
-
-
-def score(docs: DataFrame, model: CoModel, text: str = "text", least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """doc_id, text_quality, page_quality, quality, text_toxic, page_toxic, toxic, kept, for every document.
-
-    A null text counts as empty, and a null or missing lang, source or n_chars as a value of its
-    own.  Repeated rows and null doc_ids are scored like others; an empty table gives an empty
-    result.
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    ids = table.where("doc_id is not null").select("doc_id").distinct()
+    chosen = {r["doc_id"]: r for r in ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
+    keys = table.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id bigint")  # at most ``labelled``
+    few = table.join(F.broadcast(keys), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*KINDS)).alias("f")).select("doc_id", "f.*")
+    found = few.toArrow().sort_by("doc_id").combine_chunks()
+    sample = pa.RecordBatch.from_arrays([found.column(i).combine_chunks() if found.num_rows else pa.array([], pa.int64() if not i else pa.binary()) for i in range(4)], ["doc_id", *KINDS])
+    order = sample.column(0).to_pylist()
+    y = {t: np.array([chosen[i][t] for i in order], np.int64) for t in TARGETS}
+    return cotrain(table, *_read(sample), y, order, rounds)
+
+
+def score(table: DataFrame, model: CoModel, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
+    """doc_id, text_quality, page_quality, quality, text_toxic, page_toxic, toxic, kept, for every row of features.
+
+    Repeated rows and null doc_ids are scored like others; an empty table gives an empty result.
     """
-    weights = np.stack([model.text[t][0] for t in TARGETS], axis=1).astype(np.float32)
     names = [f"{v}{t}" for t in TARGETS for v in ("text_", "page_", "")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
+        weights = model.text_weights()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sums, marks, numbers = np.zeros((part.num_rows, 2)), [], []
-                for i, (x, lang, source, n_chars) in enumerate(zip(*[part.column(j) for j in range(1, 5)], strict=True)):
-                    x = x.as_py() or ""
-                    found = np.unique(np.fromiter(map(cache.__getitem__, set(TOKEN.findall(x.lower()))), np.int64))
-                    sums[i] = weights[found].sum(axis=0, dtype=np.float64)
-                    marks.append(page_marks(lang.as_py(), source.as_py()))
-                    numbers.append(page_numbers(x, n_chars.as_py()))
-                page = model.page_matrix(np.array(marks), np.array(numbers))
-                cols = [part.column(0)]
-                values = {}
+                words, marks, numbers = _read(part)
+                page = model.page_matrix(marks, numbers)
+                cols, values = [part.column(0)], {}
                 for k, t in enumerate(TARGETS):
                     q = model.page[t]
-                    three = model.combined(t, sums[:, k] + model.text[t][1], page @ q[:-1] + q[-1])
+                    three = model.combined(t, words.dot(weights[:, k]) + model.text[t][1], page @ q[:-1] + q[-1])
                     cols += [pa.array(v) for v in three]
                     values[t] = three[2]
                 kept = (values["quality"] >= least_quality) & (values["toxic"] < most_toxic)
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(kept)], ["doc_id", *names, "kept"])
 
-    schema = "doc_id bigint, " + ", ".join(f"{n} double" for n in names) + ", kept boolean"
-    return _five(docs, text).mapInArrow(run, schema)
+    return table.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} double" for n in names) + ", kept boolean")
 
 
-def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Fits to the labels and scores all documents; without any label every score is one half."""
-    return score(docs, fit(docs, labels, **options))
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Fits to the labels and scores all documents; without any label every score is one half.
+
+    docs needs doc_id and the text; a null text counts as empty, and a null or missing lang,
+    source or n_chars as a value of its own.  Other columns are not read.  labels needs doc_id,
+    quality and toxic (0 or 1).
+    """
+    table = written(features(docs, text), "cotraining-features")
+    return score(table, fit(table, labels, **options))

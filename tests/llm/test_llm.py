@@ -559,3 +559,44 @@ def test_odd_rows_through_every_operator(spark, tmp_path):
         turns = turns.withColumn(c, F.lit("x"))
     out = {x["tree"]: x["n_turns"] for x in chat.digests(chat.format_trees(chat.as_tree(turns)), "tree").collect()}
     assert out == {None: 2, 1: 2, 2: 1}
+
+
+def test_scores_and_exchange_against_brute_force(spark, docs, rows):
+    r = random.Random(31)
+    labels = spark.createDataFrame([(i, r.randint(0, 1), r.randint(0, 1)) for i, *_ in rows[:40]], "doc_id long, quality int, toxic int")
+    table = cotraining.features(docs).cache()
+    model = cotraining.fit(table, labels, rounds=1)
+    plain, cache = {}, cotraining._Hashes()
+    for i, t, lang, source, n in rows:
+        words = sorted({cache[x] for x in cotraining.TOKEN.findall((t or "").lower())})
+        z = np.clip((np.array(cotraining.page_numbers(t or "", n)) - model.mean) / model.sd, -5, 5)
+        page = np.zeros(1 << cotraining.PAGE_BITS)
+        page[cotraining.page_marks(lang, source)] = 1
+        plain[i] = (words, np.r_[page, z, z * z, 1])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    got = {x["doc_id"]: x for x in cotraining.score(table, model).collect()}
+    assert len(got) == len(rows)
+    views = {}
+    for i, (words, x) in plain.items():
+        for t in cotraining.TARGETS:
+            a, b, c = model.calibration[t]
+            s = a[0] * (model.text[t][0].astype(np.float32)[words].sum(dtype=float) + model.text[t][1]) + a[1]
+            p = b[0] * (x @ model.page[t]) + b[1]
+            views[i, t] = (sigmoid(s), sigmoid(p))
+            assert np.allclose([got[i][f"text_{t}"], got[i][f"page_{t}"], got[i][t]], [sigmoid(s), sigmoid(p), sigmoid(c[0] * s + c[1] * p + c[2])], atol=1e-6)
+    known = set(list(plain)[:40])
+    counts, slopes, bends, told = cotraining._exchanged(table, model, known, 0.6)
+    for k, t in enumerate(cotraining.TARGETS):
+        want, slope, bend, n = np.zeros_like(counts[k]), 0, 0, 0
+        for i, (words, x) in plain.items():
+            if i in known:
+                continue
+            text, page = (model.confident(t, v, 0.6) for v in views[i, t])
+            for value in (0, 1):
+                if page[value]:
+                    want[value, words] += 1
+                    want[value, -1] += 1
+            if any(text):
+                p = sigmoid(x @ model.page[t])
+                slope, bend, n = slope + x * (p - text[1]), bend + np.outer(x, x) * p * (1 - p), n + 1
+        assert (counts[k] == want).all() and told[k] == n and np.allclose(slopes[k], slope) and np.allclose(bends[k], bend)
