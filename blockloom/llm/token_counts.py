@@ -4,8 +4,9 @@ A pre-token is a word with the space mark before it.  The distinct pre-tokens of
 documents are walked in sorted order, which is the depth-first order of their trie: the stack
 holds, for each node of the current path, the best (forward) score of a segmentation of the
 node's prefix and the tokens it takes, so these are computed once for each shared prefix.  A
-node where a pre-token ends is a terminal, and its count is stored for all documents of the
-batch.  Batches are bounded, and so are the trie and the counts; nothing is shuffled.
+node where a pre-token ends is a terminal, and its count is stored for all documents of the batch
+and of later ones.  Batches are bounded, and so are the trie and the stored counts; nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -69,16 +70,34 @@ def zipf_scores(model_file: str) -> dict[str, float]:
     return {p: -math.log(i + 2) - total for i, p in enumerate(pieces)}
 
 
-_COUNTERS: dict[str, UnigramCounter] = {}
+class Terminals:
+    """Stored counts of pre-tokens: two generations of at most ``size``, so that what is used stays."""
 
+    def __init__(self, counter: UnigramCounter, size: int = 600_000):
+        self.counter, self.size, self.now, self.old = counter, size, {}, {}
 
-def counter_for(model_file: str) -> UnigramCounter:
+    def of(self, pretokens: set[str]) -> dict[str, int]:
+        """Counts that have, among others, all of pretokens."""
+        new = pretokens.difference(self.now)
+        if len(self.now) + len(new) > self.size:
+            self.old, self.now, new = self.now, {}, pretokens
+        kept = {w: self.old[w] for w in new if w in self.old} if self.old else {}
+        self.now.update(kept)
+        self.now.update(self.counter.counts(new.difference(kept)))
+        return self.now
+
+
+_COUNTERS: dict[str, Terminals] = {}
+
+
+def counter_for(model_file: str) -> Terminals:
+    """One a worker, for all its tasks."""
     if model_file not in _COUNTERS:
-        _COUNTERS[model_file] = UnigramCounter(zipf_scores(model_file))
+        _COUNTERS[model_file] = Terminals(UnigramCounter(zipf_scores(model_file)))
     return _COUNTERS[model_file]
 
 
-def token_counts(docs: DataFrame, model_file: str, text: str = "text", batch_chars: int = 8 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, text: str = "text", batch_chars: int = 2 << 20) -> DataFrame:
     """doc_id, n_words, n_tokens of every document's whole text.
 
     A null or empty text has no words and no tokens.  Repeated rows and null doc_ids are rows
@@ -90,7 +109,7 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text", batch_cha
         counter = counter_for(model_file)
 
         def done(ids: list, held: list[list[str]]) -> pa.RecordBatch:
-            found = counter.counts({SPACE + w for words in held for w in words})
+            found = counter.of({SPACE + w for words in held for w in words})
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(w) for w in held], pa.int64()), pa.array([sum([found[SPACE + x] for x in w]) for w in held], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
         for batch in batches:
@@ -110,5 +129,10 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text", batch_cha
 
 
 def token_totals(counts: DataFrame, docs: DataFrame, *keys: str) -> DataFrame:
-    """Documents, words and tokens per group of keys of docs; partial sums come before the shuffle."""
+    """Documents, words and tokens per group of keys of docs; partial sums come before the shuffle.
+
+    Rows are matched by doc_id: rows without one count nowhere, and each row of a repeated doc_id
+    counts once in the group of each row of docs that has it.  Null keys form groups; empty tables
+    give an empty result.
+    """
     return counts.join(docs.select("doc_id", *keys), "doc_id").groupBy(*keys).agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens"))

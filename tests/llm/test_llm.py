@@ -316,7 +316,7 @@ def test_multikey_order():
 def test_token_counts(docs, rows, empty):
     file = tokenizer_file("piece_bpe_32k.model")
     counter = token_counts.counter_for(file)
-    alone = {w: counter.counts([w])[w] for _, t, *_ in rows for w in {"▁" + x for x in WORD.findall(t or "")}}
+    alone = {w: counter.counter.counts([w])[w] for _, t, *_ in rows for w in {"▁" + x for x in WORD.findall(t or "")}}
     want = {i: (len(w := WORD.findall(t or "")), sum(alone["▁" + x] for x in w)) for i, t, *_ in rows}
     got = token_counts.token_counts(docs, file, batch_chars=2000)
     assert by_id(got, "n_words", "n_tokens") == want
@@ -325,6 +325,15 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.token_counts(empty, file).count() == 0
 
 
+def test_stored_counts_outlive_their_generation():
+    counter = token_counts.UnigramCounter({"a": -1.0, "b": -1.2, "ab": -1.5})
+    stored, r = token_counts.Terminals(counter, size=6), random.Random(3)
+    for _ in range(50):
+        words = {"".join(r.choice("ab") for _ in range(r.randint(0, 4))) for _ in range(5)}
+        got = stored.of(words)
+        assert {w: got[w] for w in words} == counter.counts(words) and len(stored.now) <= 6
+
+
 def test_best_segmentation_by_brute_force():
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "aba": -4.0, "ba": -1.1}
     counter = token_counts.UnigramCounter(scores)
