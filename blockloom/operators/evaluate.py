@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import BlockTable
+from ..sources.tables import BlockTable, clean
 from . import solver
 from .models import Model
 from .moments import Moments, moments
@@ -50,13 +50,15 @@ def correlation_table(df: DataFrame, cols: list[str], method: str = "pearson") -
 
 
 def concordance(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """a, b, n, r, ccc (Lin), slope (of b on a) for pairs of columns; one aggregate."""
+    """a, b, n, r, ccc (Lin), slope (of b on a) for pairs of columns, each over the rows that have both; one aggregate."""
     cells = []
     for a, b in pairs:
-        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        x, y = clean(a), clean(b)
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
         cov = F.covar_samp(x, y)
         ccc = 2 * cov / (F.var_samp(x) + F.var_samp(y) + (F.avg(x) - F.avg(y)) ** 2)
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"), F.corr(x, y).alias("r"), ccc.alias("ccc"), F.regr_slope(y, x).alias("slope")))
+        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.corr(x, y).alias("r"), ccc.alias("ccc"), F.regr_slope(y, x).alias("slope")))
     return df.agg(F.array(*cells).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
@@ -96,6 +98,30 @@ def evaluate(model: Model, table: BlockTable, weights: str = "auto", **options)
     return test_ev(m, chosen, **options) | {"n": int(m.n), "blocks": list(chosen.blocks), "metric": chosen.metric, "weights": chosen.weights}
 
 
+def running(df: DataFrame, order: str, total: tuple[str, ...] = (), most: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """df with <c>_cumulative for columns of total and <c>_monotone (greatest so far) for those of most, in order within by."""
+    run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"{c}_cumulative": F.sum(c).over(run) for c in total} | {f"{c}_monotone": F.max(c).over(run) for c in most})
+
+
+def strict_objective(payload: dict, blocks: int) -> float:
+    """The mean objective of a payload; raises where a component's is undefined (fewer than two blocks that vary)."""
+    mac = np.array(payload["mac"], float)
+    if blocks < 2 or not len(mac) or not np.isfinite(mac).all():
+        raise ValueError("the objective is undefined: fewer than two blocks vary")
+    return float(mac.mean())
+
+
+def mean_z_score(df: DataFrame, row_id: str, cols: list[str], name: str = "LC") -> DataFrame:
+    """row_id and the mean over cols of their z-scores; a column that doesn't vary counts for nothing, a missing value neither."""
+    got = df.agg(*[f(clean(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    use = [(c, got[f"m{i}"], got[f"s{i}"]) for i, c in enumerate(cols) if got[f"s{i}"] and got[f"s{i}"] > 1e-12]
+    z = [(clean(c) - m) / s for c, m, s in use]
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in z), F.lit(0.0))
+    n = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in z), F.lit(0))
+    return df.select(row_id, F.when(n > 0, total / n).alias(name))
+
+
 def _diagnostic(score: float | None, reason: str = "", message: str = "") -> dict:
     fine = score is not None and math.isfinite(score)
     return {"score": score if fine else None, "defined": fine, "reason": "" if fine else reason or "non_finite_score", "message": message}

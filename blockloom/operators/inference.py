@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from itertools import combinations, permutations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import BlockTable
 from . import solver
 from .models import MBsPLS, Model
-from .moments import moments, moments_by
+from .moments import moment_cells, moments, of_cells
 
 #: Cells of a table that may be copied to executors for tests that pair rows anew in each replicate.
 LOCAL_CELLS = 50_000_000
@@ -119,14 +119,34 @@ def bootstrap_test(model: Model, table: BlockTable, n_boot: int = 1000, alpha: f
 
 
 def assignment(gain: np.ndarray) -> list[int]:
-    """Columns for rows so that the sum of gains is largest: exactly for up to eight, greedily beyond."""
-    k = len(gain)
-    if k <= 8:
-        return list(max(permutations(range(gain.shape[1]), k), key=lambda p: sum(gain[i, j] for i, j in enumerate(p))))
-    left, out = set(range(gain.shape[1])), [0] * k
-    for i in np.argsort(-gain.max(axis=1)):
-        out[i] = max(left, key=lambda j: gain[i, j])
-        left.discard(out[i])
+    """A column for each row, all different, so that the sum of gains is largest: by shortest augmenting paths, for any size.
+
+    There must be at least as many columns as rows.
+    """
+    k, q = gain.shape
+    cost = gain.max(initial=0.0) - gain
+    row_price, price, of = np.zeros(k), np.zeros(q), np.full(q, -1)
+    for i in range(k):
+        # Cheapest way from row i to each column over columns that are taken, then to a free one.
+        best, via, done, now, spent, last = np.full(q, np.inf), np.full(q, -1), np.zeros(q, bool), i, 0.0, -1
+        while True:
+            way = spent + cost[now] - row_price[now] - price
+            shorter = ~done & (way < best)
+            best[shorter], via[shorter] = way[shorter], last
+            last = int(np.argmin(np.where(done, np.inf, best)))
+            spent = best[last]
+            if of[last] < 0:
+                break
+            done[last], now = True, of[last]
+        row_price[i] += spent
+        row_price[of[done]] += spent - best[done]
+        price[done] -= spent - best[done]
+        while last >= 0:
+            of[last], last = (of[via[last]] if via[last] >= 0 else i), int(via[last])
+    out = [0] * k
+    for j, i in enumerate(of):
+        if i >= 0:
+            out[i] = j
     return out
 
 
@@ -149,35 +169,46 @@ class StabilitySelection:
     seed: int = 20250921
 
     def draws(self, table: BlockTable, model: Model, estimator: MBsPLS) -> DataFrame:
-        """replicate, component, block, feature, weight, accepted: one row a weight of each refit."""
-        cols, names = [c for own in model.blocks.values() for c in own], list(model.blocks)
-        reps = moments_by(table.df, cols, replicates=self.replicates, row_id=table.row_id, seed=self.seed)
+        """replicate, component, block, feature, weight, accepted: one row a weight of each refit.
+
+        A replicate's cross-products are one group; they are as large as the columns make them,
+        however many rows there are, and executors refit them.
+        """
+        cols, names = tuple(c for own in model.blocks.values() for c in own), list(model.blocks)
         whole = moments(table.df, cols)
         centred = whole.g - np.outer(whole.s, whole.s) / whole.n
-        at, rows = {b: whole.at(model.blocks[b]) for b in names}, []
-        plain = replace(estimator, ncomp=len(model.weights), c=None if model.c is None else model.c[:, : len(model.weights)], permutations=0)
-        for r, m in reps.items():
-            fit = plain.fit_moments(m, model.blocks)
-            k, q = len(model.weights), len(fit.weights)
-            cor = np.zeros((k, q, len(names)))
-            for i, j in np.ndindex(k, q):
+        at, k = {b: whole.at(model.blocks[b]) for b in names}, len(model.weights)
+        plain = replace(estimator, ncomp=k, c=None if model.c is None else model.c[:, :k], permutations=0)
+        align, least = self.align, self.min_score_cor
+
+        def refit(key, cells: pd.DataFrame) -> pd.DataFrame:
+            """Weights of one replicate's fit, each component beside the model's that it is most like."""
+            fit = plain.fit_moments(of_cells(cols, *(cells[c].to_numpy() for c in ("i", "j", "x"))), model.blocks)
+            cor = np.zeros((k, len(fit.weights), len(names)))
+            for i, j in np.ndindex(*cor.shape[:2]):
                 for b, name in enumerate(names):
                     g, u, v = centred[np.ix_(at[name], at[name])], model.weights[i][name], fit.weights[j][name]
                     size = np.sqrt(max(u @ g @ u, 0) * max(v @ g @ v, 0))
                     cor[i, j, b] = u @ g @ v / size if size > 1e-12 else 0.0
-            match = assignment(np.abs(cor).mean(axis=2)) if q >= k else list(range(q))
-            for i, j in enumerate(match):
+            like = np.abs(cor).mean(axis=2)
+            # Of fewer refitted components than the model has, each finds its own; the rest have none.
+            match = enumerate(assignment(like)) if like.shape[1] >= k else [(i, j) for j, i in enumerate(assignment(like.T))]
+            rows = []
+            for i, j in match:
                 strongest = np.sign(cor[i, j, np.argmax(np.abs(cor[i, j]))]) or 1.0
-                ok = bool(np.abs(cor[i, j]).mean() >= self.min_score_cor)
-                for b, name in enumerate(names):
-                    s = strongest if self.align == "score_correlation" else np.sign(model.weights[i][name] @ fit.weights[j][name]) or 1.0
-                    rows += [(r, model.names[i], name, f, float(s * x), ok) for f, x in zip(model.blocks[name], fit.weights[j][name], strict=True)]
-        return table.df.sparkSession.createDataFrame(rows, "replicate int, component string, block string, feature string, weight double, accepted boolean")
+                for name in names:
+                    s = strongest if align == "score_correlation" else np.sign(model.weights[i][name] @ fit.weights[j][name]) or 1.0
+                    rows += [(int(key[0]), model.names[i], name, f, float(s * x), bool(like[i, j] >= least)) for f, x in zip(model.blocks[name], fit.weights[j][name], strict=True)]
+            return pd.DataFrame(rows, columns=["replicate", "component", "block", "feature", "weight", "accepted"])
+
+        cells = moment_cells(table.df, cols, replicates=self.replicates, row_id=table.row_id, seed=self.seed)
+        return cells.groupBy("k").applyInPandas(refit, "replicate int, component string, block string, feature string, weight double, accepted boolean")
 
     def fit(self, table: BlockTable, model: Model, estimator: MBsPLS) -> tuple[Model, DataFrame]:
         """The model with stable weights beside its own, and the summary of draws."""
         spark = table.df.sparkSession
-        summary = summarize_draws(self.draws(table, model, estimator).where("accepted"), model.weights_table(spark).select("component", "block", "feature", F.col("weight").alias("reference")), self.alpha)
+        # Cached, since the summary reads the refits twice.
+        summary = summarize_draws(self.draws(table, model, estimator).where("accepted").cache(), model.weights_table(spark).select("component", "block", "feature", F.col("weight").alias("reference")), self.alpha)
         kept = {(r["component"], r["block"], r["feature"]): r for r in select_stable(summary, self.method, self.frequency_threshold, self.magnitude_threshold).collect()}
         weights = []
         for n, w in zip(model.names, model.weights, strict=True):
@@ -186,7 +217,8 @@ class StabilitySelection:
                 chosen = [kept.get((n, b, f)) for f in model.blocks[b]]
                 one[b] = np.array([0.0 if c is None else (c["mean"] if self.source == "bootstrap_mean" else x) for c, x in zip(chosen, v, strict=True)])
             weights.append(one)
-        return replace(model, stable={"ci" if self.method == "ci" else "frequency": weights}), summary
+        cols = [c for own in model.blocks.values() for c in own]
+        return model.with_stable("ci" if self.method == "ci" else "frequency", weights, moments(table.df, cols)), summary
 
 
 def summarize_draws(draws: DataFrame, grid: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,24 +80,50 @@ def _weight(weights: str) -> Column:
     return F.lit(1.0) if weights == "uniform" else 1 / (F.col("dist") + 1e-12)
 
 
-def classify(test: DataFrame, train: DataFrame, target: str, numeric: list[str], categorical: list[str] = (), k: int = 5, weights: str = "inverse", levels: tuple[str, ...] = (), **options) -> DataFrame:
-    """test_id, response (the first level among equals) and a probability for each level; unobserved levels have probability 0."""
-    found = neighbours(test, train.where(F.col(target).isNotNull()), list(numeric), list(categorical), k, keep=(target,), **options)
+def _checked(train: DataFrame, known: Column, target: str, missing_target: str, k: int) -> DataFrame:
+    """train's rows with a target; missing_target "fail" raises where some lack one, and fewer rows than k give a warning."""
+    n, m = train.agg(F.count(F.when(known, 1)), F.count("*")).first()
+    if missing_target == "fail" and n < m:
+        raise ValueError(f"{m - n} training rows have no {target}")
+    if not n:
+        raise ValueError("no training row has a target")
+    if k > n:
+        warnings.warn(f"k is {k}, but there are {n} training rows", stacklevel=3)
+    return train.where(known)
+
+
+def _of_all(test: DataFrame, got: DataFrame, no_neighbours: str) -> DataFrame:
+    """got with a row for each test row: null without neighbours, or an error if no_neighbours is "fail"."""
+    out = test.select("test_id").join(got, "test_id", "left")
+    if no_neighbours == "fail":
+        out = out.withColumn("response", F.when(F.col("response").isNull(), F.raise_error(F.concat(F.lit("no neighbour with enough features for "), F.col("test_id").cast("string")))).otherwise(F.col("response")))
+    return out
+
+
+def classify(test: DataFrame, train: DataFrame, target: str, numeric: list[str], categorical: list[str] = (), k: int = 5, weights: str = "inverse", levels: tuple[str, ...] = (), missing_target: str = "drop", no_neighbours: str = "null", **options) -> DataFrame:
+    """test_id, response (the first level among equals) and a probability for each level; unobserved levels have probability 0.
+
+    Every test row comes out; one without neighbours has nulls, or raises (no_neighbours "fail").
+    """
+    train = _checked(train, F.col(target).isNotNull(), target, missing_target, k)
+    found = neighbours(test, train, list(numeric), list(categorical), k, keep=(target,), **options)
     levels = list(levels) or sorted(str(r[0]) for r in train.select(target).where(F.col(target).isNotNull()).distinct().collect())
     w = _weight(weights)
     prob = [(F.sum(F.when(F.col(target).cast("string") == v, w).otherwise(0.0)) / F.sum(w)).alias(f"prob_{v}") for v in levels]
     out = found.groupBy("test_id").agg(*prob)
     best = F.greatest(*[F.col(f"`prob_{v}`") for v in levels]) if len(levels) > 1 else F.col(f"`prob_{levels[0]}`")
     response = F.coalesce(*[F.when(F.col(f"`prob_{v}`") == best, F.lit(v)) for v in levels])
-    return out.withColumn("response", response)
+    return _of_all(test, out.withColumn("response", response), no_neighbours)
 
 
-def regress(test: DataFrame, train: DataFrame, target: str, numeric: list[str], categorical: list[str] = (), k: int = 5, weights: str = "inverse", **options) -> DataFrame:
-    """test_id, response (weighted mean) and se (root of the weighted variance)."""
-    found = neighbours(test, train.where(present(target)), list(numeric), list(categorical), k, keep=(target,), **options)
+def regress(test: DataFrame, train: DataFrame, target: str, numeric: list[str], categorical: list[str] = (), k: int = 5, weights: str = "inverse", missing_target: str = "drop", no_neighbours: str = "null", **options) -> DataFrame:
+    """test_id, response (weighted mean) and se (root of the weighted variance); every test row comes out, as with classify."""
+    train = _checked(train, present(target), target, missing_target, k)
+    found = neighbours(test, train, list(numeric), list(categorical), k, keep=(target,), **options)
     w, y = _weight(weights), F.col(target).cast("double")
     got = found.groupBy("test_id").agg((F.sum(w * y) / F.sum(w)).alias("response"), (F.sum(w * y * y) / F.sum(w)).alias("__q"))
-    return got.select("test_id", "response", F.sqrt(F.greatest(F.col("__q") - F.col("response") ** 2, F.lit(0.0))).alias("se"))
+    out = got.select("test_id", "response", F.sqrt(F.greatest(F.col("__q") - F.col("response") ** 2, F.lit(0.0))).alias("se"))
+    return _of_all(test, out, no_neighbours)
 
 
 @dataclass
@@ -114,8 +141,10 @@ class KnnImpute:
             kinds = {c: t.df.schema[c].dataType.typeName() for c in t.columns}
             numeric = [c for c in t.columns if kinds[c] != "string"]
             df = t.df
-            for c in t.columns:
-                gap = ~present(c) if c in numeric else F.col(c).isNull()
+            gaps = {c: ~present(c) if c in numeric else F.col(c).isNull() for c in t.columns}
+            some = df.agg(*[F.max(g).alias(f"g{i}") for i, g in enumerate(gaps.values())]).first()
+            for c in [c for i, c in enumerate(t.columns) if some[f"g{i}"]]:
+                gap = gaps[c]
                 need = t.df.where(gap).withColumnRenamed(rid, "test_id")
                 have = train.df.where(~gap).withColumnRenamed(rid, "train_id")
                 others = [x for x in numeric if x != c], [x for x in t.columns if x not in numeric and x != c]

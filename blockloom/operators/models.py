@@ -34,6 +34,7 @@ class Model:
     metric: str = "mac"
     c: np.ndarray | None = None
     stable: dict[str, list[dict[str, np.ndarray]]] = field(default_factory=dict)
+    stable_loadings: dict[str, list[dict[str, np.ndarray]]] = field(default_factory=dict)
     hidden: tuple[str, ...] = ()
 
     @property
@@ -47,7 +48,17 @@ class Model:
         key = next(iter(self.stable)) if source == "auto" else source.removeprefix("stable_")
         if key not in self.stable:
             raise ValueError(f"the model has no {source} weights")
-        return replace(self, weights=self.stable[key])
+        return replace(self, weights=self.stable[key], loadings=self.stable_loadings.get(key, self.loadings))
+
+    def with_stable(self, key: str, weights: list[dict[str, np.ndarray]], m: Moments) -> Model:
+        """A model with a further set of weights and the loadings that they have on the training rows, by their moments: deflation goes on with these."""
+        x, names, loadings = solver.Blocks.of(m, self.blocks), list(self.blocks), []
+        for w in weights:
+            own = [w[b] for b in names]
+            p = x.loadings(own)
+            loadings.append(dict(zip(names, p, strict=True)))
+            x.deflate(own, p)
+        return replace(self, stable=self.stable | {key: weights}, stable_loadings=self.stable_loadings | {key: loadings})
 
     def coefficients(self) -> list[dict[str, np.ndarray]]:
         """Per component and block, what gives the score from the columns as they are: deflation as a rotation."""
@@ -96,17 +107,17 @@ class Model:
         """A new model with signs multiplied in: one number, one a component, or a component x block matrix."""
         s = np.broadcast_to(np.asarray(signs, float).reshape(-1, 1) if np.ndim(signs) == 1 else np.asarray(signs, float), (len(self.weights), len(self.blocks)))
         turn = lambda rows: [{b: s[k, i] * r[b] for i, b in enumerate(self.blocks)} for k, r in enumerate(rows)]
-        return replace(self, weights=turn(self.weights), loadings=turn(self.loadings), stable={k: turn(v) for k, v in self.stable.items()})
+        return replace(self, weights=turn(self.weights), loadings=turn(self.loadings), stable={k: turn(v) for k, v in self.stable.items()}, stable_loadings={k: turn(v) for k, v in self.stable_loadings.items()})
 
     def to_json(self) -> str:
         plain = lambda rows: [{b: np.asarray(v).tolist() for b, v in r.items()} for r in rows]
-        return json.dumps({"blocks": self.blocks, "weights": plain(self.weights), "loadings": plain(self.loadings), "objectives": self.objectives, "ev_block": self.ev_block, "ev_comp": self.ev_comp, "p_values": self.p_values, "prefix": self.prefix, "metric": self.metric, "c": None if self.c is None else self.c.tolist(), "stable": {k: plain(v) for k, v in self.stable.items()}, "hidden": self.hidden})
+        return json.dumps({"blocks": self.blocks, "weights": plain(self.weights), "loadings": plain(self.loadings), "objectives": self.objectives, "ev_block": self.ev_block, "ev_comp": self.ev_comp, "p_values": self.p_values, "prefix": self.prefix, "metric": self.metric, "c": None if self.c is None else self.c.tolist(), "stable": {k: plain(v) for k, v in self.stable.items()}, "stable_loadings": {k: plain(v) for k, v in self.stable_loadings.items()}, "hidden": self.hidden})
 
     @classmethod
     def from_json(cls, text: str) -> Model:
         d = json.loads(text)
         rows = lambda v: [{b: np.array(x) for b, x in r.items()} for r in v]
-        return cls({b: tuple(c) for b, c in d["blocks"].items()}, rows(d["weights"]), rows(d["loadings"]), d["objectives"], d["ev_block"], d["ev_comp"], d["p_values"], d["prefix"], d["metric"], None if d["c"] is None else np.array(d["c"]), {k: rows(v) for k, v in d["stable"].items()}, tuple(d["hidden"]))
+        return cls({b: tuple(c) for b, c in d["blocks"].items()}, rows(d["weights"]), rows(d["loadings"]), d["objectives"], d["ev_block"], d["ev_comp"], d["p_values"], d["prefix"], d["metric"], None if d["c"] is None else np.array(d["c"]), {k: rows(v) for k, v in d["stable"].items()}, {k: rows(v) for k, v in d.get("stable_loadings", {}).items()}, tuple(d["hidden"]))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """As one row of Parquet, in any store that Spark writes."""

@@ -55,11 +55,10 @@ def _poisson(u: np.ndarray) -> np.ndarray:
     return np.searchsorted(steps, u).astype(float)
 
 
-def moments_by(df: DataFrame, columns, key: str | None = None, replicates: int = 0, row_id: str | None = None, seed: int = 0) -> dict[int, Moments]:
-    """Moments for each value of a whole-number key, or for each Poisson bootstrap replicate.
+def moment_cells(df: DataFrame, columns, key: str | None = None, replicates: int = 0, row_id: str | None = None, seed: int = 0) -> DataFrame:
+    """k, i, j, x: cell (i, j) of the cross-products of (1, columns), for each value of a whole-number key, or for each Poisson bootstrap replicate.
 
-    Partitions keep partial cross-products; only sums of them are shuffled, and the driver gets
-    one matrix a key.  Nulls and NaNs are refused.  A row's weight in a replicate follows from
+    Partitions keep partial cross-products; only sums of them are shuffled.  Nulls and NaNs are refused.  A row's weight in a replicate follows from
     its row id and the seed alone, however rows are partitioned.
     """
     columns = tuple(columns)
@@ -78,7 +77,8 @@ def moments_by(df: DataFrame, columns, key: str | None = None, replicates: int =
             k = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if replicates:
                 for r in range(replicates):
-                    h = (k.astype(np.uint64) + np.uint64((seed * 1_000_003 + r) % (1 << 31) + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                    step = ((seed * 1_000_003 + r) % (1 << 31) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                    h = (k.astype(np.uint64) + np.uint64(step)) * np.uint64(0xBF58476D1CE4E5B9)
                     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     w = _poisson((h >> np.uint64(11)).astype(float) / 2**53)
                     found[r] = found.get(r, 0) + (x * w[:, None]).T @ x
@@ -93,14 +93,21 @@ def moments_by(df: DataFrame, columns, key: str | None = None, replicates: int =
     rows = df.select(first.alias("__k"), *[F.col(f"`{c}`").cast("double").alias(f"__{i}") for i, c in enumerate(columns)])
     rows = rows.select("__k", *[F.coalesce(f"__{i}", F.lit(float("nan"))) for i in range(len(columns))])
     parts = rows.mapInArrow(run, "k bigint, i bigint, v array<double>")
-    sums = parts.select("k", "i", F.posexplode("v").alias("j", "x")).groupBy("k", "i", "j").agg(F.sum("x").alias("x")).toArrow()
-    k, i, j, x = (sums.column(c).to_numpy() for c in range(4))
-    out = {}
-    for v in np.unique(k):
-        g = np.zeros((p, p))
-        g[i[k == v], j[k == v]] = x[k == v]
-        out[int(v)] = Moments(columns, g[0, 0], g[0, 1:], g[1:, 1:])
-    return out
+    return parts.select("k", "i", F.posexplode("v").alias("j", "x")).groupBy("k", "i", "j").agg(F.sum("x").alias("x"))
+
+
+def of_cells(columns: tuple[str, ...], i: np.ndarray, j: np.ndarray, x: np.ndarray) -> Moments:
+    """Moments of one key from its cells."""
+    g = np.zeros((len(columns) + 1, len(columns) + 1))
+    g[i, j] = x
+    return Moments(columns, g[0, 0], g[0, 1:], g[1:, 1:])
+
+
+def moments_by(df: DataFrame, columns, key: str | None = None, replicates: int = 0, row_id: str | None = None, seed: int = 0) -> dict[int, Moments]:
+    """Moments by the values of an integer key, or by bootstrap replicate, on the driver."""
+    cells = moment_cells(df, columns, key, replicates, row_id, seed).toArrow()
+    k, i, j, x = (cells.column(c).to_numpy() for c in range(4))
+    return {int(v): of_cells(tuple(columns), i[k == v], j[k == v], x[k == v]) for v in np.unique(k)}
 
 
 def moments(df: DataFrame, columns) -> Moments:

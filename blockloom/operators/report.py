@@ -39,12 +39,17 @@ def blocks_overview(table: BlockTable) -> DataFrame:
     return df.agg(F.array(*cells).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
+def class_counts(table: BlockTable) -> DataFrame:
+    """level, n of every class."""
+    return table.df.where(F.col(table.target).isNotNull()).groupBy(F.col(table.target).cast("string").alias("level")).agg(F.count("*").alias("n"))
+
+
 def target_distribution(table: BlockTable, top: int = 5) -> DataFrame:
     """level, n, share of the most frequent classes; for a number its n, mean, sd, min and max."""
     if table.task_type == "regr":
         y = clean(table.target)
         return table.df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.min(y).alias("min"), F.max(y).alias("max"))
-    counts = table.df.where(F.col(table.target).isNotNull()).groupBy(F.col(table.target).cast("string").alias("level")).agg(F.count("*").alias("n"))
+    counts = class_counts(table)
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total), F.lit(True)).select("level", "n", (F.col("n") / F.col("total")).alias("share")).orderBy(F.desc("n"), "level").limit(top)
 
@@ -61,7 +66,7 @@ def issues(table: BlockTable, missing: float = 0.2, complete: float = 0.8, least
         out.append(("warning", "constant_numeric_features", str(o["constant_features"])))
     out += [("error", "no_numeric_features", r["block"]) for r in blocks_overview(table).where("n_numeric = 0").collect()]
     if table.target and table.task_type == "classif":
-        out += [("warning", "small_class", r["level"]) for r in target_distribution(table, 1000).where(F.col("n") < least_class).collect()]
+        out += [("warning", "small_class", r["level"]) for r in class_counts(table).where(F.col("n") < least_class).orderBy("n", "level").collect()]  # the reader gets one line for each
     if table.target and table.task_type == "regr" and not (target_distribution(table).first()["sd"] or 0) > 0:
         out.append(("error", "constant_target", table.target))
     return spark.createDataFrame(out, "severity string, issue string, detail string")

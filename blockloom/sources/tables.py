@@ -203,6 +203,16 @@ def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def melted(df: DataFrame, keys: list[str], cols: list[str], name: str = "feature", value: str = "value") -> DataFrame:
+    """A row for each of cols: keys, the column's name and its value as a double."""
+    return df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(keys, cols, name, value)
+
+
+def spread(df: DataFrame, keys: list[str], name: str, levels: list[str]) -> DataFrame:
+    """A row for each key with the number of rows of each level, 0 where there is none; levels are given, so no pass looks for them."""
+    return df.groupBy(*keys).pivot(name, levels).count().na.fill(0, levels)
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet", **options) -> None:
     """Parquet, JSON or CSV; CSV gets arrays joined by semicolons."""
     if form == "csv":

@@ -194,3 +194,70 @@ def test_moment_stream_counts_a_batch_once(spark):
 def test_average_ranks(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 1.0, 3.0, 2.0])], "i int, v double")
     assert [r["v"] for r in evaluate.ranked(df, ["v"]).orderBy("i").collect()] == [3.5, 1.0, 3.5, 2.0]
+
+
+def test_assignment_is_exact():
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        k = int(rng.integers(1, 6))
+        gain = rng.random((k, k + int(rng.integers(0, 3)))).round(1)
+        got = inference.assignment(gain)
+        best = max(sum(gain[i, j] for i, j in enumerate(p)) for p in permutations(range(gain.shape[1]), k))
+        assert len(set(got)) == k and abs(sum(gain[i, j] for i, j in enumerate(got)) - best) < 1e-9
+    big = np.eye(30)[::-1] + rng.random((30, 30)) * 0.4  # more than a greedy choice would get right for sure
+    assert inference.assignment(big) == list(range(30))[::-1]
+
+
+def test_stable_scores_deflate_by_their_own_loadings(spark):
+    t, x = signal(spark, 80)
+    e = MBsPLS(2, np.full((2, 2), np.sqrt(2)))
+    model = e.fit(t)
+    weights = [{"x": np.array([1.0, 0.0]), "y": np.array([0.6, 0.8])}, {"x": np.array([0.0, 1.0]), "y": np.array([1.0, 0.0])}]
+    stable = model.with_stable("ci", weights, moments(t.df, t.columns))
+    got = Model.from_json(stable.to_json()).transform(t, "stable_ci").orderBy("row_id").toPandas()
+    blocks = [x[:, :2].copy(), x[:, 2:].copy()]
+    for k in range(2):
+        for b, name in enumerate(("x", "y")):
+            s = blocks[b] @ weights[k][name]
+            assert np.allclose(s, got[f"LV{k + 1}_{name}"], atol=1e-8)
+            blocks[b] -= np.outer(s, s @ blocks[b] / (s @ s))
+
+
+def test_knn_keeps_every_row_and_says_what_is_missing(spark):
+    train = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "b"), (3, 5.0, None)], "train_id int, x double, y string")
+    test = spark.createDataFrame([(10, 0.1), (11, None)], "test_id int, x double")
+    with pytest.warns(UserWarning, match="2 training rows"):
+        got = {r["test_id"]: r["response"] for r in knn.classify(test, train, "y", ["x"], k=3).collect()}
+    assert got == {10: "a", 11: None}
+    with pytest.raises(Exception, match="no neighbour"):
+        knn.classify(test, train, "y", ["x"], k=1, no_neighbours="fail").collect()
+    with pytest.raises(ValueError, match="1 training rows have no y"):
+        knn.classify(test, train, "y", ["x"], k=1, missing_target="fail")
+    numbers = train.withColumn("z", F.col("train_id").cast("double"))
+    assert {r["test_id"]: r["response"] for r in knn.regress(test, numbers, "z", ["x"], k=1).collect()} == {10: 1.0, 11: None}
+
+
+def test_concordance_uses_complete_pairs(spark):
+    rows = [(1.0, 2.0), (2.0, 2.5), (3.0, 4.5), (4.0, None), (None, 100.0), (9.0, float("nan"))]
+    got = evaluate.concordance(spark.createDataFrame(rows, "a double, b double"), [("a", "b")]).first()
+    x = np.array(rows[:3])
+    c = np.cov(x.T)
+    assert got["n"] == 3 and abs(got["ccc"] - 2 * c[0, 1] / (c[0, 0] + c[1, 1] + (x[:, 0].mean() - x[:, 1].mean()) ** 2)) < 1e-12
+
+
+def test_every_small_class_is_named(spark):
+    rows = [(i, float(i), f"c{i % 1500}") for i in range(3000)] + [(9000, 1.0, "alone")]
+    t = BlockTable(spark.createDataFrame(rows, "row_id long, x double, y string"), {"a": ("x",)}, "y", "classif")
+    assert report.issues(t).where("issue = 'small_class'").count() == 1501
+
+
+def test_strict_objective_and_mean_z(spark):
+    assert evaluate.strict_objective({"mac": [0.5, 0.7]}, 2) == pytest.approx(0.6)
+    for bad in ({"mac": [0.5, float("nan")]}, {"mac": []}):
+        with pytest.raises(ValueError, match="undefined"):
+            evaluate.strict_objective(bad, 2)
+    df = spark.createDataFrame([(1, 1.0, 5.0, 7.0), (2, 2.0, 5.0, None), (3, 3.0, 5.0, 9.0)], "row_id int, a double, b double, c double")
+    got = {r["row_id"]: r["LC"] for r in evaluate.mean_z_score(df, "row_id", ["a", "b", "c"]).collect()}
+    assert got[2] == 0 and got[1] == pytest.approx((-1 - 2**-0.5) / 2)
