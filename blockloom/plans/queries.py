@@ -76,9 +76,68 @@ def qc_target_regr(spark, sf_dir):
     return rounded(report.target_distribution(BlockTable(o, {"a": ("k",)}, "o_totalprice")))
 
 
-@query("qc_issues")
+ODD = "q AS (SELECT s_suppkey AS row_id, CASE WHEN s_acctbal > 3000 THEN s_acctbal END AS x, 1.0::DOUBLE AS k, s_nationkey::VARCHAR AS y FROM supplier)"
+
+
+@query("qc_issues", f"""WITH {ODD}, n AS (SELECT count(*) AS n, count(x) AS whole FROM q)
+SELECT CASE WHEN (n - whole) / (2 * n) >= 0.2 THEN 'warning' ELSE 'info' END AS severity, 'missing_values' AS issue, printf('%.3f of all cells', (n - whole) / (2 * n)) AS detail FROM n WHERE n > whole
+UNION ALL SELECT 'warning', 'few_complete_rows', whole || ' of ' || n FROM n WHERE whole / n < 0.8
+UNION ALL SELECT 'warning', 'constant_numeric_features', '1'
+UNION ALL SELECT 'warning', 'small_class', y FROM q GROUP BY y HAVING count(*) < 5""")
 def qc_issues(spark, sf_dir):
-    return report.issues(orders_design(spark, sf_dir))
+    x = F.when(F.col("s_acctbal") > 3000, F.col("s_acctbal"))
+    q = _base(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), x.alias("x"), F.lit(1.0).alias("k"), F.col("s_nationkey").cast("string").alias("y"))
+    return report.issues(BlockTable(q, {"a": ("x",), "b": ("k",)}, "y", "classif"))
+
+
+@query("from_flat", "SELECT s_suppkey, s_acctbal, s_nationkey::DOUBLE AS s_nationkey FROM supplier")
+def from_flat(spark, sf_dir):
+    s = _base(spark, sf_dir, "supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("double"))
+    return tables.from_flat(s, {"money": ["s_acctbal"], "place": ["s_nationkey"]}, row_id="s_suppkey").block_data()
+
+
+@query("block_project", f"WITH {ORDERS} SELECT row_id, p_size, p_retailprice, c_acctbal, s_acctbal FROM o")
+def block_project(spark, sf_dir):
+    return orders_design(spark, sf_dir).block_data("part", "party")
+
+
+@query("row_subset", f"WITH {ORDERS} SELECT row_id, l_quantity, l_returnflag FROM o WHERE l_quantity > 45")
+def row_subset(spark, sf_dir):
+    return orders_design(spark, sf_dir).filter("l_quantity > 45").df.select("row_id", "l_quantity", "l_returnflag")
+
+
+@query("block_features", "SELECT unnest(['c_mktsegment.BUILDING', 'c_mktsegment.FURNITURE', 'c_mktsegment.HOUSEHOLD', 'c_mktsegment.MACHINERY']) AS feature")
+def block_features(spark, sf_dir):
+    c = _base(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), "c_acctbal", "c_mktsegment")
+    t = preprocess.Encode()
+    table = BlockTable(c, {"a": ("c_acctbal",), "b": ("c_mktsegment",)})
+    return spark.createDataFrame([(x,) for x in t.fit(table).transform(table).block_columns("c_mktsegment")], "feature string")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder where driver and executors can write; a temporary one only where both are one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="blockloom-")
+    return f"{at.rstrip('/')}/core-{os.urandom(8).hex()}"
+
+
+@query("csv_round_trip", "SELECT s_suppkey, s_acctbal, s_nationkey || ';' || s_suppkey AS keys FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    s = _base(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.array("s_nationkey", "s_suppkey").alias("keys"))
+    at = _shared(spark)
+    tables.write_table(s, at, "csv")
+    return spark.read.schema("s_suppkey bigint, s_acctbal double, keys string").csv(at, header=True)
+
+
+@query("run_log", "SELECT 'r1' AS run_id, 'second' AS content UNION ALL SELECT 'r2', 'third'")
+def run_log(spark, sf_dir):
+    log = tables.RunLog(spark, _shared(spark))
+    for run, content in (("r1", "first"), ("r1", "second"), ("r2", "third")):
+        log.append(run, "model", content)
+    return spark.createDataFrame([(r, log.last("model", r)) for r in ("r1", "r2")], "run_id string, content string")
 
 
 @query("from_blocks", "SELECT c_custkey AS row_id, c_acctbal AS money__c_acctbal, c_nationkey AS place__c_nationkey, c_mktsegment AS target FROM customer")
@@ -99,13 +158,12 @@ def union_rows(spark, sf_dir):
 
 @query("melt", "SELECT s_suppkey, unnest(['s_nationkey', 's_acctbal']) AS feature, unnest([s_nationkey::DOUBLE, s_acctbal]) AS value FROM supplier")
 def melt(spark, sf_dir):
-    s = _base(spark, sf_dir, "supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("double"))
-    return s.unpivot("s_suppkey", ["s_nationkey", "s_acctbal"], "feature", "value")
+    return tables.melted(_base(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_nationkey", "s_acctbal"])
 
 
 @query("pivot", "SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS A, count(*) FILTER (WHERE l_returnflag = 'N') AS N, count(*) FILTER (WHERE l_returnflag = 'R') AS R FROM lineitem GROUP BY l_linestatus")
 def pivot(spark, sf_dir):
-    return _base(spark, sf_dir, "lineitem").groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
+    return tables.spread(_base(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_returnflag", ["A", "N", "R"])
 
 
 # -- preprocessing -------------------------------------------------------------------------------
@@ -224,6 +282,18 @@ def concordance(spark, sf_dir):
     return rounded(evaluate.concordance(orders_design(spark, sf_dir).df, _pairs))
 
 
+@query("concordance_missing", f"WITH {ORDERS}, v AS (SELECT l_quantity AS a, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS b FROM o WHERE l_discount > 0.01 AND c_acctbal > 0 AND l_discount <> 0.05), w AS (SELECT a, b FROM v) SELECT 'a' AS a, 'b' AS b, count(*) AS n, {r('corr(w.a, w.b)')} AS r, {r('2 * covar_samp(w.a, w.b) / (var_samp(w.a) + var_samp(w.b) + (avg(w.a) - avg(w.b)) ** 2)')} AS ccc, {r('regr_slope(w.b, w.a)')} AS slope FROM w")
+def concordance_missing(spark, sf_dir):
+    d = F.col("l_discount")
+    df = orders_design(spark, sf_dir).df.select(F.when((d > 0.01) & (d != 0.05), F.col("l_quantity")).when(d == 0.05, F.lit(float("nan"))).alias("a"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("b"))
+    return rounded(evaluate.concordance(df, [("a", "b")]))
+
+
+@query("mean_z_score", f"WITH {ORDERS} SELECT row_id, {r('((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () + (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ()) / 2')} AS lc FROM o")
+def mean_z_score(spark, sf_dir):
+    return rounded(evaluate.mean_z_score(orders_design(spark, sf_dir).df, "row_id", ["l_quantity", "c_acctbal"], "lc"))
+
+
 # -- projection and evaluation with stated weights -----------------------------------------------
 
 _w = [{"line": [0.6, 0.0, 0.8, 0.0], "party": [0.8, -0.6]}, {"line": [0.0, 0.0, 0.6, 0.8], "party": [0.6, 0.8]}]
@@ -257,6 +327,97 @@ def project(spark, sf_dir):
     return rounded(_stated().transform(t.df.select("row_id", *cols)))
 
 
+@query("project_saved", _deflated() + " SELECT row_id, " + ", ".join(f"{r(f'LV{k + 1}_{b}')} AS LV{k + 1}_{b}" for k in range(2) for b in _names) + " FROM d1")
+def project_saved(spark, sf_dir):
+    at = _shared(spark)
+    _stated().save(spark, at)
+    return rounded(Model.load(spark, at).transform(orders_design(spark, sf_dir).df.select("row_id", *[c for v in _names.values() for c in v])))
+
+
+@query("project_flipped", _deflated() + " SELECT row_id, " + ", ".join(f"{r(f'{-1 if k else 1} * LV{k + 1}_{b}')} AS LV{k + 1}_{b}" for k in range(2) for b in _names) + " FROM d1")
+def project_flipped(spark, sf_dir):
+    return rounded(_stated().flipped([1, -1]).transform(orders_design(spark, sf_dir).df.select("row_id", *[c for v in _names.values() for c in v])))
+
+
+@query("append_scores", _deflated() + f" SELECT row_id, l_quantity, s_acctbal, {r('LV1_line')} AS LV1_line, {r('LV1_party')} AS LV1_party FROM t0")
+def append_scores(spark, sf_dir):
+    return rounded(_stated().transform(orders_design(spark, sf_dir), append=True).select("row_id", "l_quantity", "s_acctbal", "LV1_line", "LV1_party"))
+
+
+def _stable_sql() -> str:
+    """Scores under the stated weights, deflated by the loadings that these have on the rows themselves."""
+    ctes, before, every = [ORDERS], "o", [c for v in _names.values() for c in v]
+    for k in range(2):
+        scores = ", ".join(" + ".join(f"{c} * {x}" for c, x in zip(cols, _w[k][b], strict=True)) + f" AS LV{k + 1}_{b}" for b, cols in _names.items())
+        ctes.append(f"t{k} AS (SELECT {', '.join(['row_id', *every, *[f'LV{j + 1}_{b}' for j in range(k) for b in _names]])}, {scores} FROM {before})")
+        left = ", ".join(f"{c} - LV{k + 1}_{b} * sum({c} * LV{k + 1}_{b}) OVER () / sum(LV{k + 1}_{b} * LV{k + 1}_{b}) OVER () AS {c}" for b, cols in _names.items() for c in cols)
+        ctes.append(f"d{k} AS (SELECT row_id, {left}, {', '.join(f'LV{j + 1}_{b}' for j in range(k + 1) for b in _names)} FROM t{k})")
+        before = f"d{k}"
+    return "WITH " + ", ".join(ctes) + " SELECT row_id, " + ", ".join(f"{r(f'LV{k + 1}_{b}')} AS LV{k + 1}_{b}" for k in range(2) for b in _names) + " FROM d1"
+
+
+@query("stable_scores", _stable_sql())
+def stable_scores(spark, sf_dir):
+    t, model = orders_design(spark, sf_dir), _stated()
+    cols = [c for v in _names.values() for c in v]
+    stable = model.with_stable("ci", model.weights, moments(t.df, cols))
+    return rounded(stable.transform(t.df.select("row_id", *cols), "stable_ci"))
+
+
+_scores = [f"LV{k + 1}_{b}" for k in range(2) for b in _names]
+_score_pairs = [(a, b) for i, a in enumerate(_scores) for b in _scores[i + 1 :]]
+
+
+@query("plot_heatmap", _deflated() + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS r FROM d1" for a, b in _score_pairs))
+def plot_heatmap(spark, sf_dir):
+    return rounded(report.heatmap_data(_stated(), orders_design(spark, sf_dir)))
+
+
+@query("plot_network", _deflated() + ", e AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS r FROM d1" for a, b in _score_pairs) + ") SELECT * FROM e WHERE abs(r) >= 0.05")
+def plot_network(spark, sf_dir):
+    return rounded(report.network_data(_stated(), orders_design(spark, sf_dir), 0.05))
+
+
+@query("plot_scores", _deflated() + f" SELECT 'LV1_line' AS a, 'LV1_party' AS b, count(*) AS n, {r('corr(LV1_line, LV1_party)')} AS r, {r('2 * covar_samp(LV1_line, LV1_party) / (var_samp(LV1_line) + var_samp(LV1_party) + (avg(LV1_line) - avg(LV1_party)) ** 2)')} AS ccc, {r('regr_slope(LV1_party, LV1_line)')} AS slope FROM d1")
+def plot_scores(spark, sf_dir):
+    return rounded(report.scores_data(_stated(), orders_design(spark, sf_dir)))
+
+
+_weight_rows = ", ".join(f"('{b}', '{c}', {x}::DOUBLE, {y}::DOUBLE)" for b, cols in _names.items() for c, x, y in zip(cols, _w[0][b], _p[0][b], strict=True))
+
+
+@query("plot_weights", f"WITH v(block, feature, weight, loading) AS (VALUES {_weight_rows}) SELECT 'LC_01' AS component, block, feature, weight, loading, row_number() OVER (PARTITION BY block ORDER BY abs(weight) DESC, feature)::INT AS rank FROM v WHERE weight <> 0")
+def plot_weights(spark, sf_dir):
+    return report.weights_data(_stated(), spark)
+
+
+_ev = [({"line": 0.25, "party": 0.5}, 0.375), ({"line": 0.125, "party": 0.25}, 0.1875)]
+
+
+def _explained() -> Model:
+    model = _stated()
+    model.ev_block, model.ev_comp, model.objectives = [x for x, _ in _ev], [x for _, x in _ev], [0.75, 0.5]
+    return model
+
+
+_ev_rows = ", ".join(f"('LC_{k + 1:02d}', '{b}', {x}::DOUBLE)" for k, (own, whole) in enumerate(_ev) for b, x in {**own, "total": whole}.items())
+
+
+@query("plot_variance", f"WITH v(component, block, ev) AS (VALUES {_ev_rows}) SELECT component, block, ev, sum(ev) OVER (PARTITION BY block ORDER BY component) AS ev_cumulative FROM v")
+def plot_variance(spark, sf_dir):
+    return report.variance_data(_explained(), spark)
+
+
+@query("plot_scree", "SELECT * FROM (VALUES ('LC_01', 0.75::DOUBLE, 0.75::DOUBLE), ('LC_02', 0.5::DOUBLE, 1.25::DOUBLE)) v(component, objective, objective_cumulative)")
+def plot_scree(spark, sf_dir):
+    return report.scree_data(_explained(), spark)
+
+
+@query("model_summary", "SELECT * FROM (VALUES ('LC_01', 0.75::DOUBLE, 0.375::DOUBLE, NULL::DOUBLE, 0.375::DOUBLE), ('LC_02', 0.5::DOUBLE, 0.1875::DOUBLE, NULL::DOUBLE, 0.5625::DOUBLE)) v(component, objective, ev, p_value, ev_cumulative)")
+def model_summary(spark, sf_dir):
+    return report.model_summary(_explained(), spark)["components"]
+
+
 _ss = {b: " + ".join(f"sum({c} * {c})" for c in cols) for b, cols in _names.items()}
 
 
@@ -272,6 +433,15 @@ def oos_correlation(spark, sf_dir):
     return rounded(spark.createDataFrame([(k + 1, v) for k, v in enumerate(payload["mac"])], "component int, mac double"))
 
 
+_all = " + ".join(f"s{{0}}.{b}" for b in _names)
+
+
+@query("measures", _deflated() + ", " + ", ".join(f"s{i} AS (SELECT {', '.join(f'{v} AS {b}' for b, v in _ss.items())} FROM {t})" for i, t in enumerate(("o", "d0", "d1"))) + f" SELECT 'mac' AS measure, {r('(abs(corr(LV1_line, LV1_party)) + abs(corr(LV2_line, LV2_party))) / 2')} AS score FROM d1 UNION ALL SELECT 'ev', {r(f'(({_all.format(0)}) - ({_all.format(2)})) / (2 * ({_all.format(0)}))')} FROM s0, s1, s2 UNION ALL SELECT 'block_ev', " + r(" + ".join(f"(s0.{b} - s2.{b}) / (4 * s0.{b})" for b in _names)) + " FROM s0, s1, s2")
+def measures(spark, sf_dir):
+    payload = evaluate.evaluate(_stated(), orders_design(spark, sf_dir))
+    return rounded(spark.createDataFrame([(n, evaluate.measure(payload, n)["score"]) for n in ("mac", "ev", "block_ev")], "measure string, score double"))
+
+
 # -- draws, folds, windows -----------------------------------------------------------------------
 
 DRAWS = "d AS (SELECT l_suppkey % 40 AS replicate, 'LC_0' || (l_linenumber % 2 + 1) AS component, l_returnflag AS block, 'f' || (l_partkey % 7) AS feature, l_discount - 0.03 * (l_partkey % 7) AS weight FROM lineitem)"
@@ -310,6 +480,30 @@ def top_features(spark, sf_dir):
     return rounded(inference.top_features(_summary(spark, sf_dir), 3).select("component", "block", "feature", "mean", "rank"))
 
 
+_REFERENCE = f"WITH {DRAWS}, ref AS (SELECT component, block, feature, avg(weight) AS ref FROM d WHERE replicate < 20 GROUP BY ALL)"
+
+
+@query("bootstrap_means", _REFERENCE + f""", j AS (SELECT d.replicate, d.block, d.feature, d.weight, ref.ref FROM d JOIN ref USING (component, block, feature) WHERE d.component = 'LC_01'),
+s AS (SELECT replicate, block, CASE WHEN corr(weight, ref) < 0 THEN -1.0 ELSE 1.0 END AS sign FROM j GROUP BY ALL), t AS (SELECT block, feature, weight * sign AS w FROM j JOIN s USING (replicate, block)),
+y AS (SELECT block, feature, avg(w) AS mean, quantile_cont(w, 0.025) AS low, quantile_cont(w, 0.975) AS high, avg(CASE WHEN abs(w) > 1e-12 THEN 1.0 ELSE 0.0 END) AS freq FROM t GROUP BY ALL)
+SELECT block, feature, {r('mean')} AS mean, {r('low')} AS low, {r('high')} AS high, {r('freq')} AS freq FROM y WHERE freq >= 0.5""")
+def bootstrap_means(spark, sf_dir):
+    d = _draws(spark, sf_dir)
+    reference = d.where("replicate < 20").groupBy("component", "block", "feature").agg(F.avg("weight").alias("weight"))
+    return rounded(report.draw_means(d, reference, "LC_01", method="frequency"))
+
+
+@query("weight_intervals", f"""WITH {DRAWS}, w AS (SELECT replicate AS model, component, block, feature, avg(weight) AS weight FROM d WHERE replicate < 4 GROUP BY ALL),
+j AS (SELECT w.*, f.weight AS ref FROM w JOIN w f ON f.model = 0 AND f.component = w.component AND f.block = w.block AND f.feature = w.feature),
+s AS (SELECT model, component, block, CASE WHEN sum(weight * ref) < 0 THEN -1.0 ELSE 1.0 END AS sign FROM j GROUP BY ALL),
+y AS (SELECT component, block, feature, count(*) AS n, avg(weight * sign) AS mean, 1.96 * coalesce(stddev_samp(weight * sign), 0) / sqrt(count(*)) AS half FROM j JOIN s USING (model, component, block) GROUP BY ALL)
+SELECT component, block, feature, n, {r('mean')} AS mean, {r('mean - half')} AS low, {r('mean + half')} AS high FROM y""")
+def weight_intervals(spark, sf_dir):
+    d = _draws(spark, sf_dir)
+    each = [d.where(F.col("replicate") == i).groupBy("component", "block", "feature").agg(F.avg("weight").alias("weight")) for i in range(4)]
+    return rounded(report.weight_intervals(each))
+
+
 FOLDS = "f AS (SELECT l_linenumber AS fold, 'LC_0' || (l_suppkey % 3 + 1) AS component, count(*)::INT AS n_test, avg(l_discount) AS mac, avg(l_tax) AS ev, NULL::DOUBLE AS ev_block, NULL AS block FROM lineitem GROUP BY 1, 2 UNION ALL SELECT l_linenumber, 'LC_0' || (l_suppkey % 3 + 1), count(*)::INT, NULL, NULL, avg(l_tax), l_returnflag FROM lineitem GROUP BY 1, 2, l_returnflag)"
 
 
@@ -331,12 +525,16 @@ def metric_summary(spark, sf_dir):
     return rounded(evaluate.metric_summary(_folds(spark, sf_dir), "mac", ("component",)))
 
 
+@query("fisher_p", f"WITH {FOLDS}, k AS (SELECT component, count(*) AS n, -sum(ln(mac)) AS x FROM f WHERE block IS NULL GROUP BY 1) SELECT component, {r('exp(-x) * list_sum(list_transform(range(0, n), lambda i: x ** i / factorial(i::INT)))')} AS p_value FROM k")
+def fisher_p(spark, sf_dir):
+    folds = _folds(spark, sf_dir).withColumn("p_value", F.col("mac"))
+    return rounded(spark.createDataFrame(list(evaluate.combine_p(folds, "fisher").items()), "component string, p_value double"))
+
+
 @query("running", f"WITH {FOLDS} SELECT component, fold, {r('sum(ev) OVER (PARTITION BY component ORDER BY fold ROWS UNBOUNDED PRECEDING)')} AS ev_cumulative, {r('max(mac) OVER (PARTITION BY component ORDER BY fold ROWS UNBOUNDED PRECEDING)')} AS mac_monotone FROM f WHERE block IS NULL")
 def running(spark, sf_dir):
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("component").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(_folds(spark, sf_dir).where("block is null").select("component", "fold", F.sum("ev").over(run).alias("ev_cumulative"), F.max("mac").over(run).alias("mac_monotone")))
+    got = evaluate.running(_folds(spark, sf_dir).where("block is null"), "fold", ("ev",), ("mac",), ("component",))
+    return rounded(got.select("component", "fold", "ev_cumulative", "mac_monotone"))
 
 
 # -- nearest neighbours --------------------------------------------------------------------------
@@ -361,10 +559,13 @@ def knn_neighbours(spark, sf_dir):
 _segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query("knn_classify", NEIGHBOURS + " SELECT test_id, " + ", ".join(f"{r(f'''coalesce(sum(1 / (dist + 1e-12)) FILTER (WHERE c_mktsegment = '{v}'), 0) / sum(1 / (dist + 1e-12))''')} AS prob_{v}" for v in _segments) + " FROM nn GROUP BY test_id")
+_most = "greatest(" + ", ".join(f"p{i}" for i in range(len(_segments))) + ")"
+
+
+@query("knn_classify", NEIGHBOURS + ", pr AS (SELECT test_id, " + ", ".join(f"coalesce(sum(1 / (dist + 1e-12)) FILTER (WHERE c_mktsegment = '{v}'), 0) / sum(1 / (dist + 1e-12)) AS p{i}" for i, v in enumerate(_segments)) + " FROM nn GROUP BY test_id) SELECT test_id, " + ", ".join(f"{r(f'p{i}')} AS prob_{v}" for i, v in enumerate(_segments)) + ", CASE " + " ".join(f"WHEN p{i} > {_most} - 1e-9 THEN '{v}'" for i, v in enumerate(_segments)) + " END AS response FROM pr")
 def knn_classify(spark, sf_dir):
     test, train = _sides(spark, sf_dir)
-    return rounded(knn.classify(test, train, "c_mktsegment", ["balance"], ["nation"], levels=_segments).drop("response"))
+    return rounded(knn.classify(test, train, "c_mktsegment", ["balance"], ["nation"], levels=_segments))
 
 
 @query("knn_regress", NEIGHBOURS + f" SELECT test_id, {r('avg(c_nationkey)')} AS response, {r('sqrt(greatest(avg(c_nationkey * c_nationkey) - avg(c_nationkey) ** 2, 0))')} AS se FROM nn GROUP BY test_id")
@@ -373,7 +574,11 @@ def knn_regress(spark, sf_dir):
     return rounded(knn.regress(test, train, "c_nationkey", ["balance"], ["nation"], weights="uniform"))
 
 
-@query("knn_impute")
+@query("knn_impute", f"""WITH s AS (SELECT s_suppkey AS row_id, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS balance, s_nationkey::VARCHAR AS nation FROM supplier),
+p AS (SELECT a.row_id, b.row_id AS other, b.balance, CASE WHEN a.nation = b.nation THEN 0.0 ELSE 1.0 END AS dist FROM s a JOIN s b ON a.balance IS NULL AND b.balance IS NOT NULL),
+nn AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY dist, other) <= 5),
+fill AS (SELECT row_id, sum(balance / (dist + 1e-12)) / sum(1 / (dist + 1e-12)) AS value FROM nn GROUP BY row_id)
+SELECT s.row_id, {r('coalesce(balance, value)')} AS balance, nation FROM s LEFT JOIN fill ON s.row_id = fill.row_id""")
 def knn_impute(spark, sf_dir):
     s = _base(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"), F.col("s_nationkey").cast("string").alias("nation"))
     t = BlockTable(s, {"a": ("balance",), "b": ("nation",)})
@@ -452,15 +657,32 @@ def nested_cv(spark, sf_dir):
     return tuning.NestedCV.collect(spark, rows)[0]
 
 
-@query("model_summary")
-def model_summary(spark, sf_dir):
-    return rounded(report.model_summary(MBsPLS(2).fit(_ready(spark, sf_dir)), spark)["components"])
+def _invariants(model: Model, table: BlockTable, spark: SparkSession) -> DataFrame:
+    """component, block: whether weights are a unit, within their bound and non-negative in explained variance, and whether scores of different components are uncorrelated."""
+    got, rows = model.transform(table), []
+    both = got.agg(*[F.sum(F.col(f"`{model.prefix}1_{b}`") * F.col(f"`{model.prefix}2_{b}`")).alias(f"c{i}") for i, b in enumerate(table.blocks)], *[F.sum(F.col(f"`{model.prefix}{k}_{b}`") ** 2).alias(f"s{k}{i}") for i, b in enumerate(table.blocks) for k in (1, 2)]).first()
+    for k, name in enumerate(model.names):
+        for i, b in enumerate(table.blocks):
+            w = model.weights[k][b]
+            bound = float(model.c[list(model.blocks).index(b), k])
+            apart = abs(both[f"c{i}"]) <= 1e-6 * max((both[f"s1{i}"] * both[f"s2{i}"]) ** 0.5, 1e-12)
+            rows.append((name, b, bool(abs(np.linalg.norm(w) - 1) < 1e-6), bool(np.abs(w).sum() <= bound + 1e-6), bool(-1e-9 <= model.ev_block[k][b] <= 1 + 1e-9), bool(apart)))
+    return spark.createDataFrame(rows, "component string, block string, unit boolean, bounded boolean, explained boolean, uncorrelated boolean")
 
 
-@query("plot_heatmap")
-def plot_heatmap(spark, sf_dir):
+INVARIANTS = "SELECT component, block, true AS unit, true AS bounded, true AS explained, true AS uncorrelated FROM (VALUES ('LC_01'), ('LC_02')) a(component), (VALUES ('b0'), ('b1'), ('b2'), ('b3')) b(block)"
+
+
+@query("mbspls_invariants", INVARIANTS)
+def mbspls_invariants(spark, sf_dir):
     t = _ready(spark, sf_dir)
-    return rounded(report.heatmap_data(MBsPLS(2).fit(t), t))
+    return _invariants(MBsPLS(2).fit(t), t, spark)
+
+
+@query("mbspca_invariants", INVARIANTS.replace("LC_", "PC_"))
+def mbspca_invariants(spark, sf_dir):
+    t = _ready(spark, sf_dir)
+    return _invariants(MBsPCA(2).fit(t), t, spark)
 
 
 @query("pipeline_scores")
@@ -470,13 +692,19 @@ def pipeline_scores(spark, sf_dir):
     return p.transform(t).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def _stream_folder(spark, sf_dir, at) -> str:
+    """A folder with the embeddings' files and no others: a stream reads folders."""
+    _base(spark, sf_dir, "embeddings").write.parquet(f"{at}/in")
+    return f"{at}/in"
+
+
 @query("stream_scores")
 def stream_scores(spark, sf_dir):
-    """Scores of the embeddings read as a stream, through a memory-free file sink in a temporary folder of the driver's file system or the shared folder."""
+    """Scores of the embeddings read as a stream, through a file sink in the shared folder."""
     t = embeddings_design(spark, sf_dir)
     model = MBsPLS(1).fit(t)
-    at = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/stream-{os.urandom(8).hex()}"
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    at = _shared(spark)
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, sf_dir, at))
     cols = [F.col("embedding")[i].cast("double").alias(f"b{i // 16}_{i % 16}") for i in range(64)]
     scored = scoring.score_stream(source.select(F.col("vec_id").alias("row_id"), *cols), model).select("row_id", *[f"LV1_b{b}" for b in range(4)])
     scored.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
