@@ -27,13 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from spark.checkpoint.dir; only where that is unset, as in local tests, a
-    temporary folder takes its place.
+    It is read from spark.checkpoint.dir; only where that is unset and driver and executors are one
+    process, as in local tests, a temporary folder takes its place.  Elsewhere it must be set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="blockloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
