@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import BlockTable
@@ -29,22 +29,38 @@ def local(table: BlockTable) -> list[np.ndarray]:
     return [np.column_stack([cols[c] for c in own]) for own in table.blocks.values()]
 
 
-def _replicates(spark: SparkSession, n: int, work, seed: int) -> np.ndarray:
-    """work(rng) for each of n replicates, on executors; replicate r has its own random numbers."""
+def _replicates(spark: SparkSession, n: int, work, seed: int, first: int = 0) -> np.ndarray:
+    """work(rng) for replicates first to first + n - 1, on executors; replicate r has its own random numbers."""
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "value": [float(work(np.random.Generator(np.random.Philox(key=[seed, int(r)])))) for r in pdf["id"]]})
 
     parts = min(n, max(1, spark.sparkContext.defaultParallelism * 2))
-    return spark.range(0, n, 1, parts).mapInPandas(run, "id bigint, value double").orderBy("id").toPandas()["value"].to_numpy()
+    return spark.range(first, first + n, 1, parts).mapInPandas(run, "id bigint, value double").orderBy("id").toPandas()["value"].to_numpy()
+
+
+def _p_value(spark: SparkSession, n: int, work, seed: int, value: float, early: float | None = None, least: int = 100, step: int = 50) -> float:
+    """The share of replicates that reach value, by (k + 1) / (n + 1).
+
+    With early, replicates come in batches, and no more are drawn once ``least`` have shown that
+    the p-value of all n would be over early.
+    """
+    reached = done = 0
+    while done < n:
+        size = min(n - done, n if early is None else least if not done else step)
+        reached += int((_replicates(spark, size, work, seed, done) >= value - 1e-12).sum())
+        done += size
+        if early is not None and (reached + 1) / (n + 1) > early:
+            break
+    return (reached + 1) / (done + 1)
 
 
 def _pair_objective(t: np.ndarray, metric: str) -> float:
     return solver.objective(*solver.correlations(np.cov(t, rowvar=False)), metric)
 
 
-def train_test(table: BlockTable, n_perm: int, metric: str, max_iter: int, tol: float, seed: int, pca: bool = False):
+def train_test(table: BlockTable, n_perm: int, metric: str, max_iter: int, tol: float, seed: int, pca: bool = False, early: float | None = None):
     """For solver.components: the p-value of a component by refits on blocks whose rows are permuted.
 
     Within a block, cross-products don't change when its rows move, so only those between blocks
@@ -67,8 +83,7 @@ def train_test(table: BlockTable, n_perm: int, metric: str, max_iter: int, tol:
                 y.g[np.ix_(y.index[a], y.index[b])], y.g[np.ix_(y.index[b], y.index[a])] = g, g.T
             return solve(y, c, metric=metric, max_iter=max_iter, tol=tol, seed=int(rng.integers(1 << 31)))[1]
 
-        values = _replicates(spark, n_perm, work, seed)
-        return float(((values >= value - 1e-12).sum() + 1) / (n_perm + 1))
+        return _p_value(spark, n_perm, work, seed, value, early)
 
     return test
 
@@ -82,7 +97,7 @@ def scores_of(model: Model, table: BlockTable, component: int = 0) -> np.ndarray
     return np.column_stack([c.to_numpy() for c in model.transform(table).orderBy(table.row_id).select(*cols).toArrow().columns])
 
 
-def permutation_test(model: Model, table: BlockTable, n_perm: int = 1000, permute_all: bool = True, seed: int = 0) -> list[dict]:
+def permutation_test(model: Model, table: BlockTable, n_perm: int = 1000, permute_all: bool = True, seed: int = 0, early: float | None = None) -> list[dict]:
     """Per component {stat, p_value}: fixed weights; since permuting rows commutes with the projection, only scores are permuted."""
     spark, out = table.df.sparkSession, []
     for k in range(len(model.weights)):
@@ -94,8 +109,7 @@ def permutation_test(model: Model, table: BlockTable, n_perm: int = 1000, permut
             moved = [t[:, b] if b == 0 and not permute_all else t[rng.permutation(len(t)), b] for b in range(t.shape[1])]
             return _pair_objective(np.column_stack(moved), model.metric)
 
-        values = _replicates(spark, n_perm, work, seed + k)
-        out.append({"stat": stat, "p_value": float(((values >= stat - 1e-12).sum() + 1) / (n_perm + 1))})
+        out.append({"stat": stat, "p_value": _p_value(spark, n_perm, work, seed + k, stat, early)})
     return out
 
 
@@ -231,6 +245,33 @@ def summarize_draws(draws: DataFrame, grid: DataFrame, alpha: float = 0.05) -> D
     return out.select(*key, "mean", "sd", "low", "high", n.alias("n_selected"), F.coalesce("n_eff", F.lit(0)).alias("n_eff"), F.when(F.col("n_eff") > 0, n / F.col("n_eff")).alias("freq"))
 
 
+def overlaps_zero(low: str = "low", high: str = "high") -> Column:
+    """Whether an interval holds zero, its bounds included."""
+    return (F.col(low) <= 0) & (F.col(high) >= 0)
+
+
+def latent_correlation(weights: DataFrame, method: str = "pearson", metric: str = "mac", least: int = 3, eps: float = 1e-12) -> float:
+    """Agreement of blocks' weights: over components and pairs of blocks, the mean absolute correlation (or, frobenius, the root of summed squares) of absolute weights.
+
+    weights has component, block, feature and weight; features are matched by their place in the
+    order of names.  Blocks with fewer than ``least`` features or without variance are left out;
+    blocks of different size can't be matched and raise.  spearman ranks equal weights by place.
+    """
+    by = Window.partitionBy("component", "block")
+    own = weights.select("component", "block", F.abs("weight").alias("w"), F.row_number().over(by.orderBy("feature")).alias("place"))
+    own = own.withColumn("n", F.count("*").over(by)).withColumn("v", F.var_samp("w").over(by)).where((F.col("n") >= least) & (F.col("v") > eps))
+    if method == "spearman":
+        own = own.withColumn("w", F.row_number().over(by.orderBy("w", "place")).cast("double"))
+    other = own.select("component", "place", F.col("block").alias("other"), F.col("w").alias("u"), F.col("n").alias("m"))
+    pairs = own.join(other, ["component", "place"]).where("block < other").groupBy("component", "block", "other").agg(F.corr("w", "u").alias("r"), F.max(F.col("n") != F.col("m")).alias("unequal"))
+    got = pairs.agg(F.count("r").alias("k"), F.sum(F.abs("r")).alias("a"), F.sum(F.col("r") ** 2).alias("s"), F.max("unequal").alias("unequal")).first()
+    if got["unequal"]:
+        raise ValueError("blocks of different sizes can't be matched feature by feature")
+    if not got["k"]:
+        raise ValueError("no pair of blocks can be compared")
+    return float(got["a"] / got["k"] if metric == "mac" else got["s"] ** 0.5)
+
+
 def select_stable(summary: DataFrame, method: str = "ci", frequency: float = 0.6, magnitude: float = 1e-3) -> DataFrame:
     """Features whose interval doesn't cross zero (a bound at zero is fine) and whose mean is large enough, or that are often selected."""
     if method == "frequency":

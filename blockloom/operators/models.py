@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -16,6 +17,15 @@ from .moments import Moments, moments
 TARGET_BLOCK = ".target"
 
 
+SCORE_NAME = re.compile(r"^(LV|PC)(\d+)_(.*)$", re.S)
+
+
+def parse_score_name(name: str) -> tuple[str, int, str] | None:
+    """(prefix, component, block) of a score column's name, or None of any other's."""
+    found = SCORE_NAME.match(name)
+    return (found[1], int(found[2]), found[3]) if found else None
+
+
 @dataclass
 class Model:
     """A fitted model.  weights, loadings: component -> block -> array in the order of blocks[block].
@@ -159,6 +169,7 @@ class MBsPLS:
     seed: int = 0
     permutations: int = 0
     alpha: float = 0.05
+    early: float | None = None
 
     def fit(self, table: BlockTable) -> Model:
         table = table.resolved()
@@ -166,7 +177,7 @@ class MBsPLS:
         if self.permutations:
             from .inference import train_test
 
-            test = train_test(table, self.permutations, self.metric, self.max_iter, self.tol, self.seed)
+            test = train_test(table, self.permutations, self.metric, self.max_iter, self.tol, self.seed, early=self.early)
         return self.fit_moments(moments(table.df, table.columns), dict(table.blocks), test)
 
     def fit_moments(self, m: Moments, blocks: dict, test=None) -> Model:

@@ -83,6 +83,7 @@ class LabelFilter:
     target: str | None = None
     invert: bool = False
     drop_unused_levels: bool = True
+    drop_stratum: bool = False
 
     def fit(self, table: BlockTable) -> Fitted:
         name = self.target or table.target
@@ -99,7 +100,8 @@ class LabelFilter:
             every = t.levels or tuple(sorted({r[0] for r in t.df.select(F.col(name).cast("string")).distinct().collect() if r[0] is not None}))
             left = tuple(v for v in every if (v in self.labels) != self.invert) if self.drop_unused_levels else every
             left += tuple(v for v in every if v not in left)[: max(0, 2 - len(left))]
-            return replace(kept, levels=left)
+            roles = {k: tuple(c for c in own if not (self.drop_stratum and k == "stratum" and c == name)) for k, own in t.roles.items()}
+            return replace(kept, levels=left, roles=roles)
 
         apply(table, True)
         return Fitted(apply)

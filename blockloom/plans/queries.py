@@ -470,6 +470,21 @@ def stable_ci(spark, sf_dir):
     return rounded(inference.select_stable(_summary(spark, sf_dir)).select("component", "block", "feature", "mean"))
 
 
+@query("interval_with_zero", SUMMARY + f" SELECT component, block, feature, {r('low')} AS low, {r('high')} AS high FROM y WHERE low <= 0 AND high >= 0")
+def interval_with_zero(spark, sf_dir):
+    return rounded(_summary(spark, sf_dir).where(inference.overlaps_zero()).select("component", "block", "feature", "low", "high"))
+
+
+@query("latent_correlation", f"""WITH {DRAWS}, w AS (SELECT component, block, feature, abs(avg(weight)) AS w FROM d GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY component, block ORDER BY w, feature) AS rk FROM w),
+p AS (SELECT a.component, a.block, b.block AS other, corr(a.w, b.w) AS r, corr(a.rk, b.rk) AS s FROM k a JOIN k b ON a.component = b.component AND a.feature = b.feature AND a.block < b.block GROUP BY ALL)
+SELECT {r('avg(abs(r))')} AS pearson, {r('avg(abs(s))')} AS spearman, {r('sqrt(sum(r * r))')} AS frobenius FROM p""")
+def latent_correlation(spark, sf_dir):
+    w = _draws(spark, sf_dir).groupBy("component", "block", "feature").agg(F.avg("weight").alias("weight"))
+    got = (inference.latent_correlation(w), inference.latent_correlation(w, "spearman"), inference.latent_correlation(w, metric="frobenius"))
+    return rounded(spark.createDataFrame([got], "pearson double, spearman double, frobenius double"))
+
+
 @query("stable_frequency", SUMMARY + f" SELECT component, block, feature, {r('freq')} AS freq FROM y WHERE freq >= 0.6")
 def stable_frequency(spark, sf_dir):
     return rounded(inference.select_stable(_summary(spark, sf_dir), "frequency").select("component", "block", "feature", "freq"))

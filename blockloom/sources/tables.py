@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -95,12 +96,27 @@ class BlockTable:
         cols = [c for c in self.columns if isinstance(self.df.schema[c].dataType, NUMERIC)]
         got = self.df.agg(*[F.var_samp(clean(c)).alias(c) for c in cols]).first() if cols else {}
         good = {c for c in cols if got[c] is not None and got[c] == got[c] and EPS < got[c] < float("inf")}
+        lost = [c for c in self.columns if c not in good]
+        if lost:
+            warnings.warn(f"{len(lost)} columns don't vary or aren't numeric: {', '.join(lost[:10])}", stacklevel=2)
         blocks = {b: tuple(c for c in own if c in good) for b, own in self.blocks.items()}
         return replace(self, blocks={b: own for b, own in blocks.items() if own})
 
 
+def expanded(columns: list[str], blocks: Mapping[str, Iterable[str]]) -> dict[str, tuple[str, ...]]:
+    """blocks with the columns base.level in place of a base that is no column any more."""
+    dummies = lambda base: [c for c in columns if c.startswith(f"{base}.")]
+    return {b: tuple(x for c in own for x in ([c] if c in columns else dummies(c) or [c])) for b, own in blocks.items()}
+
+
 def from_flat(df: DataFrame, blocks: Mapping[str, Iterable[str]], target: str | None = None, row_id: str | None = None, **more) -> BlockTable:
-    """A BlockTable of one flat table; a missing row id is added under a name that no column has."""
+    """A BlockTable of one flat table; a missing row id is added under a name that no column has.
+
+    A name in blocks that is no column stands for the dummies that it has become, name.level.  An
+    added row id holds for one evaluation of df only: give one, or write the table first, where
+    folds and replicates are to be the same again.
+    """
+    blocks = expanded(df.columns, blocks)
     if row_id is None:
         row_id = "row_id"
         while row_id in df.columns:
@@ -127,25 +143,48 @@ def from_blocks(parts: Mapping[str, DataFrame], row_id: str, target: DataFrame |
     return BlockTable(whole, blocks, target_name if target is not None else None, row_id=row_id, **more)
 
 
+#: Fixed values of the synthetic tables: each feature's loadings on the three latent factors.
+LOADINGS = {
+    "block_a": ((1.2, 0.4, 0.0), (1.0, 0.3, 0.2), (0.9, 0.5, 0.1), (0.7, 0.2, 0.0), (0.5, 0.4, 0.2), (0.3, 0.1, 0.1)),
+    "block_b": ((0.8, 0.0, 1.0), (0.7, 0.2, 0.9), (0.6, 0.1, 0.7), (0.4, 0.0, 0.8), (0.3, 0.2, 0.6), (0.2, 0.1, 0.5)),
+    "block_c": ((0.1, 1.1, 0.8), (0.2, 1.0, 0.7), (0.3, 0.9, 0.5), (0.2, 0.8, 0.4), (0.0, 0.7, 0.3), (0.1, 0.6, 0.2)),
+}
+#: Sites and their shifts, noise, and the factors' and noise's part in response and class.
+SITE_SHIFT, NOISE = {"A": 0.0, "B": 0.2 * 0.6, "C": -0.2 * 0.6}, 0.35
+RESPONSE, CLASS = (1.0, 0.7, -0.4, 0.4), (1.0, 0.5, -0.3, 0.3)
+
+
+def _uniform(seed: int, draw: int) -> Column:
+    """In (0, 1), by row_id, seed and draw alone, so that it doesn't depend on partitions."""
+    bits = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), F.lit(draw), F.col("row_id")), F.lit(11))
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def _normal(seed: int, draw: int) -> Column:
+    """A standard normal draw, from two uniform ones."""
+    return F.sqrt(-2 * F.log(_uniform(seed, 2 * draw))) * F.cos(2 * F.pi() * _uniform(seed, 2 * draw + 1))
+
+
 def synthetic(spark: SparkSession, n: int = 90, seed: int = 1, task_type: str = "clust") -> BlockTable:
-    """Three blocks of six features over three latent factors, a site shift, a response and three classes."""
-    strong, weak = (0.9, 0.8, 0.7, 0.2, 0.1, 0.0), (0.1, 0.3, 0.0, 0.8, 0.6, 0.4)
-    z = spark.range(n).withColumnRenamed("id", "row_id").select("row_id", *[F.randn(seed * 100 + i).alias(f"z{i}") for i in (1, 2, 3)])
-    z = z.withColumn("site_batch", F.element_at(F.array(*map(F.lit, "ABC")), (F.col("row_id") % 3 + 1).cast("int")))
-    shift = F.when(F.col("site_batch") == "B", 0.12).when(F.col("site_batch") == "C", -0.12).otherwise(0.0)
-    names, cols = {"a": (1, 2), "b": (2, 3), "c": (3, 1)}, {}
-    for k, (b, (p, q)) in enumerate(names.items()):
-        for j in range(6):
-            cols[f"block_{b}_{j + 1}"] = strong[j] * F.col(f"z{p}") + weak[j] * F.col(f"z{q}") + shift + 0.35 * F.randn(seed * 100 + 10 + 6 * k + j)
-    raw = F.col("z1") + 0.7 * F.col("z2") - 0.4 * F.col("z3") + 0.4 * F.randn(seed * 100 + 40)
-    score = F.col("z1") + 0.5 * F.col("z2") - 0.3 * F.col("z3") + 0.3 * F.randn(seed * 100 + 41)
+    """Three blocks of six features over three latent factors, with drawn sites that shift them, a response and three classes."""
+    z = spark.range(n).withColumnRenamed("id", "row_id").select("row_id", *[_normal(seed, i).alias(f"z{i}") for i in range(3)])
+    site = F.element_at(F.array(*map(F.lit, SITE_SHIFT)), (F.floor(3 * _uniform(seed, 9)) + 1).cast("int"))
+    z = z.withColumn("site_batch", site)
+    shift = F.create_map(*[F.lit(x) for pair in SITE_SHIFT.items() for x in pair])[F.col("site_batch")]
+    mixed = lambda loads: sum((x * F.col(f"z{i}") for i, x in enumerate(loads)), F.lit(0.0))
+    cols, draw = {}, 10
+    for b, rows in LOADINGS.items():
+        for j, loads in enumerate(rows, 1):
+            cols[f"{b}_{j}"] = mixed(loads) + shift + NOISE * _normal(seed, draw)
+            draw += 1
+    raw, score = (mixed(x[:3]) + x[3] * _normal(seed, draw + i) for i, x in enumerate((RESPONSE, CLASS)))
     df = z.withColumns(cols | {"raw": raw, "score": score})
     cut = df.agg(F.avg("raw").alias("m"), F.stddev_samp("raw").alias("s"), F.expr("percentile(score, array(1/3D, 2/3D))").alias("q")).first()
     df = df.withColumn("response", (F.col("raw") - cut["m"]) / cut["s"])
     df = df.withColumn("subtype", F.when(F.col("score") <= cut["q"][0], "Basal").when(F.col("score") <= cut["q"][1], "Her2").otherwise("LumA"))
     target = {"classif": "subtype", "regr": "response"}.get(task_type)
-    blocks = {f"block_{b}": tuple(f"block_{b}_{j}" for j in range(1, 7)) for b in names}
-    return BlockTable(df.drop("z1", "z2", "z3", "raw", "score"), blocks, target, task_type if target else "clust", levels=("Basal", "Her2", "LumA") if target == "subtype" else ())
+    blocks = {b: tuple(f"{b}_{j}" for j in range(1, 7)) for b in LOADINGS}
+    return BlockTable(df.drop("z0", "z1", "z2", "raw", "score"), blocks, target, task_type if target else "clust", levels=("Basal", "Her2", "LumA") if target == "subtype" else ())
 
 
 def adapter(df: DataFrame, prefixes: Mapping[str, str], target: str | None = None, response: int | str | None = None, responses: tuple[str, ...] = ()) -> BlockTable:

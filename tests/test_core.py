@@ -261,3 +261,36 @@ def test_strict_objective_and_mean_z(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0, 7.0), (2, 2.0, 5.0, None), (3, 3.0, 5.0, 9.0)], "row_id int, a double, b double, c double")
     got = {r["row_id"]: r["LC"] for r in evaluate.mean_z_score(df, "row_id", ["a", "b", "c"]).collect()}
     assert got[2] == 0 and got[1] == pytest.approx((-1 - 2**-0.5) / 2)
+
+
+def test_synthetic_tables_do_not_depend_on_partitions(spark):
+    a, b = (tables.synthetic(spark, 200, 3, "classif").df for _ in range(2))
+    spread = b.repartition(7).orderBy("row_id").toPandas()
+    assert a.orderBy("row_id").toPandas().equals(spread) and set(spread.site_batch) == {"A", "B", "C"}
+    assert abs(spread.response.mean()) < 1e-9 and spread.subtype.value_counts().max() <= 68
+    big = tables.synthetic(spark, 20_000).df.agg(F.corr("block_a_1", "block_a_2").alias("r"), F.stddev("block_c_1").alias("s")).first()
+    shift = 0.0144 * 2 / 3
+    assert big["s"] == pytest.approx((0.1**2 + 1.1**2 + 0.8**2 + 0.35**2 + shift) ** 0.5, rel=0.03)
+
+
+def test_names_dummies_and_strata(spark):
+    from blockloom.operators.models import parse_score_name
+
+    assert parse_score_name("LV12_a_b") == ("LV", 12, "a_b") and parse_score_name("PC1_x") == ("PC", 1, "x") and parse_score_name("LVx_a") is None
+    assert tables.expanded(["x", "c.a", "c.b", "cc"], {"p": ["x", "c"], "q": ["cc"]}) == {"p": ("x", "c.a", "c.b"), "q": ("cc",)}
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b"), (3, 1.0, "c")], "row_id int, x double, y string")
+    t = BlockTable(df, {"p": ("x",)}, "y", "classif", roles={"stratum": ("y",)})
+    assert preprocess.LabelFilter(("c",), invert=True, drop_stratum=True).fit(t).transform(t).roles == {"stratum": ()}
+
+
+def test_early_stop_of_permutations(spark):
+    calls = []
+    work = lambda rng: float(rng.random())
+    real = inference._replicates
+    try:
+        inference._replicates = lambda *a: calls.append(a[1]) or real(*a)
+        assert inference._p_value(spark, 1000, work, 1, 0.5, early=0.04) > 0.3 and sum(calls) < 1000
+        calls.clear()
+        assert inference._p_value(spark, 200, work, 1, 2.0, early=0.05) == 1 / 201 and sum(calls) == 200
+    finally:
+        inference._replicates = real
