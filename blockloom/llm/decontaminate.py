@@ -7,7 +7,7 @@ that word alone, are dropped where the word stands too near an end of the docume
 window to fit around it or the next rarest word isn't in its place (the length and position
 bounds), and the rest are verified word by word.
 
-The windows are broadcast in slices of a checked size, by hash of their prefix word: a benchmark
+The windows are broadcast in slices of a checked size, by hash, however many share a prefix word: a benchmark
 that outgrows the bound costs further passes over the documents, not memory.  Documents are
 never shuffled by word, so neither a common word nor a passage in a third of all documents loads
 a single task.
@@ -80,7 +80,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", size: i
     slices = max(1, -(-rated.count() // slice_rows))
     hits = None
     for i in range(slices):
-        part = F.broadcast(rated.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i) if slices > 1 else rated)
+        part = F.broadcast(rated.where(F.pmod(F.xxhash64("key", "window"), F.lit(slices)) == i) if slices > 1 else rated)
         words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("w"))
         each = words.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
         met = each.join(part, "key").where((F.col("pos") >= F.col("place")) & (F.col("pos") - F.col("place") + F.col("size") <= F.size("w")))

@@ -63,8 +63,8 @@ class _Cache(dict):
 class PrefixTableEncoder:
     """Encodes as the model's own library does, without sampling and without extra ids.
 
-    Pieces that are user-defined or unused change the merge rules; a model that has them is
-    refused.
+    Unused pieces change the merge rules; a model that has them is refused.  So would user-defined
+    pieces, which the library doesn't tell apart: the caller must know that there are none.
     """
 
     def __init__(self, model_file: str, cache_size: int = 250_000):
