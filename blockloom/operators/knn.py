@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +38,9 @@ def neighbours(test: DataFrame, train: DataFrame, numeric: list[str], categorica
     test has test_id, train has train_id.  The distance is the mean over the features that both
     rows have of |a - b| / range, or of 0 or 1 for categories; pairs with fewer than
     min_feature_frac of the features don't count.  Equal distances go by train_id.  A training
-    table beyond the broadcast bound is cut into salted parts that meet every test row once; the k
-    best of each part are ranked before the parts' results are.
+    table within BROADCAST_ROWS goes to executors as arrays, against which blocks of test rows are
+    set; one beyond it is cut into salted parts that meet every test row once, and the k best of
+    each part are ranked before the parts' results are.
     """
     ordered = ordered or {}
     if na_handling == "fail":
@@ -47,12 +52,12 @@ def neighbours(test: DataFrame, train: DataFrame, numeric: list[str], categorica
     a, b = side(test, "test"), side(train, "train")
     n = train.count()
     parts = max(1, -(-n // BROADCAST_ROWS))
+    terms = len(numeric) + len(ordered) + len(categorical)
+    least = max(1, -int(-min_feature_frac * terms // 1))
     if parts == 1:
-        pairs = a.join(F.broadcast(b), F.lit(True))
-        pairs = pairs.withColumn("part", F.lit(0))
-    else:
-        a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = a.join(b.withColumn("part", F.pmod(F.xxhash64("train_id"), F.lit(parts)).cast("int")), "part")
+        return _against_all(a, b, [span[c] for c in numeric], len(ordered), len(categorical), k, least, keep)
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = a.join(b.withColumn("part", F.pmod(F.xxhash64("train_id"), F.lit(parts)).cast("int")), "part")
     terms = [(F.col(f"test_n{i}"), F.col(f"train_n{i}"), F.abs(F.col(f"test_n{i}") - F.col(f"train_n{i}")) / span[c]) for i, c in enumerate(numeric)]
     terms += [(F.col(f"test_o{i}"), F.col(f"train_o{i}"), F.abs(F.col(f"test_o{i}") - F.col(f"train_o{i}"))) for i in range(len(ordered))]
     terms += [(F.col(f"test_c{i}"), F.col(f"train_c{i}"), F.when(F.col(f"test_c{i}") == F.col(f"train_c{i}"), 0.0).otherwise(1.0)) for i in range(len(categorical))]
@@ -60,13 +65,63 @@ def neighbours(test: DataFrame, train: DataFrame, numeric: list[str], categorica
     for x, y, d in terms:
         both = x.isNotNull() & y.isNotNull()
         total, used = total + F.when(both, d).otherwise(0.0), used + F.when(both, 1).otherwise(0)
-    least = max(1, -int(-min_feature_frac * len(terms) // 1))
     found = pairs.select("test_id", "train_id", "part", *keep, total.alias("t"), used.alias("u")).where(F.col("u") >= least).withColumn("dist", F.col("t") / F.col("u"))
-    for by in (["test_id", "part"], ["test_id"]) if parts > 1 else (["test_id"],):
+    for by in (["test_id", "part"], ["test_id"]):
         found = found.withColumn("nn", F.row_number().over(Window.partitionBy(*by).orderBy("dist", "train_id"))).where(F.col("nn") <= k)
     return found.select("test_id", "train_id", "dist", "nn", *keep)
 
 
+def _against_all(test: DataFrame, train: DataFrame, spans: list[float], n_ordered: int, n_categorical: int, k: int, least: int, keep: tuple[str, ...], cells: int = 1 << 21) -> DataFrame:
+    """neighbours() of test rows against a training table small enough to hold: blocks of at most ``cells`` distances at a time."""
+    spark = test.sparkSession
+    held = spark.sparkContext.broadcast(train.orderBy("train_id").toArrow().combine_chunks())
+    plain = [f"n{i}" for i in range(len(spans))] + [f"o{i}" for i in range(n_ordered)]
+    scale = [*spans, *[1.0] * n_ordered]
+
+    def numbers(col) -> np.ndarray:
+        return pc.fill_null(pc.cast(col, pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = held.value
+        n = b.num_rows
+        right = {c: numbers(b[f"train_{c}"].combine_chunks()) for c in plain}
+        codes = [{x: i for i, x in enumerate(pc.unique(b[f"train_c{i}"]).to_pylist()) if x is not None} for i in range(n_categorical)]
+        coded = lambda col, known: np.array([-1 if x is None else known.get(x, -2) for x in col.to_pylist()], np.int64)
+        groups = [coded(b[f"train_c{i}"], codes[i]) for i in range(n_categorical)]
+        names = ["test_id", "train_id", "dist", "nn", *keep]
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, cells // max(n, 1))):
+                a = batch.slice(at, max(1, cells // max(n, 1)))
+                total, used = np.zeros((a.num_rows, n)), np.zeros((a.num_rows, n), np.int64)
+                for c, s in zip(plain, scale, strict=True):
+                    d = np.abs(numbers(a.column(f"test_{c}"))[:, None] - right[c][None, :]) / s
+                    both = ~np.isnan(d)
+                    total += np.where(both, d, 0.0)
+                    used += both
+                for i in range(n_categorical):
+                    x, y = coded(a.column(f"test_c{i}"), codes[i])[:, None], groups[i][None, :]
+                    both = (x != -1) & (y != -1)
+                    total += np.where(both & (x != y), 1.0, 0.0)
+                    used += both
+                dist = np.where(used >= least, total / np.maximum(used, 1), np.inf)
+                rows, cols, ranks = [], [], []
+                for i in range(a.num_rows if n else 0):
+                    far = np.partition(dist[i], min(k, n) - 1)[min(k, n) - 1]
+                    near = np.flatnonzero((dist[i] <= far) & (dist[i] < np.inf))
+                    near = near[np.argsort(dist[i][near], kind="stable")][:k]
+                    rows.append(np.full(len(near), i))
+                    cols.append(near)
+                    ranks.append(np.arange(1, len(near) + 1, dtype=np.int32))
+                i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols))
+                found = b.take(pa.array(j))
+                kept = [found[c].combine_chunks() for c in ("train_id", *keep)]
+                yield pa.RecordBatch.from_arrays([a.column("test_id").take(pa.array(i)), kept[0], pa.array(dist[i, j]), pa.array(np.concatenate(ranks) if ranks else np.zeros(0, np.int32)), *kept[1:]], names)
+
+    kinds = dict(train.dtypes) | dict(test.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("test_id", "train_id")) + ", dist double, nn int" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return test.mapInArrow(run, schema)
+
+
 def present_all(numeric: list[str], categorical: list[str]) -> Column:
     ok = F.lit(True)
     for c in numeric:

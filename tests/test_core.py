@@ -294,3 +294,17 @@ def test_early_stop_of_permutations(spark):
         assert inference._p_value(spark, 200, work, 1, 2.0, early=0.05) == 1 / 201 and sum(calls) == 200
     finally:
         inference._replicates = real
+
+
+def test_neighbours_by_blocks_equal_those_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    row = lambda i: (i, float(rng.integers(0, 6)) if rng.random() < 0.8 else None, float(rng.normal()), rng.choice(["a", "b", "c"]) if rng.random() < 0.8 else None, rng.choice(["low", "mid", "high"]))
+    cols = "x double, z double, c string, o string"
+    test, train = (spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in row(i)) for i in range(n)], f"{side}_id int, {cols}") for side, n in (("test", 40), ("train", 70)))
+    got = []
+    for bound in (200_000, 15):
+        monkeypatch.setattr(knn, "BROADCAST_ROWS", bound)
+        found = knn.neighbours(test, train, ["x", "z"], ["c"], 4, 0.5, {"o": ["low", "mid", "high"]}, keep=("z",))
+        got.append(sorted((r["test_id"], r["nn"], r["train_id"], round(r["dist"], 12), r["z"]) for r in found.collect()))
+    assert got[0] == got[1] and len(got[0]) == 160
+    assert knn.neighbours(test, train.limit(0), ["x"], [], 2).count() == 0 and knn.neighbours(test.limit(0), train, ["x"], [], 2).count() == 0
