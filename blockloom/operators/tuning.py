@@ -14,7 +14,7 @@ from . import evaluate, solver
 from .inference import StabilitySelection, permutation_test
 from .knn import KnnImpute
 from .models import MBsPCA, MBsPLS, MBsPLSXY, Model, as_model
-from .moments import moments_by
+from .moments import Moments, moments, moments_by
 from .preprocess import BlockScaling, Encode, Fitted, Steps
 
 
@@ -33,7 +33,9 @@ def balanced_folds(df: DataFrame, row_id: str, folds: int, seed: int = 0) -> Dat
 class SequentialTuner:
     """Component by component: random whole-number sparsity, scored on folds' cross-products, a combined permutation test, deflation.
 
-    One pass gives every fold's moments; a training fold's are the whole's less the fold's.
+    One pass gives every fold's moments; a training fold's are the whole's less the fold's.  With
+    steps, each fold's preprocessing is fitted to its training part alone, so nothing of the test
+    part leaks into it; that takes a pass for each fold and step.
     Candidates are spread over executors, which hold the folds' matrices only.
     """
 
@@ -47,19 +49,43 @@ class SequentialTuner:
     pca: bool = False
     max_iter: int = 1000
     tol: float = 1e-4
+    steps: list = field(default_factory=list)
+
+    def _split(self, table: BlockTable, f: int) -> tuple[BlockTable, BlockTable, object]:
+        """(training part, test part, what is fitted to the first) of a fold, both transformed."""
+        df = with_folds(table.df, table.row_id, self.folds, self.seed)
+        train, test = table.with_df(df.where(F.col("fold") != f).drop("fold")), table.with_df(df.where(F.col("fold") == f).drop("fold"))
+        fitted = Steps(self.steps).fit(train)
+        return fitted.transform(train), fitted.transform(test), fitted
+
+    def _prepared(self, table: BlockTable, extra: BlockTable | None) -> tuple[Moments, dict, list[tuple[Moments, Moments]]]:
+        """Moments of the whole, blocks, and (training, test) moments of folds, each prepared by the steps as its training part has them."""
+        fitted = Steps(self.steps).fit(table)
+        ready = fitted.transform(table).resolved()
+        cols, folds = ready.columns, []
+        add = lambda m, how: m if extra is None else m + moments(how.transform(extra).df, cols)
+        for f in range(self.folds):
+            train, test, own = self._split(table, f)
+            folds.append((add(moments(train.df, cols), own), moments(test.df, cols)))
+        return add(moments(ready.df, cols), fitted), dict(ready.blocks), folds
 
     def fit(self, table: BlockTable, extra: BlockTable | None = None) -> tuple[np.ndarray, list[dict]]:
         """(c: block x component, per component what was chosen); extra: unlabelled rows, which join every training part."""
-        table = table.resolved()
-        spark, cols, blocks = table.df.sparkSession, table.columns, dict(table.blocks)
-        folds = moments_by(with_folds(table.df, table.row_id, self.folds, self.seed), cols, key="fold")
-        more = moments_by(extra.df.withColumn("fold", F.lit(0)), cols, key="fold")[0] if extra is not None else None
-        whole = None
-        for m in folds.values():
-            whole = m if whole is None else whole + m
-        if more is not None:
-            whole = whole + more
-        parts = [(solver.Blocks.of(whole - m, blocks), solver.Blocks.of(m, blocks)) for m in folds.values() if m.n >= 3]
+        spark = table.df.sparkSession
+        if self.steps:
+            whole, blocks, pairs = self._prepared(table, extra)
+        else:
+            table = table.resolved()
+            cols, blocks = table.columns, dict(table.blocks)
+            folds = moments_by(with_folds(table.df, table.row_id, self.folds, self.seed), cols, key="fold")
+            more = moments_by(extra.df.withColumn("fold", F.lit(0)), cols, key="fold")[0] if extra is not None else None
+            whole = None
+            for m in folds.values():
+                whole = m if whole is None else whole + m
+            if more is not None:
+                whole = whole + more
+            pairs = [(whole - m, m) for m in folds.values()]
+        parts = [(solver.Blocks.of(a, blocks), solver.Blocks.of(b, blocks)) for a, b in pairs if b.n >= 3]
         full, sizes, rng = solver.Blocks.of(whole, blocks), [len(c) for c in blocks.values()], np.random.Generator(np.random.Philox(self.seed))
         solve = solver.one_pca_component if self.pca else solver.one_component
         chosen, log, worst = [], [], 0.0
@@ -106,9 +132,10 @@ class SequentialTuner:
 
     def _p_value(self, table: BlockTable, blocks: dict, c: np.ndarray, before: list) -> float:
         """Stouffer's combination of out-of-sample permutation tests over folds."""
-        df, ps, ws = with_folds(table.df, table.row_id, self.folds, self.seed), [], []
+        ps, ws = [], []
         for f in range(self.folds):
-            train, test = table.with_df(df.where(F.col("fold") != f)), table.with_df(df.where(F.col("fold") == f))
+            train, test, _ = self._split(table, f)
+            train = replace(train, blocks=blocks)
             n = test.df.count()
             if n < 3:
                 continue
@@ -230,7 +257,7 @@ class NestedCV:
             train, test = table.with_df(df.where(F.col("fold") != f).drop("fold")), table.with_df(df.where(F.col("fold") == f).drop("fold"))
             fitted = Steps(self.steps).fit(train)
             ready = fitted.transform(train).resolved()
-            c, log = replace(self.tuner, seed=self.seed).fit(ready)
+            c, log = replace(self.tuner, seed=self.seed, steps=[*self.steps, *self.tuner.steps]).fit(train)
             model = MBsPLS(c.shape[1], c, self.tuner.metric, self.tuner.max_iter, self.tuner.tol, self.seed).fit(ready)
             new = fitted.transform(test)
             payload = evaluate.evaluate(model, new)

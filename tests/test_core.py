@@ -308,3 +308,20 @@ def test_neighbours_by_blocks_equal_those_by_joins(spark, monkeypatch):
         got.append(sorted((r["test_id"], r["nn"], r["train_id"], round(r["dist"], 12), r["z"]) for r in found.collect()))
     assert got[0] == got[1] and len(got[0]) == 160
     assert knn.neighbours(test, train.limit(0), ["x"], [], 2).count() == 0 and knn.neighbours(test.limit(0), train, ["x"], [], 2).count() == 0
+
+
+def test_tuner_prepares_each_fold_by_its_training_part(spark):
+    t, x = signal(spark, 90)
+    t = t.with_df(t.df.withColumn("x1", F.col("x1") * 50 + F.when(F.col("row_id") > 80, 400).otherwise(0)))
+    tuner = tuning.SequentialTuner(1, budget=4, folds=3, seed=2, steps=[preprocess.BlockScaling("feature_zscore")])
+    whole, blocks, folds = tuner._prepared(t, None)
+    pdf = tuning.with_folds(t.df, "row_id", 3, 2).toPandas()
+    for f, (train, test) in enumerate(folds):
+        a, b = (pdf[mask][["x1", "x2", "y1", "y2"]].to_numpy() for mask in (pdf.fold != f, pdf.fold == f))
+        scale = a.std(axis=0, ddof=1) * np.sqrt(2)
+        za, zb = (a - a.mean(axis=0)) / scale, (b - a.mean(axis=0)) / scale
+        assert np.allclose(train.g, za.T @ za) and np.allclose(test.g, zb.T @ zb) and np.allclose(test.s, zb.sum(axis=0))
+    assert whole.n == 90 and blocks == {"x": ("x1", "x2"), "y": ("y1", "y2")}
+    c, log = tuner.fit(t)
+    assert c.shape == (2, 1) and np.isfinite(log[0]["score"])
+    assert tuner._prepared(t, t)[2][0][0].n == folds[0][0].n + 90
