@@ -131,8 +131,9 @@ def _levels(df: DataFrame, col: str) -> list[str]:
 class PartialCorrection:
     """Takes out what a design of site and covariates explains, by least squares; the mean stays unless zero_center.
 
-    One site alone: the site's mean goes, by one grouped aggregate.  unknown_site: none leaves
-    rows of unseen sites as they are, baseline treats them as the first level.
+    The fit needs one pass of cross-products of design and columns.  unknown_site: none leaves
+    rows of unseen sites as they are, baseline treats them as the first level.  subgroup, a column
+    and some of its values, fits to these rows alone (controls, say) and corrects all.
     """
 
     site: str
@@ -141,8 +142,13 @@ class PartialCorrection:
     zero_center: bool = False
     revert: bool = False
     unknown_site: str = "none"
+    subgroup: tuple[str, tuple] | None = None
 
     def fit(self, table: BlockTable) -> Fitted:
+        if self.subgroup is not None:
+            table = table.filter(F.col(self.subgroup[0]).isin(*self.subgroup[1]))
+            if table.df.isEmpty():
+                raise ValueError(f"no row has {self.subgroup[0]} among {self.subgroup[1]}")
         cols, sites = table.columns, _levels(table.df, self.site)
         kinds = {c: table.df.schema[c].dataType.typeName() for c in self.covariates}
         levels = {c: _levels(table.df, c) for c in self.covariates if kinds[c] in ("string", "boolean")}

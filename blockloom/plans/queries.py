@@ -197,6 +197,28 @@ def site_partial(spark, sf_dir):
     return rounded(preprocess.PartialCorrection("r_name").fit(t).transform(t).df.select("row_id", *COLUMNS))
 
 
+_flag = "FILTER (WHERE l_returnflag = 'A')"
+_controls = ", ".join(r(f"{c} - avg({c}) {_flag} OVER (PARTITION BY r_name) + avg({c}) {_flag} OVER ()") + f" AS {c}" for c in COLUMNS)
+
+
+@query("site_partial_subgroup", f"WITH {ORDERS} SELECT row_id, {_controls} FROM o")
+def site_partial_subgroup(spark, sf_dir):
+    t = orders_design(spark, sf_dir)
+    return rounded(preprocess.PartialCorrection("r_name", subgroup=("l_returnflag", ("A",))).fit(t).transform(t).df.select("row_id", *COLUMNS))
+
+
+_pooled = ", ".join(f"sqrt(sum((n - 1) * v_{c}) / sum(n)) AS s_{c}, sum(n * m_{c}) / sum(n) AS a_{c}" for c in COLUMNS)
+_batches = ", ".join(f"avg({c}) AS m_{c}, var_samp({c}) AS v_{c}" for c in COLUMNS)
+_plain = ", ".join(r(f"({c} - m_{c}) / sqrt(v_{c}) * s_{c} + a_{c}") + f" AS {c}" for c in COLUMNS)
+
+
+@query("site_combat_plain", f"WITH {ORDERS}, b AS (SELECT r_name, count(*) AS n, {_batches} FROM o GROUP BY 1), w AS (SELECT {_pooled} FROM b) SELECT row_id, {_plain} FROM o JOIN b USING (r_name), w")
+def site_combat_plain(spark, sf_dir):
+    """Without shrinkage, where SQL can follow."""
+    t = orders_design(spark, sf_dir)
+    return rounded(preprocess.ComBat("r_name", eb=False).fit(t).transform(t).df.select("row_id", *COLUMNS))
+
+
 @query("site_partial_covariates")
 def site_partial_covariates(spark, sf_dir):
     t = orders_design(spark, sf_dir)

@@ -325,3 +325,12 @@ def test_tuner_prepares_each_fold_by_its_training_part(spark):
     c, log = tuner.fit(t)
     assert c.shape == (2, 1) and np.isfinite(log[0]["score"])
     assert tuner._prepared(t, t)[2][0][0].n == folds[0][0].n + 90
+
+
+def test_correction_fitted_to_a_subgroup(spark):
+    rows = [(1, "s", "c", 1.0), (2, "s", "c", 3.0), (3, "s", "d", 9.0), (4, "t", "c", 5.0), (5, "t", "d", 50.0), (6, "u", "d", 7.0)]
+    t = BlockTable(spark.createDataFrame(rows, "row_id int, site string, g string, x double"), {"a": ("x",)})
+    got = {r["row_id"]: round(r["x"], 9) for r in preprocess.PartialCorrection("site", subgroup=("g", ("c",))).fit(t).transform(t).df.collect()}
+    assert got == {1: 2.0, 2: 4.0, 3: 10.0, 4: 3.0, 5: 48.0, 6: 7.0}
+    with pytest.raises(ValueError, match="no row"):
+        preprocess.PartialCorrection("site", subgroup=("g", ("z",))).fit(t)
