@@ -6,19 +6,24 @@ These windows are nodes of the Cartesian tree of the hashes.  Each of six functi
 its own, and each window wide enough for a shortest passage is one row: signature (the function
 and the token's hash), document, range of starts of shortest passages, place of the token.
 
-1. Rows of one signature meet in one bucket.  The row of the least document leads, and every other
-   faces the leader, so the work is linear however many documents share a passage.  A row also
-   faces the least row that agrees with it in one more min-hash, so that a leader unlike both
-   doesn't hide what two others share.  Of the documents that are read together only one sends on
-   a row that agrees in both hashes, and the others face it already.
-2. Of two documents, facing windows are joined as intervals: a window counts if one of another
-   function overlaps it in both documents.  Two passages of Jaccard similarity J agree in at least
-   two of the six functions with probability 0.998 at J = 0.8.  What lies at the same distance is
-   merged to one candidate.
-3. The candidates' tokens are fetched from both texts and verified: each passage of the shortest
+1. Rows of one signature meet in one bucket.  In a group of few rows each faces every row of a
+   lesser document.  In a crowded one, a row whose whole window is a copy faces the least document
+   that has it, and the others go on with their tokens (2).
+2. Windows of a crowded signature are put into classes in which any two have similar passages, and
+   face the least document of each class: an equal passage; an equal run so long that passages
+   around it are similar; a passage that is equal but for one word that is changed, put in or left
+   out.  Similar passages in line with each other are in one class at least, so the work is linear
+   and no link is lost: of two documents that don't face each other, both face the least of a class.
+   This holds if similar passages can't differ by more than one word within; for parameters by which they
+   can, no group counts as crowded.  Passages that repeat tokens within may be similar as sets
+   and in no class; in crowded groups such links can be missed unless the passages are equal.
+3. Of two documents, facing windows are joined as intervals: a window counts if one of another
+   function overlaps it in both documents, or if its class says enough by itself.  Two passages of
+   Jaccard similarity J agree in at least two of the six functions with probability 0.998 at
+   J = 0.8.  What lies at the same distance is merged to one candidate.
+4. The candidates' tokens are fetched from both texts and verified: each passage of the shortest
    length counts if the Jaccard similarity of the two token sets is high enough, and so does a
-   candidate as a whole.  Passages that aren't like what they face are compared again by their
-   exact content, so that an exactly repeated passage is found whatever else shares its windows.
+   candidate as a whole.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 SEEDS = np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) * MIX | np.uint64(1)
 #: Functions that must agree.
 ENOUGH = 2
+#: Rows of one signature that all face each other; more are crowded.
+CROWD = 32
+#: In place of a function's number: the two windows are of one class.
+CLASS = 7
 
 
 class _WordHashes(dict):
@@ -128,25 +137,20 @@ def cartesian_windows(values: np.ndarray, least: int) -> list[tuple[int, int, in
 
 
 def window_rows(tokens: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, token's place, signature, sketch) of the compact windows of all functions.
+    """(first start, last start, token's place, signature, content) of the compact windows of all functions.
 
     starts are the places where a passage of ``width`` tokens may begin, ascending, low and high
-    their texts' first and last tokens.  The sketch is another function's least token of the passage around
-    the token.  A signature's last three bits are the function's number.
+    their texts' first and last tokens.  The content is a hash of all tokens of the window and of the token's place in it.
+    A signature's last three bits are the function's number.
     """
-    each = []
-    for seed in SEEDS:
-        first, c, last = _tree_windows(distinct_values(_mixed(tokens * seed)), width, starts, low, high)
-        each.append((np.maximum(first, c - width + 1), np.minimum(c, last - width + 1), c))
     found = []
-    for k, (a, b, c) in enumerate(each):
-        other, _, oc = each[(k + 1) % len(each)]
-        text = np.searchsorted(starts, a)
-        middle = np.clip(c - width // 2, low[text], high[text] - width + 1)
-        sketch = _mixed(tokens[oc[np.searchsorted(other, middle, side="right") - 1]]) >> np.uint64(48)
-        sign = (_mixed(tokens[c] * SEEDS[k]) & ~np.uint64(7)) | np.uint64(k)
-        found.append((a, b, c, sign, sketch))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    for k, seed in enumerate(SEEDS):
+        first, c, last = _tree_windows(distinct_values(_mixed(tokens * seed)), width, starts, low, high)
+        a, b = np.maximum(first, c - width + 1), np.minimum(c, last - width + 1)
+        found.append((a, b, c, (_mixed(tokens[c] * seed) & ~np.uint64(7)) | np.uint64(k)))
+    a, b, c, sign = (np.concatenate(x) for x in zip(*found, strict=True))
+    shape = ((c - a) << 8 | (b - a)).astype(np.uint64)
+    return a, b, c, sign, _mixed(_range_hashes(tokens, a, b + width) + shape * MIX) >> np.uint64(24)
 
 
 def _batches(batch: pa.RecordBatch, most_chars: int = 2 << 20) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -171,13 +175,6 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
 
-def _leaders(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each row, what it faces of the least document with its keys: the first row the first, the second the second, and so on, round and round; rows are sorted by keys and doc."""
-    head, own = _heads(*keys), _heads(*keys, doc)
-    size = np.bincount(own, minlength=len(doc))[head]
-    return head + (np.arange(len(doc)) - own) % size
-
-
 def _range_hashes(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of tokens[start:end] for each range, by sums of the tokens times powers of an odd number."""
     base = int(MIX) | 1
@@ -193,23 +190,27 @@ FACING = ["doc_id", "leader", "shift", "a", "la", "more"]
 FACING_SCHEMA = ", ".join(f"{c} bigint" for c in FACING)
 
 
-def _facing(doc: np.ndarray, at: np.ndarray, other: np.ndarray, sign: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> pa.RecordBatch:
-    """Rows of FACING for windows ours of documents that face windows theirs; more packs more, lmore and the function.
+def _facing(doc: np.ndarray, at: np.ndarray, function: np.ndarray | int, ours: np.ndarray, theirs: np.ndarray) -> pa.RecordBatch:
+    """Rows of FACING for windows ours of documents that face windows theirs; more packs more, lmore and the function, or CLASS.
 
     at packs a window's first start, the number of further starts and the token's place.
     """
     s, more, p = at[ours] >> 16, (at[ours] >> 8) & 255, at[ours] & 255
-    ls, lmore, lp = other[theirs] >> 16, (other[theirs] >> 8) & 255, other[theirs] & 255
+    ls, lmore, lp = at[theirs] >> 16, (at[theirs] >> 8) & 255, at[theirs] & 255
     # Starts relative to the shared token: windows that have some in common face each other by that
     # token; else the end of one faces the beginning of the other.
     low, high = np.maximum(-p, -lp), np.minimum(more - p, lmore - lp)
     apart = np.where(low <= high, 0, np.where(more - p < -lp, low - high, high - low))
-    cols = (doc[ours], doc[theirs], ls + lp - s - p + apart, s, ls, (more << 16) | (lmore << 8) | (sign[ours] & np.uint64(7)).astype(np.int64))
+    cols = (doc[ours], doc[theirs], ls + lp - s - p + apart, s, ls, (more << 16) | (lmore << 8) | function)
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in cols], FACING)
 
 
+def _functions(sign: np.ndarray) -> np.ndarray:
+    return (sign & np.uint64(7)).astype(np.int64)
+
+
 def _packed_rows(ids: list, texts: list[list[bytes]], cache: dict, words: int, shingle: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) rows of a batch of documents; a negative bucket's blob has rows that face their leader already."""
+    """(bucket, blob) rows of a batch of documents; a negative bucket's blob has rows that face the least copy of their window already."""
     kept = [(i, t) for i, t in zip(ids, texts, strict=True) if len(t) >= words]
     if not kept:
         return
@@ -219,20 +220,21 @@ def _packed_rows(ids: list, texts: list[list[bytes]], cache: dict, words: int, s
     tokens = token_hashes([w for _, t in kept for w in t], cache, shingle)
     text = np.repeat(np.arange(len(kept)), counts)
     starts = np.arange(len(text)) + np.repeat(begin - np.cumsum(counts) + counts, counts)
-    a, b, c, sign, sketch = window_rows(tokens, starts, begin[text], (begin + sizes - shingle)[text], width)
+    a, b, c, sign, content = window_rows(tokens, starts, begin[text], (begin + sizes - shingle)[text], width)
     which = text[np.searchsorted(starts, a)]
     doc = np.array([i for i, _ in kept], np.int64)[which]
     at = ((a - begin[which]) << 16) | ((b - a) << 8) | (c - a)
-    order = np.argsort(sign ^ (sketch << np.uint64(3)), kind="stable")
-    mixed = (sign ^ (sketch << np.uint64(3)))[order]
+    mixed = sign ^ (content << np.uint64(3))
+    order = np.argsort(mixed, kind="stable")
+    mixed = mixed[order]
     same = mixed[1:] == mixed[:-1]
     often = np.append(same, False) | np.append(False, same)
     more = order[often]  # the few that come more than once
-    more = more[np.lexsort((at[more], doc[more], sketch[more], sign[more]))]  # as _leaders takes them
-    lead = more[_leaders(doc[more], sign[more], sketch[more])] if len(more) else more
+    more = more[np.lexsort((at[more], doc[more], content[more], sign[more]))]
+    lead = more[_heads(sign[more], content[more])] if len(more) else more
     led = doc[more] != doc[lead]
     if led.any():
-        rows = _facing(doc, at, at, sign, more[led], lead[led])
+        rows = _facing(doc, at, CLASS, more[led], lead[led])
         yield -1 - int(abs(int(ids[0])) % buckets), packed(*[np.asarray(v).view(np.uint64) for v in rows.columns])
     rest = np.concatenate([order[~often], more[~led]])
     bucket = (sign >> np.uint64(3)) % np.uint64(buckets)
@@ -241,40 +243,191 @@ def _packed_rows(ids: list, texts: list[list[bytes]], cache: dict, words: int, s
     for x, y in zip(edges, np.append(edges[1:], len(rest)), strict=True):
         i = rest[x:y]
         used, number = np.unique(which[i], return_inverse=True)
-        yield int(bucket[i[0]]), packed(np.array([kept[j][0] for j in used], np.int64).view(np.uint64), np.diff(sign[i], prepend=np.uint64(0)), number, at[i] >> 16, (at[i] >> 8) & 255, at[i] & 255, sketch[i])
+        yield int(bucket[i[0]]), packed(np.array([kept[j][0] for j in used], np.int64).view(np.uint64), np.diff(sign[i], prepend=np.uint64(0)), number, at[i] >> 16, (at[i] >> 8) & 255, at[i] & 255, content[i])
 
 
-def _met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """The rows of a bucket that face each other."""
+def _met(blobs: list[bytes], crowd: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a bucket that face each other; where more than ``crowd`` rows have a signature, windows that are no copies come as _crowded takes them."""
     parts = []
     for x in map(Blob, blobs):
         at = (x[3] << np.uint64(16)) | (x[4] << np.uint64(8)) | x[5]
         parts.append((np.cumsum(x[1], dtype=np.uint64), x[0].view(np.int64)[x[2].astype(np.int64)], at.view(np.int64), x[6]))
-    sign, doc, at, sketch = (np.concatenate(v) for v in zip(*parts, strict=True))
+    sign, doc, at, content = (np.concatenate(v) for v in zip(*parts, strict=True))
     del parts
     order = np.argsort(sign, kind="stable")
     same = sign[order[1:]] == sign[order[:-1]]
     order = order[np.append(same, False) | np.append(False, same)]
     order = order[np.lexsort((at[order], doc[order], sign[order]))]
-    sign, doc, at, sketch = (v[order] for v in (sign, doc, at, sketch))
+    sign, doc, at, content = (v[order] for v in (sign, doc, at, content))
     if not len(sign):
         return
-    lead = _leaders(doc, sign)
-    # The leader's windows after its first face themselves, so that their content isn't lost.
-    own = np.arange(len(sign))
-    lead = np.where(doc[lead] == doc, own, lead)
-    ours = np.flatnonzero((lead != own) | (own != _heads(sign)))
-    order = np.lexsort((own, sketch, sign))
-    second = np.empty_like(lead)
-    second[order] = order[_leaders(doc[order], sign[order], sketch[order])]
-    also = ours[(doc[second[ours]] != doc[lead[ours]]) & (doc[second[ours]] != doc[ours])]
-    for own, other in ((ours, lead[ours]), (also, second[also])):
-        for k in range(0, len(own), 100_000):
-            yield _facing(doc, at, at, sign, own[k : k + 100_000], other[k : k + 100_000])
-
-
-def _faced(docs: DataFrame, words: int, shingle: int, bucket_chars: int) -> DataFrame:
+    head = _heads(sign)
+    size = np.bincount(head, minlength=len(sign))[head]
+    several = np.bincount(head, doc != doc[head], len(sign))[head] > 0
+    few = several & (size <= crowd) if crowd else several
+    left, step = np.flatnonzero(few), 1
+    while len(left := left[left - step >= head[left]]):
+        ours = left[doc[left] != doc[left - step]]
+        for k in range(0, len(ours), 100_000):
+            i = ours[k : k + 100_000]
+            yield _facing(doc, at, _functions(sign[i]), i, i - step)
+        step += 1
+    many = np.flatnonzero(several & ~few)
+    many = many[np.lexsort((many, content[many], sign[many]))]
+    lead = many[_heads(sign[many], content[many])] if len(many) else many
+    copies = doc[many] != doc[lead]
+    for k in range(0, int(copies.sum()), 100_000):
+        yield _facing(doc, at, CLASS, many[copies][k : k + 100_000], lead[copies][k : k + 100_000])
+    rest = many[~copies]
+    for k in range(0, len(rest), 100_000):
+        i = rest[k : k + 100_000]
+        cols = [doc[i], np.zeros(len(i), np.int64), sign[i].view(np.int64), at[i] >> 16, at[i] & 255, (at[i] >> 8) & 255]
+        yield pa.RecordBatch.from_arrays([pa.array(v, mask=np.full(len(i), c == "leader")) for c, v in zip(FACING, cols, strict=True)], FACING)
+
+
+def _rolling(v: list[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """Hashes of v[0:size], v[1:size + 1] and so on, for each row."""
+    base = int(MIX) | 1
+    away, base = np.uint64(pow(base, size, 1 << 64)), np.uint64(base)
+    h = np.zeros_like(v[0])
+    for j, x in enumerate(v):
+        h = h * base + x
+        if j >= size:
+            h = h - v[j - size] * away
+        if j >= size - 1:
+            yield h
+
+
+def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, width: int, shingle: int, lost: int) -> np.ndarray:
+    """Pairs (row, row) of windows of which the second is the first one's least of a class.
+
+    Rows are sorted by sign and doc.  tokens has a line for each place from width - 1 before the
+    shared token to width - 1 after it, and in it each row's token there, two bytes of a hash.
+    """
+    n, core = len(sign), width - lost
+    low = width - 1 - (at & 255)
+    starts_end = low + ((at >> 8) & 255) + 1  # past the last start
+    v = [_mixed((x.astype(np.uint64) + np.uint64(1)) * MIX) for x in tokens]
+    group, pairs = _mixed(sign), []
+
+    def classes(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The least row of each row's class."""
+        order = np.argsort(key, kind="stable")
+        out = np.empty_like(rows)
+        out[order] = rows[order[_heads(key[order])]]
+        return out
+
+    def paired(rows: np.ndarray, lead: np.ndarray, seen: np.ndarray) -> None:
+        new = (doc[rows] != doc[lead]) & (seen[rows] != lead)
+        seen[rows] = lead
+        pairs.append(rows[new] * n + lead[new])
+
+    seen = np.full(n, -1)
+    for j, h in enumerate(_rolling(v, core)):
+        rows = np.flatnonzero((low <= j) & (j + core < starts_end + width))
+        if len(rows):
+            paired(rows, classes(rows, _mixed(h[rows] ^ group[rows])), seen)
+    seen, alone = np.full(n, -1), []
+    for j, h in enumerate(_rolling(v, width)):
+        rows = np.flatnonzero((low <= j) & (j < starts_end))
+        if len(rows):
+            lead = classes(rows, _mixed(h[rows] ^ group[rows]))
+            paired(rows, lead, seen)
+            own = rows[lead == rows]
+            alone.append((np.full(len(own), j, np.int64), own))
+    # One word within changes shingle tokens, or shingle - 1 where it is left out.
+    if lost == shingle and alone:
+        half, place, own = (core + 1) // 2, *(np.concatenate(x) for x in zip(*alone, strict=True))
+        part = np.stack([h >> np.uint64(32) for h in _rolling(v, half)]).astype(np.uint32)
+        for first in (True, False):
+            found = []
+            for gap in (shingle, shingle - 1):
+                end = place + core + gap
+                big = part[place if first else end - half, own].astype(np.uint64)
+                found.append(_mixed(((big << np.uint64(16)) | tokens[end - 1 if first else place, own]) * MIX ^ group[own]))
+            key = np.concatenate(found)
+            order = np.argsort(key, kind="stable")
+            head = _heads(key[order])
+            order_doc = doc[own[order % len(own)]]
+            other = np.bincount(head, order_doc != order_doc[head], len(order))[head] > 0
+            order, head = order[other], head[other]
+            edges = np.flatnonzero(np.append(True, head[1:] != head[:-1])[: len(head)])
+            at_most, k = 1 << 14, 0
+            while k < len(order):
+                stop = edges[min(np.searchsorted(edges, k + at_most), len(edges) - 1)] if len(edges) else len(order)
+                stop = int(stop) if stop > k else len(order)
+                i = order[k:stop] % len(own)
+                gaps = np.where(order[k:stop] < len(own), shingle, shingle - 1)
+                i, gaps = i[o := np.argsort(own[i], kind="stable")], gaps[o]
+                rows, begin = own[i], place[i]
+                sums = [np.zeros(len(i), np.uint64)]
+                base = np.uint64(int(MIX) | 1)
+                for t in range(width):
+                    sums.append(sums[-1] * base + _mixed((tokens[begin + t, rows].astype(np.uint64) + np.uint64(1)) * MIX))
+                sums, line = np.stack(sums), np.arange(len(i))
+                for m in range(half, core) if first else range(1, core - half + 1):
+                    power = np.uint64(pow(int(base), core - m, 1 << 64))
+                    right = sums[core + gaps, line] - sums[m + gaps, line] * power
+                    lead = classes(rows, _mixed(_mixed(sums[m]) * MIX ^ _mixed(right) ^ group[rows]))
+                    apart = doc[rows] != doc[lead]
+                    pairs.append(np.unique(rows[apart] * n + lead[apart]))
+                k = stop
+    code = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+    return np.stack([code // max(1, n), code % max(1, n)])
+
+
+def _crowded(rows: DataFrame, docs: DataFrame, words: int, shingle: int, lost: int) -> DataFrame:
+    """Rows of FACING for the rows without leader that _met gives."""
+    width = words - shingle + 1
+    part = F.call_function("substring", F.col("tokens"), (F.col("a") * 2 + 1).cast("int"), ((F.col("more") + width) * 2).cast("int"))
+    own = rows.select("doc_id", F.col("shift").alias("sign"), "a", F.col("la").alias("p"), "more")
+    filled = own.join(_short_hashes(docs, shingle, 2).where("tokens is not null"), "doc_id").select("sign", "doc_id", "a", "p", "more", part.alias("part")).distinct()
+
+    def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, doc, a, p, more = (np.concatenate([_columns(b.select([i]))[0] for b in held]) for i in range(5))
+        tokens = np.zeros((2 * width - 1, len(sign)), np.uint16)
+        i = 0
+        for b in held:
+            for k in range(0, b.num_rows, 10_000):
+                parts = [x.as_py() for x in b.column(5).slice(k, 10_000)]
+                sizes = np.array([len(x) // 2 for x in parts])
+                row = np.repeat(np.arange(i, i + len(parts)), sizes)
+                tokens[np.arange(len(row)) + np.repeat(width - 1 - p[i : i + len(parts)] - np.cumsum(sizes) + sizes, sizes), row] = np.frombuffer(b"".join(parts), "<u2")
+                i += len(parts)
+        at = (a << 16) | (more << 8) | p
+        ours, theirs = _class_pairs(sign.view(np.uint64), doc, at, tokens, width, shingle, lost)
+        for k in range(0, len(ours), 100_000):
+            yield _facing(doc, at, CLASS, ours[k : k + 100_000], theirs[k : k + 100_000])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # of the last signature more may come
+        for batch in batches:
+            sign = _columns(batch.select([0]))[0]
+            if not len(sign):
+                continue
+            if size >= 20_000:
+                now = held[-1].column(0)[held[-1].num_rows - 1].as_py()
+                upto = int(np.argmax(np.append(sign != now, True)))
+                if upto < len(sign):
+                    yield from judged([*held, batch.slice(0, upto)])
+                    held, size, batch = [], 0, batch.slice(upto)
+                    released()
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield from judged(held)
+        del held
+        released()
+
+    return filled.repartition("sign").sortWithinPartitions("sign", "doc_id", "a").mapInArrow(run, FACING_SCHEMA)
+
+
+def _faced(docs: DataFrame, words: int, shingle: int, similarity: float, bucket_chars: int, crowd: int) -> DataFrame:
     """Rows of FACING for all documents; the number of buckets follows from the characters of all texts."""
+    width = words - shingle + 1
+    # Tokens that a passage may have and a similar one lack, if none comes twice.
+    lost = width - int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+    crowd = crowd if lost <= shingle else None
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(max(1, -(-total // bucket_chars)))
 
@@ -298,26 +451,30 @@ def _faced(docs: DataFrame, words: int, shingle: int, bucket_chars: int) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(x[i].view(np.int64)) for i in range(len(FACING))], FACING)
                     continue
                 if bucket != now and blobs:
-                    yield from _met(blobs)
+                    yield from _met(blobs, crowd)
                     blobs = []
                     released()
                 now = bucket
                 blobs.append(blob.as_py())
         if blobs:
-            yield from _met(blobs)
+            yield from _met(blobs, crowd)
         released()
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket bigint, blob binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FACING_SCHEMA)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FACING_SCHEMA)
+    if not crowd:
+        return met
+    met = written(met, "passage-windows")
+    return met.where("leader is not null").union(_crowded(met.where("leader is null"), docs, words, shingle, lost))
 
 
 def overlapping(pair: np.ndarray, a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, function: np.ndarray, enough: int) -> np.ndarray:
-    """Which windows [a, b] that face [la, lb] overlap, on both sides, those of ``enough`` functions, their own included.
+    """Which windows [a, b] that face [la, lb] overlap, on both sides, those of ``enough`` functions, their own included, or are of one class.
 
     An interval join: rows are sorted by pair and a, and each is compared with the rows after it
     for as long as these begin before its end.
     """
-    seen = 1 << function
+    seen = np.where(function == CLASS, 3 << 8, 1 << function)
     left, step = np.arange(len(pair)), 1
     while True:
         left = left[left < len(pair) - step]
@@ -372,15 +529,15 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def _short_hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, tokens: four bytes of each token's hash."""
+def _short_hashes(docs: DataFrame, shingle: int, size: int = 4) -> DataFrame:
+    """doc_id, tokens: four bytes of each token's hash, or ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
             for ids, texts in _batches(batch):
                 sizes = [len(t) for t in texts]
-                whole = token_hashes([w for t in texts for w in t], cache, shingle).astype("<u4") if sum(sizes) else np.empty(0, "<u4")
+                whole = token_hashes([w for t in texts for w in t], cache, shingle).astype(f"<u{size}") if sum(sizes) else np.empty(0, f"<u{size}")
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([whole[e - n : max(e - n, e - shingle + 1)].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["doc_id", "tokens"])
             released()
@@ -439,7 +596,7 @@ def whole_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: f
 
 
 def _verified(found: DataFrame, tokens: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, leader, start, end (in words; end is past the last), and a content hash of each passage unlike the leader's (leader null).
+    """doc_id, leader, start, end (in words; end is past the last).
 
     A candidate counts as a whole if it is similar as a whole, however its shorter passages fare.
     """
@@ -465,20 +622,12 @@ def _verified(found: DataFrame, tokens: DataFrame, words: int, shingle: int, sim
                 y[at + before : at + before + len(part)] = part
             pair, place, fine = similar_windows(x, y, sizes, width, similarity)
             fine |= whole_similar(x, y, sizes, similarity)[pair]
-            fine &= (doc != leader)[pair]  # of what faces itself only the content counts
             start = a[pair] + place - begin[pair]
             p, s = pair[fine], start[fine]
             head = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (s[1:] > s[:-1] + words)][: len(p)])
             last = s[np.append(head[1:], len(s))[: len(head)] - 1]
-            # What isn't like the leader's may be equal to another document's.
-            q, t, at = pair[~fine], start[~fine], place[~fine]
-            content = _mixed(_range_hashes(x.astype(np.uint64), at, at + width)).view(np.int64)
-            itself = np.flatnonzero((doc == leader)[q])  # one place of each content will do
-            once = np.sort(np.r_[np.flatnonzero((doc != leader)[q]), itself[np.unique(np.stack([doc[q[itself]], content[itself]], axis=1), axis=0, return_index=True)[1]]]).astype(np.int64)
-            q, t, content = q[once], t[once], content[once]
-            alone = np.r_[np.zeros(len(head), bool), np.ones(len(q), bool)]
-            cols = [np.r_[doc[p[head]], doc[q]], np.r_[leader[p[head]], leader[q]], np.r_[s[head], t], np.r_[last, t] + words, np.r_[np.zeros(len(head), np.int64), content]]
-            return pa.RecordBatch.from_arrays([pa.array(v, mask=m) for v, m in zip(cols, (None, alone, None, None, ~alone), strict=True)], ["doc_id", "leader", "start", "end", "content"])
+            cols = [doc[p[head]], leader[p[head]], s[head], last + words]
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["doc_id", "leader", "start", "end"])
 
         for batch in batches:
             held, size = [], 0
@@ -493,31 +642,29 @@ def _verified(found: DataFrame, tokens: DataFrame, words: int, shingle: int, sim
             del held
             released()
 
-    return both.select("doc_id", "leader", "shift", "a", "x", "y").mapInArrow(run, "doc_id bigint, leader bigint, start bigint, end bigint, content bigint")
+    return both.select("doc_id", "leader", "shift", "a", "x", "y").mapInArrow(run, "doc_id bigint, leader bigint, start bigint, end bigint")
 
 
-def near_passages(docs: DataFrame, text: str = "text", words: int = 50, shingle: int = 5, similarity: float = 0.8, bucket_chars: int = 8 << 20) -> DataFrame:
+def near_passages(docs: DataFrame, text: str = "text", words: int = 50, shingle: int = 5, similarity: float = 0.8, bucket_chars: int = 8 << 20, crowd: int = CROWD) -> DataFrame:
     """doc_id, leader, start, end: words start to end - 1 of doc_id make up passages that repeat in leader, whose id is less.
 
     docs needs doc_id and text; words are white-space separated, A-Z in lower case.  Texts of
     fewer than ``words`` words, null texts and rows without doc_id have no passages.  Repeated
     rows of a doc_id are one document and don't repeat each other; a doc_id that stands for
     several texts has no passages, since none could be told apart.  An empty table gives an empty
-    result; other columns are not read.  A passage is linked to the leaders of its signatures,
-    the least documents that have them, so that n copies make n - 1 links and not n squared.
+    result; other columns are not read.  Signatures of up to ``crowd`` windows link every two
+    documents with similar passages; beyond, documents are linked to the least one of each class
+    of similar passages, so that n copies make n - 1 links and not n squared.
     """
     if not shingle < words < 250 + shingle:
         raise ValueError("words must lie between shingle and 250 + shingle")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     text_hash = F.xxhash64("text")
-    several = docs.groupBy("doc_id").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).where("a <> b").select("doc_id")
-    met = _candidates(_faced(docs, words, shingle, bucket_chars), 3 * words)
-    found = written(met.join(several, "doc_id", "left_anti").join(several.select(F.col("doc_id").alias("leader")), "leader", "left_anti").select(met.columns), "passage-candidates")
-    checked = written(_verified(found, _short_hashes(docs, shingle), words, shingle, similarity), "passages")
-    failed = checked.where("content is not null").select("content", "doc_id", "start", "end")
-    first = failed.groupBy("content").agg(F.min("doc_id").alias("leader"))
-    again = failed.join(first, "content").where("leader < doc_id").select("doc_id", "leader", "start", "end")
-    return checked.where("content is null and leader < doc_id").select("doc_id", "leader", "start", "end").union(again).distinct()
+    several = written(docs.groupBy("doc_id").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).where("a <> b").select("doc_id"), "passage-doubtful")
+    if not several.isEmpty():
+        docs = docs.join(several, "doc_id", "left_anti")
+    found = written(_candidates(_faced(docs, words, shingle, similarity, bucket_chars, crowd), 3 * words), "passage-candidates")
+    return _verified(found, _short_hashes(docs, shingle), words, shingle, similarity).where("leader < doc_id").distinct()
 
 
 def _union_length(runs):

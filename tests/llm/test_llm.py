@@ -436,6 +436,75 @@ def test_leader_unlike_the_others(spark):
     assert len(got & {(3 * i + 1, 3 * i + 2) for i in range(100)}) >= 95
 
 
+def _covered(got, doc):
+    return {k for x in got if x["doc_id"] == doc for k in range(x["start"], x["end"])}
+
+
+def test_no_partner_is_hidden_by_lesser_documents(spark):
+    r, rows, want = random.Random(9), [], set()
+    gen = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    for i in range(60):
+        p, at = gen(60), 100 * i
+        for k in range(0, 40, 2):  # each shares a part of the passage that is too short for a link
+            rows.append((at + k, " ".join(gen(40) + p[k : k + 20] + gen(40))))
+        for k in range(3):  # the same word is another one in each
+            rows.append((at + 50 + k, " ".join(gen(40) + p[:30] + [f"changed{k}"] + p[31:] + gen(40))))
+        want |= {(at + 50, at + 51), (at + 50, at + 52), (at + 51, at + 52)}
+    got = {(x["leader"], x["doc_id"]) for x in compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got <= want
+    assert len(got) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("edit", ["changed", "put in", "left out", "none"])
+def test_crowded_signatures_lose_no_link(spark, edit):
+    r, rows, want = random.Random(10), [], []
+    gen = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    for i in range(30):
+        p, at = gen(50), 200 * i
+        for k in range(120):
+            s = r.randrange(0, 31)
+            rows.append((at + k, " ".join(gen(40) + p[s : s + 20] + gen(40))))
+        e = 6 + i
+        q = {"changed": [*p[:e], "x", *p[e + 1 :]], "put in": [*p[:e], "x", *p[e:]], "left out": [*p[:e], *p[e + 1 :]], "none": p}[edit]
+        if edit == "left out":
+            q = [*q, "w"]
+        rows += [(at + 150, " ".join(gen(40) + p + gen(40))), (at + 151, " ".join(gen(40) + q + gen(40)))]
+        want.append((at + 150, at + 151))
+    got = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    pairs = {(x["leader"], x["doc_id"]) for x in got}
+    assert pairs <= set(want) and len(pairs) >= 29
+    assert all(len(_covered(got, d)) >= 49 for _, d in pairs)
+
+
+@pytest.mark.parametrize("crowd", [1, 8, 10**6])
+def test_links_are_whole_up_to_copies(spark, crowd):
+    r, texts = random.Random(12), []
+    gen = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    for _ in range(6):
+        p = gen(60)
+        for _ in range(14):
+            q, e = list(p), r.choice([20, 30, 40])
+            if r.random() < 0.7:
+                q[e] = r.choice(["x", "y", "z"])
+            texts.append(gen(r.randint(0, 30)) + q[r.choice([0, 0, 25]) :] + gen(r.randint(30, 50)))
+    r.shuffle(texts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = compact_windows.near_passages(df, crowd=crowd).collect()
+    tokens = [[frozenset(tuple(t[j : j + 5]) for j in range(k, k + 46)) for k in range(len(t) - 49)] for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    links, n, missed = {(x["leader"], x["doc_id"]) for x in got}, 0, 0
+    for d in range(len(texts)):
+        fine = set()
+        for k, a in enumerate(tokens[d]):
+            if any(near(a, b) for e in range(d) for b in tokens[e] if not a.isdisjoint(b)):
+                fine.update(range(k, k + 50))
+        n, missed = n + len(fine), missed + len(fine - _covered(got, d))
+    assert missed <= 0.01 * n
+    if crowd > len(texts):
+        pairs = {(e, d) for d in range(len(texts)) for e in range(d) if any(not a.isdisjoint(b) and near(a, b) for a in tokens[d] for b in tokens[e])}
+        assert links <= pairs and len(pairs - links) <= 0.02 * len(pairs)
+
+
 def test_page_view_counts_capitals_of_the_whole_text():
     text = "a calm opening. " * 300 + "SHOUTING É " * 400
     assert cotraining.page_numbers(text, None)[7] == pytest.approx(9 * 400 / len(text))
