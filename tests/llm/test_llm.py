@@ -505,6 +505,22 @@ def test_links_are_whole_up_to_copies(spark, crowd):
         assert links <= pairs and len(pairs - links) <= 0.02 * len(pairs)
 
 
+def test_pipeline_takes_passages_out_behind_lesser_documents(spark):
+    r, rows = random.Random(13), []
+    gen = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    for i in range(20):
+        p, at = gen(50), 200 * i
+        starts = [r.randrange(0, 31) for _ in range(60)]
+        texts = {at + k: gen(40) + p[s : s + 20] + gen(40) for k, s in enumerate(starts)}
+        texts |= {at + 100: gen(40) + p + gen(40), at + 101: gen(40) + [*p[:25], "x", *p[26:]] + gen(40)}
+        rows += [(k, " ".join(t), "en", "s", 0) for k, t in texts.items()]
+    left = by_id(corpus_pipeline.passages(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), ""), "text", "n_chars")
+    words = {k: len(t.split()) for k, (t, _) in left.items()}
+    assert all(n == len(t) for t, n in left.values())
+    assert all(words[k] == len(t.split()) for k, t, *_ in rows if k % 200 != 101)
+    assert sum(words[200 * i + 101] <= 81 for i in range(20)) >= 19
+
+
 def test_page_view_counts_capitals_of_the_whole_text():
     text = "a calm opening. " * 300 + "SHOUTING É " * 400
     assert cotraining.page_numbers(text, None)[7] == pytest.approx(9 * 400 / len(text))
