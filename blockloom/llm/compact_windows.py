@@ -1,6 +1,6 @@
 """Near-duplicate passages by compact windows over token min-hashes.
 
-Tokens are a text's five-word shingles.  Under one hash function, the passages whose least hash
+Tokens are a text's five-word shingles; words are hashed once, and all that follows reads the hashes.  Under one hash function, the passages whose least hash
 sits at one and the same token form a compact window (l, c, r): all [i, j] with l <= i <= c <= j <= r.
 These windows are nodes of the Cartesian tree of the hashes.  Each of six functions has a tree of
 its own, and each window wide enough for a shortest passage is one row: signature (the function
@@ -15,8 +15,9 @@ and the token's hash), document, range of starts of shortest passages, place of
    out.  Similar passages in line with each other are in one class at least, so the work is linear
    and no link is lost: of two documents that don't face each other, both face the least of a class.
    This holds if similar passages can't differ by more than one word within; for parameters by which they
-   can, no group counts as crowded.  Passages that repeat tokens within may be similar as sets
-   and in no class; in crowded groups such links can be missed unless the passages are equal.
+   can, no group counts as crowded.  Passages that say three words in a row twice, or two within five,
+   may be similar as sets and in no class; those are joined with all others of their signature as
+   sets, by their rarest tokens, and each similar pair that no class has linked faces each other.
 3. Of two documents, facing windows are joined as intervals: a window counts if one of another
    function overlaps it in both documents, or if its class says enough by itself.  Two passages of
    Jaccard similarity J agree in at least two of the six functions with probability 0.998 at
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, released, written
+from .common import WORD, arrow_rows, released, written
 from .packed import Blob, packed
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -47,16 +48,8 @@ ENOUGH = 2
 CROWD = 32
 #: In place of a function's number: the two windows are of one class.
 CLASS = 7
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 150_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+#: Bytes of a word's hash in the table of words.
+WORD_BYTES = 3
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -64,9 +57,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def token_hashes(words: list[bytes], cache: dict, shingle: int = 5) -> np.ndarray:
-    """A 64-bit hash of each shingle; as many as words, of which the last shingle - 1 mean nothing."""
-    own = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+#: Bytes that part words.
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: What a byte adds to its word's hash; A-Z as a-z.
+LETTERS = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) * SEEDS[0] + SEEDS[1])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """A hash of WORD_BYTES bytes of each word of the texts, one after another, and where each text's words end."""
+    raw = np.frombuffer(b"".join([b" ", *[part for t in texts for part in (t, b" ")]]), np.uint8)
+    space = SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    found = _mixed(_range_hashes(LETTERS[raw], edges[::2], edges[1::2])) >> np.uint64(64 - 8 * WORD_BYTES)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes(), np.searchsorted(edges[::2], ends)
+
+
+def read_words(words: bytes) -> np.ndarray:
+    """The hashes that word_hashes has given, as integers."""
+    out = np.zeros((len(words) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(words, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
+def token_hashes(words: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """A 64-bit hash of each shingle of hashed words; as many as words, of which the last shingle - 1 mean nothing."""
+    own = _mixed((words + np.uint64(1)) * MIX)
     out = own.copy()
     for j in range(1, shingle):
         out *= MIX
@@ -153,19 +169,35 @@ def window_rows(tokens: np.ndarray, starts: np.ndarray, low: np.ndarray, high: n
     return a, b, c, sign, _mixed(_range_hashes(tokens, a, b + width) + shape * MIX) >> np.uint64(24)
 
 
-def _batches(batch: pa.RecordBatch, most_chars: int = 2 << 20) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """doc_ids and word lists of a batch's rows, a bounded number of characters at a time."""
-    ids, texts, size = [], [], 0
-    for doc_id, x in zip(batch.column(0), batch.column(1), strict=True):
-        x = x.as_py() or ""
+def _batches(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """doc_ids and texts or words of a batch's rows, a bounded number of bytes at a time."""
+    ids, held, size = [], [], 0
+    for doc_id, x in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
         ids.append(doc_id.as_py())
-        texts.append(x.encode().lower().split())  # of bytes: both know ASCII only
-        size += len(x)
-        if size >= most_chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+        held.append(x.as_py())
+        size += len(held[-1])
+        if size >= most:
+            yield ids, held
+            ids, held, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, held
+
+
+def _hashed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, chars, words: the hashed words of each text that has ``words`` or more, written once; all else reads these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in _batches(batch, 1 << 19):
+                found, ends = word_hashes(texts)
+                rows = [(i, len(t), found[a * WORD_BYTES : b * WORD_BYTES]) for i, t, a, b in zip(ids, texts, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True) if b - a >= words]
+                ids, sizes, parts = zip(*rows, strict=True) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "chars", "words"])
+            del batch
+            released()
+
+    with arrow_rows(docs.sparkSession, 500):
+        return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, chars bigint, words binary"), "passage-words")
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -209,20 +241,18 @@ def _functions(sign: np.ndarray) -> np.ndarray:
     return (sign & np.uint64(7)).astype(np.int64)
 
 
-def _packed_rows(ids: list, texts: list[list[bytes]], cache: dict, words: int, shingle: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _packed_rows(ids: list[int], texts: list[bytes], words: int, shingle: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) rows of a batch of documents; a negative bucket's blob has rows that face the least copy of their window already."""
-    kept = [(i, t) for i, t in zip(ids, texts, strict=True) if len(t) >= words]
-    if not kept:
-        return
     width = words - shingle + 1
-    sizes = np.array([len(t) for _, t in kept])
+    sizes = np.array([len(t) // WORD_BYTES for t in texts])
     begin, counts = np.cumsum(sizes) - sizes, sizes - words + 1
-    tokens = token_hashes([w for _, t in kept for w in t], cache, shingle)
-    text = np.repeat(np.arange(len(kept)), counts)
+    tokens = token_hashes(read_words(b"".join(texts)), shingle)
+    text = np.repeat(np.arange(len(ids)), counts)
     starts = np.arange(len(text)) + np.repeat(begin - np.cumsum(counts) + counts, counts)
     a, b, c, sign, content = window_rows(tokens, starts, begin[text], (begin + sizes - shingle)[text], width)
     which = text[np.searchsorted(starts, a)]
-    doc = np.array([i for i, _ in kept], np.int64)[which]
+    ids = np.array(ids, np.int64)
+    doc = ids[which]
     at = ((a - begin[which]) << 16) | ((b - a) << 8) | (c - a)
     mixed = sign ^ (content << np.uint64(3))
     order = np.argsort(mixed, kind="stable")
@@ -243,7 +273,7 @@ def _packed_rows(ids: list, texts: list[list[bytes]], cache: dict, words: int, s
     for x, y in zip(edges, np.append(edges[1:], len(rest)), strict=True):
         i = rest[x:y]
         used, number = np.unique(which[i], return_inverse=True)
-        yield int(bucket[i[0]]), packed(np.array([kept[j][0] for j in used], np.int64).view(np.uint64), np.diff(sign[i], prepend=np.uint64(0)), number, at[i] >> 16, (at[i] >> 8) & 255, at[i] & 255, content[i])
+        yield int(bucket[i[0]]), packed(ids[used].view(np.uint64), np.diff(sign[i], prepend=np.uint64(0)), number, at[i] >> 16, (at[i] >> 8) & 255, at[i] & 255, content[i])
 
 
 def _met(blobs: list[bytes], crowd: int | None) -> Iterator[pa.RecordBatch]:
@@ -298,12 +328,120 @@ def _rolling(v: list[np.ndarray], size: int) -> Iterator[np.ndarray]:
             yield h
 
 
-def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, width: int, shingle: int, lost: int) -> np.ndarray:
-    """Pairs (row, row) of windows of which the second is the first one's least of a class.
+def _said_again(v: np.ndarray, most: int) -> np.ndarray:
+    """For each line and column of v, the last line before that has the same value, if no more than ``most`` lines away, or -1; values have 54 bits, 0 means nothing."""
+    before = np.full(v.shape, -1, np.int16)
+    key = np.sort(np.ascontiguousarray(v.T) << np.uint64(10) | np.arange(len(v), dtype=np.uint64), axis=1)
+    high = key >> np.uint64(10)
+    column, at = np.nonzero((high[:, 1:] == high[:, :-1]) & (high[:, 1:] > 0))
+    line, last = (key[column, x] & np.uint64(1023) for x in (at + 1, at))
+    near = line - last <= most
+    before[line[near], column[near]] = last[near]
+    return before
+
 
-    Rows are sorted by sign and doc.  tokens has a line for each place from width - 1 before the
-    shared token to width - 1 after it, and in it each row's token there, two bytes of a hash.
+def _repeating(words: np.ndarray, width: int, shingle: int) -> np.ndarray:
+    """By place and row, whether a passage that starts there says three words in a row twice, or two within ``shingle`` words.
+
+    words has a line for each place as _class_pairs says; 0 where a row has no word.
+    """
+    hashed = lambda v, known: np.where(known, (_mixed(v * MIX) >> np.uint64(11)) + np.uint64(1), np.uint64(0))
+    two = hashed(words[1:] << np.uint64(8 * WORD_BYTES + 1) | words[:-1], (words[1:] > 0) & (words[:-1] > 0))
+    three = hashed(two[1:] * MIX + words[:-2], (two[1:] > 0) & (words[:-2] > 0))
+    out = np.zeros((width, words.shape[1]), bool)
+    for v, more, most in ((two, 2, shingle), (three, 3, width + shingle)):
+        again = _said_again(v, most)
+        some = np.flatnonzero((again >= 0).any(axis=0))
+        last = -_sliding_min(-again[:, some], width + shingle - 1 - more)  # but the passage's first run
+        out[:, some] |= last[1 : width + 1] >= np.arange(width)[:, None]
+    return out
+
+
+def _repeating_pairs(group: np.ndarray, doc: np.ndarray, tokens: np.ndarray, again: np.ndarray, alone: np.ndarray, odd: np.ndarray, runs: np.ndarray, similarity: float, gapped: bool) -> Iterator[np.ndarray]:
+    """Pairs (row, row, the greater first) of windows with passages in line that are similar as sets, of which one is ``odd``.
+
+    A join of sets by their rarest tokens: of two similar ones, each has a token among those that
+    the other may not lack.  alone and odd tell by place and row which passages are no copies and which ones
+    repeat; runs has for each place and row the class of the run there, less than 0 where a class
+    doesn't say that any two of it are similar.  What a class has linked is left out.
     """
+    (width, n), core = alone.shape, len(tokens) + 1 - len(runs)
+    lost, none = width - core, np.iinfo(np.int32).max
+    asked = alone & odd
+
+    def similar(j: int, rows: np.ndarray, rank: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Pairs of rows, of those that the codes stand for, that no class links and that are similar."""
+        x, y = code // len(rows), code % len(rows)
+        a, b = rows[x], rows[y]
+        fine = np.ones(len(x), bool)
+        for k in range(j, j + lost + 1):
+            fine &= (runs[k, a] != runs[k, b]) | (runs[k, a] < 0)
+        x, y = x[fine], y[fine]
+        if gapped and len(x):
+            # Where all that differs is one stretch, the two are of a class of one word changed.
+            off = tokens[j : j + width, rows[x]] != tokens[j : j + width, rows[y]]
+            kept = (size[x] < width - 1) | (width - off.argmax(axis=0) - off[::-1].argmax(axis=0) > lost)
+            x, y = x[kept], y[kept]
+        both = np.sort(np.concatenate([rank[:, x], rank[:, y]]), axis=0)
+        shared = ((both[1:] == both[:-1]) & (both[1:] < none)).sum(axis=0)
+        fine = shared >= similarity * (size[x] + size[y] - shared) - 1e-9
+        return rows[x[fine]] * n + rows[y[fine]]
+
+    for j in range(width):
+        rows = np.flatnonzero(alone[j])
+        rows = rows[np.isin(group[rows], group[asked[j]])]
+        if len(rows) < 2:
+            continue
+        single = again[j : j + width, rows] < j
+        key = tokens[j : j + width, rows] ^ (group[rows] >> np.uint64(32) << np.uint64(32))
+        _, number, count = np.unique(key[single], return_inverse=True, return_counts=True)
+        place = np.empty(len(count), np.int32)
+        place[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
+        rank = np.full(key.shape, none, np.int32)
+        rank[single] = place[number]
+        rank.sort(axis=0)
+        size = (rank < none).sum(axis=0)
+        few = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+        q, x = np.nonzero(np.arange(width)[:, None] < few)
+        token, wanted = rank[q, x], asked[j, rows]
+        o = np.lexsort((x, token))
+        token, x = token[o], x[o]
+        head, held, many = _heads(token), [], 0
+        left, step = np.arange(len(token)), 1
+        while len(left := left[left - step >= head[left]]):
+            a, b = x[left], x[left - step]
+            fine = (wanted[a] | wanted[b]) & (doc[rows[a]] != doc[rows[b]])
+            fine &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+            held.append(a[fine] * len(rows) + b[fine])
+            many += len(held[-1])
+            if many >= 200_000:
+                held, many = [np.unique(np.concatenate(held))], 0
+                for k in range(0, len(held[0]), 50_000):
+                    yield similar(j, rows, rank, size, held[0][k : k + 50_000])
+                held = []
+            step += 1
+        if held:
+            code = np.unique(np.concatenate(held))
+            for k in range(0, len(code), 50_000):
+                yield similar(j, rows, rank, size, code[k : k + 50_000])
+
+
+def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, words: np.ndarray, width: int, shingle: int, similarity: float, lost: int) -> np.ndarray:
+    """Pairs (row, row) of windows of which the second is the first one's least of a class, or else like it where a passage repeats words.
+
+    Rows are sorted by sign and doc.  words has a line for each place from width - 1 before the
+    shared token to width + shingle - 2 after it, and in it each row's hashed word there plus one, or 0.
+    The tokens made of them are two bytes of a hash.
+    """
+
+    def hashed(words: np.ndarray) -> np.ndarray:
+        own = _mixed(words * MIX)
+        out = own[: 2 * width - 1].copy()
+        for j in range(1, shingle):
+            out = out * MIX + own[j : j + 2 * width - 1]
+        return _mixed(out) >> np.uint64(32)
+
+    tokens = hashed(words).astype(np.uint16)
     n, core = len(sign), width - lost
     low = width - 1 - (at & 255)
     starts_end = low + ((at >> 8) & 255) + 1  # past the last start
@@ -322,11 +460,12 @@ def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, tokens: np.n
         seen[rows] = lead
         pairs.append(rows[new] * n + lead[new])
 
-    seen = np.full(n, -1)
+    seen, runs = np.full(n, -1), np.full((2 * width - core, n), -1, np.int32)
     for j, h in enumerate(_rolling(v, core)):
         rows = np.flatnonzero((low <= j) & (j + core < starts_end + width))
         if len(rows):
-            paired(rows, classes(rows, _mixed(h[rows] ^ group[rows])), seen)
+            runs[j, rows] = lead = classes(rows, _mixed(h[rows] ^ group[rows]))
+            paired(rows, lead, seen)
     seen, alone = np.full(n, -1), []
     for j, h in enumerate(_rolling(v, width)):
         rows = np.flatnonzero((low <= j) & (j < starts_end))
@@ -335,13 +474,31 @@ def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, tokens: np.n
             paired(rows, lead, seen)
             own = rows[lead == rows]
             alone.append((np.full(len(own), j, np.int64), own))
-    # One word within changes shingle tokens, or shingle - 1 where it is left out.
+    if alone:
+        place, own = (np.concatenate(x) for x in zip(*alone, strict=True))
+        single = np.zeros((width, n), bool)
+        single[place, own] = True
+        some = np.flatnonzero(single.any(axis=0))
+        odd = _repeating(words[:, some], width, shingle)
+        kept = np.isin(group[some], group[some[(odd & single[:, some]).any(axis=0)]])
+        some, odd = some[kept], odd[:, kept]
+        whole = hashed(words[:, some])
+        again, runs = _said_again(whole + np.uint64(1), width - 1), runs[:, some]
+        for j, run in enumerate(runs):
+            # Two passages around a run of so many tokens are similar whatever else they have.
+            most = core - np.count_nonzero(again[j : j + core] >= j, axis=0)
+            run[most < similarity * (most + 2 * lost) - 1e-9] = -1
+        for code in _repeating_pairs(group[some], doc[some], whole, again, single[:, some], odd, runs, similarity, lost == shingle):
+            pairs.append(some[code // len(some)] * n + some[code % len(some)])
+        del single, odd, whole, again
+    del runs
+    # One word within changes shingle tokens, or shingle - 1 where it is left out, or one less where a word comes again.
     if lost == shingle and alone:
-        half, place, own = (core + 1) // 2, *(np.concatenate(x) for x in zip(*alone, strict=True))
+        half = (core + 1) // 2
         part = np.stack([h >> np.uint64(32) for h in _rolling(v, half)]).astype(np.uint32)
         for first in (True, False):
             found = []
-            for gap in (shingle, shingle - 1):
+            for gap in (shingle, shingle - 1, shingle - 2):
                 end = place + core + gap
                 big = part[place if first else end - half, own].astype(np.uint64)
                 found.append(_mixed(((big << np.uint64(16)) | tokens[end - 1 if first else place, own]) * MIX ^ group[own]))
@@ -357,7 +514,7 @@ def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, tokens: np.n
                 stop = edges[min(np.searchsorted(edges, k + at_most), len(edges) - 1)] if len(edges) else len(order)
                 stop = int(stop) if stop > k else len(order)
                 i = order[k:stop] % len(own)
-                gaps = np.where(order[k:stop] < len(own), shingle, shingle - 1)
+                gaps = shingle - order[k:stop] // len(own)
                 i, gaps = i[o := np.argsort(own[i], kind="stable")], gaps[o]
                 rows, begin = own[i], place[i]
                 sums = [np.zeros(len(i), np.uint64)]
@@ -376,26 +533,26 @@ def _class_pairs(sign: np.ndarray, doc: np.ndarray, at: np.ndarray, tokens: np.n
     return np.stack([code // max(1, n), code % max(1, n)])
 
 
-def _crowded(rows: DataFrame, docs: DataFrame, words: int, shingle: int, lost: int) -> DataFrame:
+def _crowded(rows: DataFrame, hashed: DataFrame, words: int, shingle: int, similarity: float, lost: int) -> DataFrame:
     """Rows of FACING for the rows without leader that _met gives."""
     width = words - shingle + 1
-    part = F.call_function("substring", F.col("tokens"), (F.col("a") * 2 + 1).cast("int"), ((F.col("more") + width) * 2).cast("int"))
+    part = F.call_function("substring", F.col("words"), (F.col("a") * WORD_BYTES + 1).cast("int"), ((F.col("more") + words) * WORD_BYTES).cast("int"))
     own = rows.select("doc_id", F.col("shift").alias("sign"), "a", F.col("la").alias("p"), "more")
-    filled = own.join(_short_hashes(docs, shingle, 2).where("tokens is not null"), "doc_id").select("sign", "doc_id", "a", "p", "more", part.alias("part")).distinct()
+    filled = own.join(hashed.select("doc_id", "words"), "doc_id").select("sign", "doc_id", "a", "p", "more", part.alias("part")).distinct()
 
     def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, doc, a, p, more = (np.concatenate([_columns(b.select([i]))[0] for b in held]) for i in range(5))
-        tokens = np.zeros((2 * width - 1, len(sign)), np.uint16)
+        held_words = np.zeros((2 * width + shingle - 2, len(sign)), np.uint64)
         i = 0
         for b in held:
             for k in range(0, b.num_rows, 10_000):
                 parts = [x.as_py() for x in b.column(5).slice(k, 10_000)]
-                sizes = np.array([len(x) // 2 for x in parts])
+                sizes = np.array([len(x) // WORD_BYTES for x in parts])
                 row = np.repeat(np.arange(i, i + len(parts)), sizes)
-                tokens[np.arange(len(row)) + np.repeat(width - 1 - p[i : i + len(parts)] - np.cumsum(sizes) + sizes, sizes), row] = np.frombuffer(b"".join(parts), "<u2")
+                held_words[np.arange(len(row)) + np.repeat(width - 1 - p[i : i + len(parts)] - np.cumsum(sizes) + sizes, sizes), row] = read_words(b"".join(parts)) + np.uint64(1)
                 i += len(parts)
         at = (a << 16) | (more << 8) | p
-        ours, theirs = _class_pairs(sign.view(np.uint64), doc, at, tokens, width, shingle, lost)
+        ours, theirs = _class_pairs(sign.view(np.uint64), doc, at, held_words, width, shingle, similarity, lost)
         for k in range(0, len(ours), 100_000):
             yield _facing(doc, at, CLASS, ours[k : k + 100_000], theirs[k : k + 100_000])
 
@@ -422,25 +579,22 @@ def _crowded(rows: DataFrame, docs: DataFrame, words: int, shingle: int, lost: i
     return filled.repartition("sign").sortWithinPartitions("sign", "doc_id", "a").mapInArrow(run, FACING_SCHEMA)
 
 
-def _faced(docs: DataFrame, words: int, shingle: int, similarity: float, bucket_chars: int, crowd: int) -> DataFrame:
-    """Rows of FACING for all documents; the number of buckets follows from the characters of all texts."""
+def _faced(hashed: DataFrame, words: int, shingle: int, similarity: float, bucket_chars: int, crowd: int) -> DataFrame:
+    """Rows of FACING for all documents; the number of buckets follows from the size of all texts."""
     width = words - shingle + 1
     # Tokens that a passage may have and a similar one lack, if none comes twice.
     lost = width - int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
     crowd = crowd if lost <= shingle else None
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = hashed.agg(F.sum("chars")).first()[0] or 0
     buckets = int(max(1, -(-total // bucket_chars)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
         for batch in batches:
-            for ids, texts in _batches(batch):
-                sent = list(_packed_rows(ids, texts, cache, words, shingle, buckets))
+            for ids, texts in _batches(batch, 1 << 20):
+                sent = list(_packed_rows(ids, texts, words, shingle, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.binary())], ["bucket", "blob"])
             ids = texts = sent = None
             released()
-        cache.clear()
-        released()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -460,12 +614,13 @@ def _faced(docs: DataFrame, words: int, shingle: int, similarity: float, bucket_
             yield from _met(blobs, crowd)
         released()
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket bigint, blob binary")
+    sent = hashed.select("doc_id", "words").mapInArrow(send, "bucket bigint, blob binary")
     met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FACING_SCHEMA)
     if not crowd:
         return met
-    met = written(met, "passage-windows")
-    return met.where("leader is not null").union(_crowded(met.where("leader is null"), docs, words, shingle, lost))
+    with arrow_rows(hashed.sparkSession, 1000):
+        met = written(met, "passage-windows")
+    return met.where("leader is not null").union(_crowded(met.where("leader is null"), hashed, words, shingle, similarity, lost))
 
 
 def overlapping(pair: np.ndarray, a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, function: np.ndarray, enough: int) -> np.ndarray:
@@ -529,22 +684,13 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def _short_hashes(docs: DataFrame, shingle: int, size: int = 4) -> DataFrame:
-    """doc_id, tokens: four bytes of each token's hash, or ``size``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
-        for batch in batches:
-            for ids, texts in _batches(batch):
-                sizes = [len(t) for t in texts]
-                whole = token_hashes([w for t in texts for w in t], cache, shingle).astype(f"<u{size}") if sum(sizes) else np.empty(0, f"<u{size}")
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([whole[e - n : max(e - n, e - shingle + 1)].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["doc_id", "tokens"])
-            released()
-        cache.clear()
-        released()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens binary")
+def _tokens(parts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Four bytes of each token's hash of the words of each part, one part after another, and how many tokens each has."""
+    sizes = np.array([len(x) // WORD_BYTES for x in parts], np.int64)
+    counts = np.maximum(0, sizes - shingle + 1)
+    whole = token_hashes(read_words(b"".join(parts)), shingle).astype(np.uint32)
+    place = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return whole[place < np.repeat(counts, sizes)], counts
 
 
 def similar_windows(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -595,7 +741,7 @@ def whole_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: f
     return both >= similarity * (count(p) + count(q) - both) - 1e-9
 
 
-def _verified(found: DataFrame, tokens: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
+def _verified(found: DataFrame, hashed: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
     """doc_id, leader, start, end (in words; end is past the last).
 
     A candidate counts as a whole if it is similar as a whole, however its shorter passages fare.
@@ -603,23 +749,24 @@ def _verified(found: DataFrame, tokens: DataFrame, words: int, shingle: int, sim
     width, key = words - shingle + 1, ["doc_id", "leader", "shift", "a", "b"]
     side = lambda name, at: found.select(F.col(name).alias("of"), *key, F.lit(name).alias("side"), at.alias("at"))
     asked = side("doc_id", F.col("a")).union(side("leader", F.col("a") + F.col("shift")))
-    size = (F.col("b") - F.col("a") + width) * 4
-    own = tokens.withColumnRenamed("doc_id", "of")
-    parts = asked.join(own, "of").select(*key, "side", F.call_function("substring", F.col("tokens"), (F.greatest("at", F.lit(0)) * 4 + 1).cast("int"), F.greatest(size + F.least("at", F.lit(0)) * 4, F.lit(0)).cast("int")).alias("part"))
-    # Not a join of the two sides, for which all tokens would be made twice.
+    size = (F.col("b") - F.col("a") + words) * WORD_BYTES
+    own = hashed.select(F.col("doc_id").alias("of"), "words")
+    parts = asked.join(own, "of").select(*key, "side", F.call_function("substring", F.col("words"), (F.greatest("at", F.lit(0)) * WORD_BYTES + 1).cast("int"), F.greatest(size + F.least("at", F.lit(0)) * WORD_BYTES, F.lit(0)).cast("int")).alias("part"))
+    # Not a join of the two sides, for which all words would be read and dealt out twice.
     sides = [F.max(F.when(F.col("side") == name, F.col("part"))).alias(c) for name, c in (("doc_id", "x"), ("leader", "y"))]
     both = parts.groupBy(*key).agg(*sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list[tuple]) -> pa.RecordBatch:
             doc, leader, shift, a = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-            sizes = np.array([len(r[4]) // 4 for r in rows], np.int64)
+            x, sizes = _tokens([r[4] for r in rows], shingle)
+            theirs, counts = _tokens([r[5] for r in rows], shingle)
             begin = np.cumsum(sizes) - sizes
-            x = np.frombuffer(b"".join([r[4] for r in rows]), "<u4")
             y = ~x  # outside the leader's text nothing is equal
-            for r, at, n, before in zip(rows, begin.tolist(), sizes.tolist(), np.maximum(0, -(a + shift)).tolist(), strict=True):
-                part = np.frombuffer(r[5], "<u4")[: max(0, n - before)]
-                y[at + before : at + before + len(part)] = part
+            before = np.maximum(0, -(a + shift))
+            kept = np.minimum(counts, np.maximum(0, sizes - before))
+            line = np.arange(int(kept.sum())) - np.repeat(np.cumsum(kept) - kept, kept)
+            y[line + np.repeat(begin + before, kept)] = theirs[line + np.repeat(np.cumsum(counts) - counts, kept)]
             pair, place, fine = similar_windows(x, y, sizes, width, similarity)
             fine |= whole_similar(x, y, sizes, similarity)[pair]
             start = a[pair] + place - begin[pair]
@@ -663,8 +810,9 @@ def near_passages(docs: DataFrame, text: str = "text", words: int = 50, shingle:
     several = written(docs.groupBy("doc_id").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).where("a <> b").select("doc_id"), "passage-doubtful")
     if not several.isEmpty():
         docs = docs.join(several, "doc_id", "left_anti")
-    found = written(_candidates(_faced(docs, words, shingle, similarity, bucket_chars, crowd), 3 * words), "passage-candidates")
-    return _verified(found, _short_hashes(docs, shingle), words, shingle, similarity).where("leader < doc_id").distinct()
+    hashed = _hashed(docs, words)
+    found = written(_candidates(_faced(hashed, words, shingle, similarity, bucket_chars, crowd), 3 * words), "passage-candidates")
+    return _verified(found, hashed, words, shingle, similarity).where("leader < doc_id").distinct()
 
 
 def _union_length(runs):

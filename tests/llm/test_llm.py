@@ -476,6 +476,32 @@ def test_crowded_signatures_lose_no_link(spark, edit):
     assert all(len(_covered(got, d)) >= 49 for _, d in pairs)
 
 
+@pytest.mark.parametrize("edit", ["repeated words", "two short repeats", "three words said twice"])
+def test_crowded_signatures_lose_no_link_of_repeats(spark, edit):
+    r, rows, want = random.Random(14), [], []
+    gen = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    for i in range(30):
+        p, at = gen(50), 200 * i
+        if edit == "repeated words":  # sets of 30 and 37 shingles
+            p = p[:30] + p[:20]
+            q = [*p[:38], "x", p[39], "y", *p[41:]]
+        elif edit == "two short repeats":
+            p[10], p[30:32] = p[9], [p[29]] * 2
+            q = [*p[:10], p[9], *p[10:30], *p[31:]]
+        else:
+            q = [*p[:25], *p[22:47]]
+        assert _jaccard(p, q) >= 0.8
+        for k in range(120):
+            s = r.randrange(0, 31)
+            rows.append((at + k, " ".join(gen(40) + p[s : s + 20] + gen(40))))
+        rows += [(at + 150, " ".join(gen(40) + p + gen(40))), (at + 151, " ".join(gen(40) + q + gen(40)))]
+        want.append((at + 150, at + 151))
+    got = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    pairs = {(x["leader"], x["doc_id"]) for x in got}
+    # With two repeats, what lies between them is out of line, and its signatures link nothing.
+    assert pairs <= set(want) and len(pairs) >= (25 if edit == "two short repeats" else 29)
+
+
 @pytest.mark.parametrize("crowd", [1, 8, 10**6])
 def test_links_are_whole_up_to_copies(spark, crowd):
     r, texts = random.Random(12), []
