@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import BlockTable, clean, present
 from . import solver
 from .moments import moments
+from .quantiles import grouped_quantiles
 
 
 @dataclass
@@ -123,6 +125,14 @@ class Suffix:
         return Fitted(lambda t: t.renamed(names) if all(c in t.df.columns for c in names) else t, {"names": names})
 
 
+def _place(value: Column, levels: list[str]) -> Column:
+    """A value's place among levels, from 0; null if it isn't among them."""
+    out = F.lit(None).cast("int")
+    for i in reversed(range(len(levels))):
+        out = F.when(value == levels[i], i).otherwise(out)
+    return out
+
+
 def _levels(df: DataFrame, col: str) -> list[str]:
     return sorted(str(r[0]) for r in df.select(F.col(col).cast("string")).where(F.col(col).isNotNull()).distinct().collect())
 
@@ -250,7 +260,10 @@ class ComBat:
 
 @dataclass
 class QuantileRepair:
-    """Moves each column, by ``amount``, to the median over protected groups of the groups' quantiles (Feldman et al. 2015)."""
+    """Moves each column, by ``amount``, to the median over protected groups of the groups' quantiles (Feldman et al. 2015).
+
+    Quantiles are exact, from two passes; rows are moved by binary search among them.
+    """
 
     protected: str
     amount: float = 0.5
@@ -260,24 +273,37 @@ class QuantileRepair:
         groups, cols = _levels(table.df, self.protected), table.columns
         if len(groups) < 2:
             raise ValueError("the protected column needs two levels at least")
-        at = ", ".join(str(i / (self.grid - 1)) for i in range(self.grid))
-        got = {str(r["g"]): r for r in table.df.groupBy(F.col(self.protected).cast("string").alias("g")).agg(*[F.expr(f"percentile(cast(`{c}` as double), array({at}))").alias(f"q{i}") for i, c in enumerate(cols)]).collect() if r["g"] is not None}
-        quantiles = {(g, c): list(got[g][f"q{i}"]) for g in groups for i, c in enumerate(cols)}
-        middle = {c: [float(np.median([quantiles[g, c][k] for g in groups])) for k in range(self.grid)] for c in cols}
+        quantiles = grouped_quantiles(table.df, self.protected, cols, [i / (self.grid - 1) for i in range(self.grid)])
+        empty = [f"{c} where {self.protected} is {g}" for g in groups for c in cols if (g, c) not in quantiles]
+        if empty:
+            raise ValueError(f"no values of {', '.join(empty[:10])}")
+        own = np.array([[quantiles[g, c] for c in cols] for g in groups], float).reshape(len(groups), len(cols), self.grid)
+        middle, amount = np.median(own, axis=0), self.amount
+
+        @F.pandas_udf(", ".join(f"c{j} double" for j in range(len(cols))))
+        def moved(at: pd.Series, *xs: pd.Series) -> pd.DataFrame:
+            out, at = {}, at.to_numpy()
+            for j, x in enumerate(xs):
+                x = x.to_numpy(dtype=float, na_value=np.nan)
+                new = x.copy()
+                for i in range(len(own)):
+                    mine = at == i
+                    v, q, m = x[mine], own[i, j], middle[j]
+                    k = np.clip(np.searchsorted(q, v, "right") - 1, 0, len(q) - 2)
+                    low, high = q[k], q[k + 1]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        part = np.where(high > low, np.fmin((v - low) / (high - low), 1.0), 0.0)
+                    new[mine] = (1 - amount) * v + amount * (m[k] + np.maximum(part, 0.0) * (m[k + 1] - m[k]))
+                out[f"c{j}"] = new
+            return pd.DataFrame(out)
 
         def apply(t: BlockTable) -> BlockTable:
+            got = moved(F.coalesce(_place(F.col(self.protected).cast("string"), groups), F.lit(-1)), *[F.col(f"`{c}`").cast("double") for c in cols])
             out = {}
-            for c in cols:
-                x, new = F.col(f"`{c}`").cast("double"), None
-                for g in groups:
-                    q, m = F.array(*map(F.lit, quantiles[g, c])), F.array(*map(F.lit, middle[c]))
-                    k = F.greatest(F.lit(0), F.least(F.lit(self.grid - 2), F.size(F.filter(q, lambda v: v <= x)) - 1))  # noqa: B023
-                    low, high = F.get(q, k), F.get(q, k + 1)
-                    part = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))).otherwise(0.0)
-                    value = (1 - self.amount) * x + self.amount * (F.get(m, k) + part * (F.get(m, k + 1) - F.get(m, k)))
-                    new = F.when(F.col(self.protected).cast("string") == g, value) if new is None else new.when(F.col(self.protected).cast("string") == g, value)
-                out[c] = F.when(x.isNotNull(), new.otherwise(x))
-            return t.with_df(t.df.withColumns(out))
+            for j, c in enumerate(cols):
+                x = F.col(f"`{c}`").cast("double")
+                out[c] = F.when(x.isNull() | F.isnan(x), x).otherwise(F.col(f"__moved.c{j}"))
+            return t.with_df(t.df.withColumn("__moved", got).withColumns(out).drop("__moved"))
 
         return Fitted(apply, {"quantiles": quantiles})
 

@@ -219,9 +219,11 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 def orders_design(spark: SparkSession, sf_dir: str) -> BlockTable:
     """Design of lineitem with its order, part, customer and supplier; l_returnflag is the class."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "part", "customer", "supplier", "nation", "region")}
-    df = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-    df = df.join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    df = df.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    # Orders meet their customers before lineitem does: its rows are shuffled by part and by order, and not by customer as well.
+    buyer = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    bought = t["orders"].join(buyer, F.col("o_custkey") == F.col("c_custkey"))
+    df = t["lineitem"].join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    df = df.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double").alias("o_day")
     own = [c for cols in ORDERS_BLOCKS.values() for c in cols if c not in ("o_day", "p_size")]
     df = df.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_returnflag", "c_mktsegment", "r_name", *own, day, F.col("p_size").cast("double").alias("p_size"))

@@ -334,3 +334,34 @@ def test_correction_fitted_to_a_subgroup(spark):
     assert got == {1: 2.0, 2: 4.0, 3: 10.0, 4: 3.0, 5: 48.0, 6: 7.0}
     with pytest.raises(ValueError, match="no row"):
         preprocess.PartialCorrection("site", subgroup=("g", ("z",))).fit(t)
+
+
+def test_grouped_quantiles_are_exact_over_many_chunks(spark, monkeypatch):
+    from blockloom.operators import quantiles
+
+    rng = np.random.default_rng(5)
+    n = 6000
+    x = np.round(rng.normal(size=n) * 50, 1)
+    y = np.where(rng.random(n) < 0.7, 3.0, rng.normal(size=n) * 1e-3)
+    rows = [(["a", "b", "c", None][i % 4 if i % 8 < 5 else 0], None if i % 11 == 0 else float(x[i]), float("nan") if i % 500 == 3 else float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(3)
+    probs = [i / 20 for i in range(21)]
+    at = ", ".join(f"{p}D" for p in probs)
+    want = {r["g"]: r for r in df.where("g is not null").groupBy("g").agg(*[F.expr(f"percentile({c}, array({at}))").alias(c) for c in ("x", "y")]).collect()}
+    for cells in (1 << 22, 64):
+        monkeypatch.setattr(quantiles, "CELLS", cells)
+        got = quantiles.grouped_quantiles(df, "g", ["x", "y"], probs)
+        assert set(got) == {(g, c) for g in want for c in ("x", "y")}
+        assert all(np.array_equal(got[g, c], want[g][c], equal_nan=True) for g, c in got)
+    points = np.arange(0, 3200, quantiles.STEP)
+    low, high = quantiles._brackets(points, 1, np.array([1600, 2400]))
+    assert len(low) == 2 and (high - low).max() <= 2 * quantiles.STEP
+
+
+def test_quantile_repair_of_stated_rows(spark):
+    rows = [(i, "s" if i % 2 else "t", float(i)) for i in range(8)] + [(8, "s", None), (9, None, 5.0), (10, "s", float("nan"))]
+    t = BlockTable(spark.createDataFrame(rows, "row_id int, site string, x double"), {"a": ("x",)})
+    fit = preprocess.QuantileRepair("site", 1.0, 4).fit(t.filter("row_id < 8"))
+    got = {r["row_id"]: r["x"] for r in fit.transform(t).df.collect()}
+    assert [round(got[i], 9) for i in range(8)] == [0.5, 0.5, 2.5, 2.5, 4.5, 4.5, 6.5, 6.5]
+    assert got[8] is None and got[9] == 5.0 and np.isnan(got[10])
