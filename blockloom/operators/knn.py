@@ -1,10 +1,11 @@
-"""Gower nearest neighbours: classification, regression and imputation, as joins and ranked windows."""
+"""Gower nearest neighbours: classification, regression and imputation, by exact search in trees of bounded boxes."""
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import BlockTable, clean, present
 
-#: Training rows that may be sent to every executor; more are dealt out in salted parts.
-BROADCAST_ROWS = 200_000
+#: Training rows, and values of them, that executors hold at a time; more are dealt out in parts by a hash.
+BROADCAST_ROWS, HELD_VALUES = 1_000_000, 8_000_000
+#: Rows of a leaf of the search tree.
+LEAF = 256
 
 
 def ranges(train: DataFrame, numeric: list[str]) -> dict[str, float]:
@@ -37,10 +40,9 @@ def neighbours(test: DataFrame, train: DataFrame, numeric: list[str], categorica
 
     test has test_id, train has train_id.  The distance is the mean over the features that both
     rows have of |a - b| / range, or of 0 or 1 for categories; pairs with fewer than
-    min_feature_frac of the features don't count.  Equal distances go by train_id.  A training
-    table within BROADCAST_ROWS goes to executors as arrays, against which blocks of test rows are
-    set; one beyond it is cut into salted parts that meet every test row once, and the k best of
-    each part are ranked before the parts' results are.
+    min_feature_frac of the features don't count.  Equal distances go by train_id.  Executors hold
+    the training table as a tree, BROADCAST_ROWS at a time, and a test row is set against the leaves that
+    may hold one of its k nearest and no others; of several parts the k best of each are ranked.
     """
     ordered = ordered or {}
     if na_handling == "fail":
@@ -50,72 +52,146 @@ def neighbours(test: DataFrame, train: DataFrame, numeric: list[str], categorica
     span = span or ranges(train, numeric)
     side = lambda df, p: df.select(F.col(f"{p}_id"), *[clean(c).alias(f"{p}_n{i}") for i, c in enumerate(numeric)], *[ordered_code(c, v).alias(f"{p}_o{i}") for i, (c, v) in enumerate(ordered.items())], *[F.col(c).cast("string").alias(f"{p}_c{i}") for i, c in enumerate(categorical)], *[F.col(c) for c in keep if p == "train"])
     a, b = side(test, "test"), side(train, "train")
-    n = train.count()
-    parts = max(1, -(-n // BROADCAST_ROWS))
     terms = len(numeric) + len(ordered) + len(categorical)
     least = max(1, -int(-min_feature_frac * terms // 1))
+    parts = max(1, -(-train.count() // max(1, min(BROADCAST_ROWS, HELD_VALUES // max(terms, 1)))))
+    a = a.repartition(2 * a.sparkSession.sparkContext.defaultParallelism, "test_id")
+    search = lambda own: _against_all(a, own, [span[c] for c in numeric], len(ordered), len(categorical), k, least, keep)
     if parts == 1:
-        return _against_all(a, b, [span[c] for c in numeric], len(ordered), len(categorical), k, least, keep)
-    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = a.join(b.withColumn("part", F.pmod(F.xxhash64("train_id"), F.lit(parts)).cast("int")), "part")
-    terms = [(F.col(f"test_n{i}"), F.col(f"train_n{i}"), F.abs(F.col(f"test_n{i}") - F.col(f"train_n{i}")) / span[c]) for i, c in enumerate(numeric)]
-    terms += [(F.col(f"test_o{i}"), F.col(f"train_o{i}"), F.abs(F.col(f"test_o{i}") - F.col(f"train_o{i}"))) for i in range(len(ordered))]
-    terms += [(F.col(f"test_c{i}"), F.col(f"train_c{i}"), F.when(F.col(f"test_c{i}") == F.col(f"train_c{i}"), 0.0).otherwise(1.0)) for i in range(len(categorical))]
-    total, used = F.lit(0.0), F.lit(0)
-    for x, y, d in terms:
-        both = x.isNotNull() & y.isNotNull()
-        total, used = total + F.when(both, d).otherwise(0.0), used + F.when(both, 1).otherwise(0)
-    found = pairs.select("test_id", "train_id", "part", *keep, total.alias("t"), used.alias("u")).where(F.col("u") >= least).withColumn("dist", F.col("t") / F.col("u"))
-    for by in (["test_id", "part"], ["test_id"]):
-        found = found.withColumn("nn", F.row_number().over(Window.partitionBy(*by).orderBy("dist", "train_id"))).where(F.col("nn") <= k)
+        return search(b)
+    found = reduce(DataFrame.unionAll, [search(b.where(F.pmod(F.xxhash64("train_id"), F.lit(parts)) == i)) for i in range(parts)])
+    found = found.withColumn("nn", F.row_number().over(Window.partitionBy("test_id").orderBy("dist", "train_id"))).where(F.col("nn") <= k)
     return found.select("test_id", "train_id", "dist", "nn", *keep)
 
 
-def _against_all(test: DataFrame, train: DataFrame, spans: list[float], n_ordered: int, n_categorical: int, k: int, least: int, keep: tuple[str, ...], cells: int = 1 << 21) -> DataFrame:
-    """neighbours() of test rows against a training table small enough to hold: blocks of at most ``cells`` distances at a time."""
+def _tree(x: np.ndarray, codes: np.ndarray, scale: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows and the leaves' first places in it: rows of a leaf lack the same features, and are near each other.
+
+    x has a row for each number (NaN: missing), codes one for each category (-1: missing).
+    """
+    n = x.shape[1] if len(x) else codes.shape[1]
+    order = np.arange(n)
+    lacks = np.concatenate([np.isnan(x), codes == -1])
+    if lacks.any():
+        order = np.lexsort(lacks)
+        cuts = np.flatnonzero((lacks[:, order[1:]] != lacks[:, order[:-1]]).any(axis=0)) + 1
+    else:
+        cuts = np.zeros(0, np.int64)
+    ends = np.r_[0, cuts, n]
+    todo, firsts = list(zip(ends[:-1], ends[1:], strict=True)), []
+    while todo:
+        i, j = todo.pop()
+        if j - i <= LEAF:
+            firsts.append(i)
+            continue
+        own, widest, at = order[i:j], 0.0, None
+        for c in range(len(codes)):
+            v = codes[c, own]
+            if 1.0 > widest and v.min() != v.max():
+                widest, at = 1.0, len(x) + c
+        for c in range(len(x)):
+            v = x[c, own]
+            wide = 0.0 if np.isnan(v[0]) else (v.max() - v.min()) / scale[c]
+            if wide > widest:
+                widest, at = wide, c
+        if at is None:
+            # Rows that are all alike: in pieces by their ids, of which only the first can be near.
+            order[i:j] = np.sort(own)
+            firsts += range(i, j, LEAF)
+            continue
+        v = x[at, own] if at < len(x) else codes[at - len(x), own]
+        by = np.lexsort((own, v))
+        order[i:j], v = own[by], v[by]
+        middle = len(v) // 2
+        low, high = np.searchsorted(v, v[middle], "left"), np.searchsorted(v, v[middle], "right")
+        cut = i + int(low if low and (middle - low <= high - middle or high == len(v)) else high)
+        todo += [(i, cut), (cut, j)]
+    return order, np.array(sorted(firsts), np.int64)
+
+
+def _against_all(test: DataFrame, train: DataFrame, spans: list[float], n_ordered: int, n_categorical: int, k: int, least: int, keep: tuple[str, ...], cells: int = 1 << 20) -> DataFrame:
+    """neighbours() of test rows against a training table small enough to hold: bounds to all leaves, at most ``cells`` at a time, and distances to the rows of leaves within them."""
     spark = test.sparkSession
-    held = spark.sparkContext.broadcast(train.orderBy("train_id").toArrow().combine_chunks())
     plain = [f"n{i}" for i in range(len(spans))] + [f"o{i}" for i in range(n_ordered)]
     scale = [*spans, *[1.0] * n_ordered]
 
     def numbers(col) -> np.ndarray:
         return pc.fill_null(pc.cast(col, pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
 
+    def coded(col, known: dict) -> np.ndarray:
+        seen = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).dictionary_encode()
+        place = np.array([known.get(v, -2) for v in seen.dictionary.to_pylist()] + [-1], np.int64)
+        return place[pc.fill_null(seen.indices, len(place) - 1).to_numpy(zero_copy_only=False)]
+
+    def built() -> dict:
+        """The training rows by train_id, and their numbers and codes in the tree's order."""
+        b = train.orderBy("train_id").toArrow().combine_chunks()
+        known = [{v: i for i, v in enumerate(pc.unique(b[f"train_c{i}"]).to_pylist()) if v is not None} for i in range(n_categorical)]
+        x = np.array([numbers(b[f"train_{c}"]) for c in plain]).reshape(len(plain), b.num_rows)
+        codes = np.array([coded(b[f"train_c{i}"], known[i]) for i in range(n_categorical)], np.int64).reshape(n_categorical, b.num_rows)
+        order, firsts = _tree(x, codes, scale) if b.num_rows and len(x) + len(codes) else (np.arange(b.num_rows), np.zeros(min(b.num_rows, 1), np.int64))
+        x, codes = x[:, order], codes[:, order]
+        box = [f.reduceat(v, firsts, axis=1) if len(firsts) else v for v in (x, codes) for f in (np.minimum, np.maximum)]
+        return {"rows": b.select(["train_id", *keep]), "known": known, "x": x, "codes": codes, "order": order, "firsts": firsts, "ends": np.r_[firsts[1:], b.num_rows].astype(np.int64) if len(firsts) else firsts, "box": box, "least": np.minimum.reduceat(order, firsts) if len(firsts) else firsts}
+
+    held = spark.sparkContext.broadcast(built())
+
+    def apart(u, v, low, high, lows, highs):
+        """total and used of test numbers u and codes v from what lies between bounds; where bounds are equal, of rows."""
+        total, used = 0.0, 0
+        for i, s in enumerate(scale):
+            d = np.maximum(np.maximum(low[i] - u[i], u[i] - high[i]), 0.0) / s
+            both = ~np.isnan(d)
+            total, used = total + np.where(both, d, 0.0), used + both
+        for i in range(n_categorical):
+            both = (v[i] != -1) & (lows[i] != -1)
+            total, used = total + np.where(both & ((v[i] < lows[i]) | (v[i] > highs[i])), 1.0, 0.0), used + both
+        return np.where(used >= least, total / np.maximum(used, 1), np.inf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = held.value
-        n = b.num_rows
-        right = {c: numbers(b[f"train_{c}"].combine_chunks()) for c in plain}
-        codes = [{x: i for i, x in enumerate(pc.unique(b[f"train_c{i}"]).to_pylist()) if x is not None} for i in range(n_categorical)]
-        coded = lambda col, known: np.array([-1 if x is None else known.get(x, -2) for x in col.to_pylist()], np.int64)
-        groups = [coded(b[f"train_c{i}"], codes[i]) for i in range(n_categorical)]
+        t = held.value
+        x, codes, order, firsts, ends = t["x"], t["codes"], t["order"], t["firsts"], t["ends"]
         names = ["test_id", "train_id", "dist", "nn", *keep]
         for batch in batches:
-            for at in range(0, batch.num_rows, max(1, cells // max(n, 1))):
-                a = batch.slice(at, max(1, cells // max(n, 1)))
-                total, used = np.zeros((a.num_rows, n)), np.zeros((a.num_rows, n), np.int64)
-                for c, s in zip(plain, scale, strict=True):
-                    d = np.abs(numbers(a.column(f"test_{c}"))[:, None] - right[c][None, :]) / s
-                    both = ~np.isnan(d)
-                    total += np.where(both, d, 0.0)
-                    used += both
-                for i in range(n_categorical):
-                    x, y = coded(a.column(f"test_c{i}"), codes[i])[:, None], groups[i][None, :]
-                    both = (x != -1) & (y != -1)
-                    total += np.where(both & (x != y), 1.0, 0.0)
-                    used += both
-                dist = np.where(used >= least, total / np.maximum(used, 1), np.inf)
-                rows, cols, ranks = [], [], []
-                for i in range(a.num_rows if n else 0):
-                    far = np.partition(dist[i], min(k, n) - 1)[min(k, n) - 1]
-                    near = np.flatnonzero((dist[i] <= far) & (dist[i] < np.inf))
-                    near = near[np.argsort(dist[i][near], kind="stable")][:k]
-                    rows.append(np.full(len(near), i))
-                    cols.append(near)
-                    ranks.append(np.arange(1, len(near) + 1, dtype=np.int32))
-                i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols))
-                found = b.take(pa.array(j))
+            u = np.array([numbers(batch.column(f"test_{c}")) for c in plain]).reshape(len(plain), batch.num_rows)
+            v = np.array([coded(batch.column(f"test_c{i}"), t["known"][i]) for i in range(n_categorical)], np.int64).reshape(n_categorical, batch.num_rows)
+            step = max(1, cells // max(len(firsts), 1))
+            for at in range(0, batch.num_rows if len(firsts) and len(x) + len(codes) else 0, step):
+                bounds = apart(u[:, at : at + step, None], v[:, at : at + step, None], *[b[:, None, :] for b in t["box"]])
+                rows, cols, dists, ranks = [], [], [], []
+                for r, bound in enumerate(bounds):
+                    i = at + r
+                    near, far = (np.zeros(0), np.zeros(0, np.int64)), np.inf
+                    done, take = np.zeros(0, np.int64), 1
+                    left = np.flatnonzero(bound < np.inf)
+                    while len(left):
+                        if take < len(left):
+                            part = np.argpartition(bound[left], take - 1)
+                            done, left = left[part[:take]], left[part[take:]]
+                        else:
+                            done, left = left, left[:0]
+                        spot = np.concatenate([np.arange(a, b) for a, b in zip(firsts[done], ends[done], strict=True)])
+                        own = x[:, spot], codes[:, spot]
+                        d = np.concatenate([near[0], apart(u[:, i], v[:, i], own[0], own[0], own[1], own[1])])
+                        ids = np.concatenate([near[1], order[spot]])
+                        if len(d) > k:
+                            fit = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                            d, ids = d[fit], ids[fit]
+                        by = np.lexsort((ids, d))[:k]
+                        by = by[d[by] < np.inf]
+                        near = d[by], ids[by]
+                        if len(by) == k:
+                            far = near[0][-1]
+                            left = left[(bound[left] < far) | (bound[left] == far) & (t["least"][left] < near[1][-1])]
+                        take *= 2
+                    rows.append(np.full(len(near[0]), i))
+                    cols.append(near[1])
+                    dists.append(near[0])
+                    ranks.append(np.arange(1, len(near[0]) + 1, dtype=np.int32))
+                i, j, d, nn = (np.concatenate(z) for z in (rows, cols, dists, ranks))
+                found = t["rows"].take(pa.array(j))
                 kept = [found[c].combine_chunks() for c in ("train_id", *keep)]
-                yield pa.RecordBatch.from_arrays([a.column("test_id").take(pa.array(i)), kept[0], pa.array(dist[i, j]), pa.array(np.concatenate(ranks) if ranks else np.zeros(0, np.int32)), *kept[1:]], names)
+                yield pa.RecordBatch.from_arrays([batch.column("test_id").take(pa.array(i)), kept[0], pa.array(d), pa.array(nn), *kept[1:]], names)
 
     kinds = dict(train.dtypes) | dict(test.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("test_id", "train_id")) + ", dist double, nn int" + "".join(f", `{c}` {kinds[c]}" for c in keep)

@@ -365,3 +365,28 @@ def test_quantile_repair_of_stated_rows(spark):
     got = {r["row_id"]: r["x"] for r in fit.transform(t).df.collect()}
     assert [round(got[i], 9) for i in range(8)] == [0.5, 0.5, 2.5, 2.5, 4.5, 4.5, 6.5, 6.5]
     assert got[8] is None and got[9] == 5.0 and np.isnan(got[10])
+
+
+def test_neighbours_visit_few_leaves_and_miss_none(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 8)
+    rng = np.random.default_rng(11)
+    n = 900
+    x, z, c = np.round(rng.normal(size=n), 1), np.where(rng.random(n) < 0.2, np.nan, rng.normal(size=n)), rng.choice(list("abcd"), n)
+    x[:200], z[:200], c[:200] = 0.5, 0.25, "a"  # alike in all: the least ids count
+    train = [(int(i), float(x[i]), None if np.isnan(z[i]) else float(z[i]), None if i % 13 == 0 else str(c[i])) for i in rng.permutation(n)]
+    test = [(i, float(np.round(rng.normal(), 1)), None if i % 7 == 0 else float(rng.normal()), None if i % 9 == 0 else str(rng.choice(list("abce")))) for i in range(60)] + [(99, 0.5, 0.25, "a")]
+    a, b = spark.createDataFrame(test, "test_id int, x double, z double, c string"), spark.createDataFrame(train, "train_id int, x double, z double, c string")
+    spans = [max(r[f] for r in train if r[f] is not None) - min(r[f] for r in train if r[f] is not None) for f in (1, 2)]
+
+    def dist(p, q):
+        d = [abs(p[f] - q[f]) / s for f, s in zip((1, 2), spans, strict=True) if p[f] is not None and q[f] is not None]
+        d += [float(p[3] != q[3])] if p[3] and q[3] else []
+        return sum(d) / len(d)
+
+    want = [(p[0], i + 1, q) for p in test for i, (_, q) in enumerate(sorted((dist(p, q), q[0]) for q in train)[:4])]
+    for rows in (1_000_000, 400):
+        monkeypatch.setattr(knn, "BROADCAST_ROWS", rows)
+        got = sorted((r["test_id"], r["nn"], r["train_id"]) for r in knn.neighbours(a, b, ["x", "z"], ["c"], 4).collect())
+        assert got == want
+    order, firsts = knn._tree(np.array([x, z]), np.zeros((1, n), np.int64), spans)
+    assert sorted(order) == list(range(n)) and np.diff(np.r_[firsts, n]).max() <= 8
