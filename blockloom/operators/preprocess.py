@@ -127,9 +127,9 @@ class Suffix:
 
 def _place(value: Column, levels: list[str]) -> Column:
     """A value's place among levels, from 0; null if it isn't among them."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(levels))):
-        out = F.when(value == levels[i], i).otherwise(out)
+    out = F.when(F.lit(False), -1)
+    for i, v in enumerate(levels):
+        out = out.when(value == v, i)
     return out
 
 
@@ -174,19 +174,26 @@ class PartialCorrection:
         beta = solver.least_squares(m, names, cols, self.ridge, ("__one",))
         mean = m.mean[m.at(cols)] * (0.0 if self.zero_center else 1.0)
 
+        at, one = {n: i for i, n in enumerate(names)}, beta[0]
+        by_site = np.array([one, *[one + beta[at[f"__site_{v}"]] for v in sites[1:]]])
+        by_level = {c: np.array([np.zeros(len(cols)), *[beta[at[f"__{c}_{v}"]] for v in levels[c][1:]]]) for c in levels}
+
         def apply(t: BlockTable) -> BlockTable:
-            site = F.col(self.site).cast("string")
-            known = site.isin(*sites)
-            parts = design(F.when(known, site).otherwise(sites[0]) if self.unknown_site == "baseline" else site)
+            place = _place(F.col(self.site).cast("string"), sites)
+            places = {"__at": F.coalesce(place, F.lit(0)) if self.unknown_site == "baseline" else place}
+            places |= {f"__at_{c}": F.coalesce(_place(F.col(c).cast("string"), levels[c]), F.lit(0)) for c in levels}
+            numbers = {f"__at_{c}": F.col(c).cast("double") for c in self.covariates if c not in levels}
             out = {}
             for j, c in enumerate(cols):
-                fit = F.lit(0.0)
-                for i, n in enumerate(names):
-                    fit = fit + parts[n] * float(beta[i, j])
+                fit = F.get(F.array(*[F.lit(float(v)) for v in by_site[:, j]]), F.col("__at"))
+                for n, own in by_level.items():
+                    fit = fit + F.get(F.array(*[F.lit(float(v)) for v in own[:, j]]), F.col(f"__at_{n}"))
+                for n in [n for n in self.covariates if n not in levels]:
+                    fit = fit + F.col(f"__at_{n}") * float(beta[at[f"__{n}"], j])
                 x = F.col(f"`{c}`").cast("double")
                 new = x + fit - float(mean[j]) if self.revert else x - fit + float(mean[j])
-                out[c] = new if self.unknown_site == "baseline" else F.when(known, new).otherwise(x)
-            return t.with_df(t.df.withColumns(out))
+                out[c] = F.when(F.col("__at").isNotNull(), new).otherwise(x)
+            return t.with_df(t.df.withColumns(places | numbers).withColumns(out).drop(*places, *numbers))
 
         return Fitted(apply, {"beta": beta, "design": names})
 

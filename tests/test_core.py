@@ -390,3 +390,20 @@ def test_neighbours_visit_few_leaves_and_miss_none(spark, monkeypatch):
         assert got == want
     order, firsts = knn._tree(np.array([x, z]), np.zeros((1, n), np.int64), spans)
     assert sorted(order) == list(range(n)) and np.diff(np.r_[firsts, n]).max() <= 8
+
+
+def test_correction_reads_arrays_of_fits_and_treats_unseen_levels_as_the_first(spark):
+    rows = [(i, "st"[i % 2], "pqr"[i % 3], float(i % 5), float(i * i % 17)) for i in range(60)]
+    names = "row_id int, site string, kind string, z double, x double"
+    t = BlockTable(spark.createDataFrame(rows, names), {"a": ("x",)})
+    fit = preprocess.PartialCorrection("site", ("kind", "z")).fit(t)
+    design = np.array([[1.0, r[1] == "t", r[2] == "q", r[2] == "r", r[3]] for r in rows], float)
+    y = np.array([r[4] for r in rows])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    got = [r["x"] for r in fit.transform(t).df.orderBy("row_id").collect()]
+    assert np.allclose(got, y - design @ beta + y.mean())
+    new = t.with_df(spark.createDataFrame([(1, "s", "new", 0.0, 1.0), (2, "u", "p", 0.0, 1.0), (3, None, "p", 0.0, 1.0)], names))
+    after = {r["row_id"]: r["x"] for r in fit.transform(new).df.collect()}
+    assert after[1] == pytest.approx(1 - beta[0] + y.mean()) and after[2] == after[3] == 1.0
+    plan = fit.transform(t).df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") <= 4  # one for site and one for kind, and the column's own
