@@ -407,3 +407,15 @@ def test_correction_reads_arrays_of_fits_and_treats_unseen_levels_as_the_first(s
     assert after[1] == pytest.approx(1 - beta[0] + y.mean()) and after[2] == after[3] == 1.0
     plan = fit.transform(t).df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") <= 4  # one for site and one for kind, and the column's own
+
+
+def test_orders_design_shuffles_lineitem_by_part_and_order_only(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")
+        plan = tables.orders_design(spark, "/root/testdata/sf0.01").df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    at = next(line for line in joins if "o_custkey" in line)
+    assert "l_orderkey" in joins[0] and joins.index(at) > 0 and "l_" not in at
