@@ -16,6 +16,8 @@ from .models import Model
 from .moments import Moments, moments
 
 NORMAL = NormalDist()
+#: Distinct values of a column up to which their ranks are broadcast.
+BROADCAST_RANKS = 2_000_000
 
 
 def average_rank(col: str, by: tuple[str, ...] = ()) -> Column:
@@ -28,8 +30,12 @@ def ranked(df: DataFrame, cols: list[str]) -> DataFrame:
     """Columns replaced by their average ranks, from distributed counts of distinct values.
 
     Values are range-partitioned; a running total over partitions' counts, one row each, gives
-    every value its rank, so no task orders the whole table.
+    every value its rank, so no task orders the whole table.  Up to BROADCAST_RANKS values go to
+    the rows; only for more are the rows shuffled.
     """
+    own = [c for c in cols if c in df.columns]
+    few = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(own)]).first() if own else ()
+    few = {c: few[i] <= BROADCAST_RANKS for i, c in enumerate(own)}
     for c in cols:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
         placed = counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id())
@@ -37,7 +43,7 @@ def ranked(df: DataFrame, cols: list[str]) -> DataFrame:
         sums = placed.groupBy("__p").agg(F.sum("__n").alias("__s"))
         before = sums.withColumn("__b", F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).select("__p", "__b")
         rank = placed.join(F.broadcast(before), "__p").select("__v", (F.col("__b") + F.col("__own") - (F.col("__n") - 1) / 2.0).alias("__r"))
-        df = df.join(rank, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
+        df = df.join(F.broadcast(rank) if few[c] else rank, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
     return df
 
 

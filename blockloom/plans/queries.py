@@ -310,7 +310,7 @@ _rk = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c})
 
 @query("spearman", f"WITH {ORDERS}, k AS (SELECT {_rk} FROM o) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS r FROM k" for a, b in _pairs))
 def spearman(spark, sf_dir):
-    return rounded(evaluate.correlation_table(orders_design(spark, sf_dir).df.select("row_id", *_four), list(_four), "spearman"))
+    return rounded(evaluate.correlation_table(_stored_orders(spark, sf_dir, *_four).df, list(_four), "spearman"))
 
 
 @query("concordance", f"WITH {ORDERS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {r(f'corr({a}, {b})')} AS r, {r(f'2 * covar_samp({a}, {b}) / (var_samp({a}) + var_samp({b}) + (avg({a}) - avg({b})) ** 2)')} AS ccc, {r(f'regr_slope({b}, {a})')} AS slope FROM o" for a, b in _pairs))

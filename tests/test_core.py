@@ -419,3 +419,15 @@ def test_orders_design_shuffles_lineitem_by_part_and_order_only(spark):
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     at = next(line for line in joins if "o_custkey" in line)
     assert "l_orderkey" in joins[0] and joins.index(at) > 0 and "l_" not in at
+
+
+def test_ranks_of_few_values_are_broadcast_and_of_many_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 5 == 0 else float(i * 37 % 11)) for i in range(200)], "i int, v double, w double")
+    got = {}
+    for most in (2_000_000, 1):
+        monkeypatch.setattr(evaluate, "BROADCAST_RANKS", most)
+        out = evaluate.ranked(df, ["v", "w"])
+        hinted = out._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)")
+        assert hinted == (4 if most > 1 else 2)  # two for the partitions' sums
+        got[most] = sorted(map(tuple, out.collect()), key=lambda r: r[0])
+    assert got[1] == got[2_000_000] and sum(r[2] is None for r in got[1]) == 40
