@@ -394,8 +394,8 @@ def _stable_sql() -> str:
 
 @query("stable_scores", _stable_sql())
 def stable_scores(spark, sf_dir):
-    t, model = orders_design(spark, sf_dir), _stated()
     cols = [c for v in _names.values() for c in v]
+    t, model = _stored_orders(spark, sf_dir, *cols), _stated()
     stable = model.with_stable("ci", model.weights, moments(t.df, cols))
     return rounded(stable.transform(t.df.select("row_id", *cols), "stable_ci"))
 
