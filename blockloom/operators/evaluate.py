@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +59,47 @@ def correlation_table(df: DataFrame, cols: list[str], method: str = "pearson") -
 
 
 def concordance(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """a, b, n, r, ccc (Lin), slope (of b on a) for pairs of columns, each over the rows that have both; one aggregate."""
-    cells = []
-    for a, b in pairs:
-        x, y = clean(a), clean(b)
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        cov = F.covar_samp(x, y)
-        ccc = 2 * cov / (F.var_samp(x) + F.var_samp(y) + (F.avg(x) - F.avg(y)) ** 2)
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.corr(x, y).alias("r"), ccc.alias("ccc"), F.regr_slope(y, x).alias("slope")))
-    return df.agg(F.array(*cells).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    """a, b, n, r, ccc (Lin), slope (of b on a) for pairs of columns, each over the rows that have both; one pass.
+
+    Each task keeps n, means and centred products of each pair; these are merged, so no digits are lost.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    ends = [(cols.index(a), cols.index(b)) for a, b in pairs]
+    names = ["i", "n", "mx", "my", "xx", "yy", "xy"]
+
+    def merged(parts: np.ndarray) -> np.ndarray:
+        """n, means and centred products of all rows, from those of parts: a row each."""
+        n, (mx, my) = parts[:, 0], parts[:, 1:3].T
+        total = n.sum()
+        if not total:
+            return np.zeros(6)
+        cx, cy = (n @ mx) / total, (n @ my) / total
+        dx, dy = mx - cx, my - cy
+        return np.array([total, cx, cy, parts[:, 3].sum() + n @ dx**2, parts[:, 4].sum() + n @ dy**2, parts[:, 5].sum() + n @ (dx * dy)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((len(pairs), 6))
+        for batch in batches:
+            values = [pc.fill_null(x, float("nan")).to_numpy(zero_copy_only=False) for x in batch.columns]
+            there = [~np.isnan(x) for x in values]
+            for i, (a, b) in enumerate(ends):
+                both = there[a] & there[b]
+                x, y = values[a][both], values[b][both]
+                if len(x):
+                    mx, my = x.mean(), y.mean()
+                    kept[i] = merged(np.array([kept[i], [len(x), mx, my, ((x - mx) ** 2).sum(), ((y - my) ** 2).sum(), ((x - mx) * (y - my)).sum()]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs))), *[pa.array(v) for v in kept.T]], names)
+
+    def whole(t: pa.Table) -> pa.Table:
+        got = merged(np.column_stack([t[c].to_numpy() for c in names[1:]]))
+        return pa.table({c: [v] for c, v in zip(names, [t["i"][0].as_py(), *got.tolist()], strict=True)})
+
+    kinds = "i bigint, n double, mx double, my double, xx double, yy double, xy double"
+    got = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, kinds).groupBy("i").applyInArrow(whole, kinds)
+    less, some = F.col("n") - 1, F.col("n") > 1
+    label = lambda k: F.get(F.array(*[F.lit(p[k]) for p in pairs]), F.col("i").cast("int"))
+    ccc = F.try_divide(2 * F.col("xy") / less, F.col("xx") / less + F.col("yy") / less + (F.col("mx") - F.col("my")) ** 2)
+    return got.select(label(0).alias("a"), label(1).alias("b"), F.col("n").cast("bigint").alias("n"), F.when(some, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))).alias("r"), F.when(some, ccc).alias("ccc"), F.when(some, F.try_divide(F.col("xy"), F.col("xx"))).alias("slope"))
 
 
 def test_ev(m: Moments, model: Model, deflate: bool = True, loading_source: str = "train", clamp: str = "none", eps_var: float = 1e-12) -> dict:

@@ -431,3 +431,19 @@ def test_ranks_of_few_values_are_broadcast_and_of_many_joined(spark, monkeypatch
         assert hinted == (4 if most > 1 else 2)  # two for the partitions' sums
         got[most] = sorted(map(tuple, out.collect()), key=lambda r: r[0])
     assert got[1] == got[2_000_000] and sum(r[2] is None for r in got[1]) == 40
+
+
+def test_concordance_merges_parts_and_keeps_digits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) + [1e8, 1e8, 0]
+    x[:, 1] += x[:, 0] - 1e8
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, None), (float("nan"), None, 2.0)], "a double, b double, c double").withColumn("k", F.lit(3.0)).repartition(5)
+    got = {(r["a"], r["b"]): r for r in evaluate.concordance(df, [("a", "b"), ("b", "c"), ("c", "k")]).collect()}
+    for i, j in ((0, 1), (1, 2)):
+        c, r = np.cov(x[:, i], x[:, j]), got["abc"[i], "abc"[j]]
+        assert r["n"] == 500 and r["r"] == pytest.approx(c[0, 1] / np.sqrt(c[0, 0] * c[1, 1]), rel=1e-7)
+        assert r["slope"] == pytest.approx(c[0, 1] / c[0, 0], rel=1e-6)
+        assert r["ccc"] == pytest.approx(2 * c[0, 1] / (c[0, 0] + c[1, 1] + (x[:, i].mean() - x[:, j].mean()) ** 2), rel=1e-6)
+    assert got["c", "k"]["n"] == 501 and got["c", "k"]["r"] is None
+    plan = evaluate.concordance(df, [("a", "b")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "corr(" not in plan and "MapInArrow" in plan
