@@ -263,7 +263,7 @@ def encode(spark, sf_dir):
 
 @query("label_filter", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('N') GROUP BY 1")
 def label_filter(spark, sf_dir):
-    t = orders_design(spark, sf_dir)
+    t = BlockTable(_stored_orders(spark, sf_dir, "l_returnflag").df, {}, "l_returnflag", "classif")
     return preprocess.LabelFilter(("N",), invert=True).fit(t).transform(t).df.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 

@@ -409,16 +409,15 @@ def test_correction_reads_arrays_of_fits_and_treats_unseen_levels_as_the_first(s
     assert plan.count("CASE WHEN") <= 4  # one for site and one for kind, and the column's own
 
 
-def test_orders_design_shuffles_lineitem_by_part_and_order_only(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")
-        plan = tables.orders_design(spark, "/root/testdata/sf0.01").df._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    joins = [line for line in plan.splitlines() if "Join Inner" in line]
-    at = next(line for line in joins if "o_custkey" in line)
-    assert "l_orderkey" in joins[0] and joins.index(at) > 0 and "l_" not in at
+def test_label_filter_reads_levels_only_to_transform(spark):
+    df = spark.createDataFrame([(i, float(i), "AB"[i % 2]) for i in range(8)], "row_id int, x double, y string").repartition(1)
+    read = []
+    for use in (lambda t: preprocess.LabelFilter(("A",), invert=True).fit(t), lambda t: preprocess.LabelFilter(("A",), invert=True).fit(t).transform(t)):
+        seen = spark.sparkContext.accumulator(0)
+        counted = df.withColumn("y", F.udf(lambda y, seen=seen: seen.add(1) or y, "string")("y"))
+        use(BlockTable(counted, {"a": ("x",)}, "y"))
+        read.append(seen.value)
+    assert read[1] - read[0] >= 8 > read[0] - 8
 
 
 def test_ranks_of_few_values_are_broadcast_and_of_many_joined(spark, monkeypatch):
@@ -447,3 +446,15 @@ def test_concordance_merges_parts_and_keeps_digits(spark):
     assert got["c", "k"]["n"] == 501 and got["c", "k"]["r"] is None
     plan = evaluate.concordance(df, [("a", "b")])._jdf.queryExecution().optimizedPlan().toString()
     assert "corr(" not in plan and "MapInArrow" in plan
+
+
+def test_orders_design_shuffles_lineitem_by_part_and_order_only(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")
+        plan = tables.orders_design(spark, "/root/testdata/sf0.01").df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    at = next(line for line in joins if "o_custkey" in line)
+    assert "l_orderkey" in joins[0] and joins.index(at) > 0 and "l_" not in at
